@@ -89,8 +89,8 @@ def clean_report(df: DataFrame, columns, by=()) -> DataFrame:
 
 
 def band_select(df: DataFrame, column: str, lo: float, hi: float | None = None, error: str | None = None,
-                min_ratio: float = 10.0, limit: int | None = None) -> DataFrame:
-    """Rows with lo < column <= hi and a signal-to-noise ratio above `min_ratio`, largest first."""
+                min_ratio: float = 10.0, limit: int | None = None, tie: str | None = None) -> DataFrame:
+    """Rows with lo < column <= hi and a signal-to-noise ratio above `min_ratio`, largest first (then by `tie`)."""
     require(hi is None or hi > lo, f"upper edge {hi} must be above lower edge {lo}")
     require(limit is None or limit >= 1, "limit must be 1 or more")
     out = df.filter(F.col(column) > lo)
@@ -98,7 +98,7 @@ def band_select(df: DataFrame, column: str, lo: float, hi: float | None = None,
         out = out.filter(F.col(column) <= hi)
     if error is not None:
         out = out.filter(F.try_divide(F.col(column), F.col(error)) > min_ratio)
-    out = out.orderBy(F.col(column).desc())
+    out = out.orderBy(F.col(column).desc(), *([F.col(tie)] if tie else []))
     return out if limit is None else out.limit(limit)
 
 

@@ -11,8 +11,8 @@ SIDECAR_SUFFIX = ".meta.json"
 RAW_COLUMNS = ("source", "dataset", "fetch_date", "filename")
 
 
-def raw_glob(lake: str, source: str = "*", dataset: str = "*", name: str = "*") -> str:
-    return f"{lake.rstrip('/')}/raw/{source}/{dataset}/*/{name}"
+def raw_glob(lake: str, source: str = "*", dataset: str = "*", date: str = "*", name: str = "*") -> str:
+    return f"{lake.rstrip('/')}/raw/{source}/{dataset}/{date}/{name}"
 
 
 def scanned_path() -> Column:

@@ -28,20 +28,20 @@ def _binary_files(spark: SparkSession, glob: str) -> DataFrame:
     return files.select(normal_path(F.col("path")).alias("path"), F.col("length").alias("size_bytes"), "content")
 
 
-def _data_files(spark: SparkSession, lake: str, source: str, dataset: str) -> DataFrame:
-    files = _binary_files(spark, raw_glob(lake, source, dataset))
+def _data_files(spark: SparkSession, lake: str, source: str, dataset: str, date: str) -> DataFrame:
+    files = _binary_files(spark, raw_glob(lake, source, dataset, date))
     is_data = F.col("path").rlike(RAW_LAYOUT) & ~F.col("path").endswith(SIDECAR_SUFFIX)
     return with_path_parts(files.filter(is_data)).filter(F.col("filename") != ".gitkeep")
 
 
-def raw_files(spark: SparkSession, lake: str, source: str = "*", dataset: str = "*") -> DataFrame:
+def raw_files(spark: SparkSession, lake: str, source: str = "*", dataset: str = "*", date: str = "*") -> DataFrame:
     """Every landed data file: path, source, dataset, fetch_date, filename, size_bytes. File bytes are not read."""
-    return _data_files(spark, lake, source, dataset).select("path", *RAW_COLUMNS, "size_bytes")
+    return _data_files(spark, lake, source, dataset, date).select("path", *RAW_COLUMNS, "size_bytes")
 
 
-def sidecars(spark: SparkSession, lake: str, source: str = "*", dataset: str = "*") -> DataFrame:
+def sidecars(spark: SparkSession, lake: str, source: str = "*", dataset: str = "*", date: str = "*") -> DataFrame:
     """One row per sidecar: the data file it belongs to and its fields as a VARIANT (NULL if damaged)."""
-    glob = raw_glob(lake, source, dataset, "*" + SIDECAR_SUFFIX)
+    glob = raw_glob(lake, source, dataset, date, "*" + SIDECAR_SUFFIX)
     try:
         text = spark.read.text(glob, wholetext=True).select(scanned_path().alias("_at"), "value")
     except AnalysisException as error:
@@ -77,13 +77,13 @@ def _complete_flag() -> Column:
     )
 
 
-def provenance(spark: SparkSession, lake: str, source: str = "*", dataset: str = "*") -> DataFrame:
+def provenance(spark: SparkSession, lake: str, source: str = "*", dataset: str = "*", date: str = "*") -> DataFrame:
     """Manifest: one row per raw file with what its sidecar says.
 
     `fetched_at` falls back to midnight UTC of the date folder, then to the earliest time.
     """
-    meta = sidecars(spark, lake, source, dataset).withColumn("has_sidecar", F.lit(True))
-    joined = raw_files(spark, lake, source, dataset).join(meta, "path", "left").withColumn(
+    meta = sidecars(spark, lake, source, dataset, date).withColumn("has_sidecar", F.lit(True))
+    joined = raw_files(spark, lake, source, dataset, date).join(meta, "path", "left").withColumn(
         "has_sidecar", F.coalesce("has_sidecar", F.lit(False))
     )
     stated = parse(blank_to_null(_field("fetched_at_utc", "string")), "timestamp")
@@ -110,7 +110,7 @@ def verify_raw(spark: SparkSession, lake: str, source: str = "*", dataset: str =
     status: ok, changed, no_sidecar, or too_large (bytes do not fit one cell; only the size was compared).
     `manifest` (path, stated_size, stated_sha256) replaces the sidecars when provenance is kept in a table.
     """
-    files = _data_files(spark, lake, source, dataset)
+    files = _data_files(spark, lake, source, dataset, "*")
     hashed = files.filter(F.col("size_bytes") <= MAX_CONTENT_BYTES).select(
         "path", *RAW_COLUMNS, "size_bytes", content_hash("content").alias("sha256"))
     unhashed = files.filter(F.col("size_bytes") > MAX_CONTENT_BYTES).select(

@@ -8,9 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 from strata.plans.ingest import ingest_files
 from strata.plans.registry import Dataset
 from strata.plans.warehouse import Warehouse
-from strata.sources.files import SIDECAR_SUFFIX, normal_path, raw_glob
+from strata.sources.files import SIDECAR_SUFFIX, normal_path, raw_glob, with_path_parts
 from strata.sources.raw import provenance
 
+_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def ingest_stream(spark: SparkSession, lake: str, warehouse: Warehouse, dataset: Dataset, checkpoint: str,
                   max_files: int = 1000, on_batch=None) -> StreamingQuery:
@@ -21,13 +23,19 @@ def ingest_stream(spark: SparkSession, lake: str, warehouse: Warehouse, dataset:
     cannot replace a newer copy.
     """
     landed = (
-        spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files)
+        spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).option("maxFilesPerTrigger", max_files)
         .load(raw_glob(lake, dataset.source, dataset.name)).select("path")
     )
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        names = batch.select(normal_path(F.col("path")).alias("path")).filter(~F.col("path").endswith(SIDECAR_SUFFIX)).distinct()
-        manifest = provenance(batch.sparkSession, lake, dataset.source, dataset.name).join(names, "path", "left_semi")
+        names = with_path_parts(batch.select(normal_path(F.col("path")).alias("path"))).filter(
+            ~F.col("path").endswith(SIDECAR_SUFFIX)).select("path", "fetch_date").distinct()
+        # Only the date folders of this batch are listed again.
+        dates = sorted(r["fetch_date"] for r in names.select("fetch_date").distinct().collect())
+        if not dates:
+            return
+        there = provenance(batch.sparkSession, lake, dataset.source, dataset.name, "{" + ",".join(dates) + "}")
+        manifest = there.join(names.select("path"), "path", "left_semi")
         report = ingest_files(batch.sparkSession, lake, warehouse, dataset, manifest)
         if on_batch:
             on_batch(batch_id, report)

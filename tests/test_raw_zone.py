@@ -1,0 +1,97 @@
+from datetime import datetime
+
+import pytest
+
+from strata.sources.raw import fetch_completeness, page_audit, provenance, raw_files, register_raw, verify_raw
+from tests.conftest import gaps
+
+
+def _by_name(df, *columns):
+    return {r["filename"]: tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}
+
+
+def test_listing_skips_sidecars_and_helper_files(spark, lake):
+    lake.land("gfw", "gap-events", "a.json", gaps(("A", "2022-01-01", 1)))
+    lake.land("gaia", "nearby-stars", "b.csv", "x\n", sidecar=False)
+    (lake.root / "raw" / "gfw" / "gap-events" / "2026-09-30" / ".gitkeep").write_text("")
+    got = {tuple(r[c] for c in ("source", "dataset", "fetch_date", "filename")) for r in raw_files(spark, str(lake)).collect()}
+    assert got == {("gfw", "gap-events", "2026-09-30", "a.json"), ("gaia", "nearby-stars", "2026-09-30", "b.csv")}
+    assert raw_files(spark, f"{lake}/nowhere").count() == 0
+
+
+def test_fetch_time_falls_back_to_the_date_folder_then_to_the_start(spark, lake):
+    lake.land("s", "d", "a.csv", "x\n", minutes=5)
+    lake.land("s", "d", "b.csv", "x\n", sidecar=False)
+    lake.land("s", "d", "c.csv", "x\n", sidecar=False, day="someday")
+    lake.land("s", "d", "e.csv", "x\n")
+    (lake.root / "raw/s/d/2026-09-30/e.csv.meta.json").write_text("{broken")
+    rows = provenance(spark, str(lake)).selectExpr("filename", "date_format(fetched_at, 'yyyy-MM-dd HH:mm') AS at", "has_sidecar")
+    assert _by_name(rows, "at", "has_sidecar") == {
+        "a.csv": ("2026-09-30 12:05", True), "b.csv": ("2026-09-30 00:00", False),
+        "c.csv": ("0001-01-01 00:00", False), "e.csv": ("2026-09-30 00:00", True)}
+
+
+@pytest.mark.parametrize("text,complete", [
+    (None, True), ("{}", True), ('{"complete": true}', True), ('{"complete": false}', False), ('{"complete": null}', False),
+    ('{"complete": 0}', False), ('{"complete": ""}', False), ("{broken", False), ("[]", False)])
+def test_complete_flag(spark, lake, text, complete):
+    path = lake.land("s", "d", "a.csv", "x\n", sidecar=False)
+    if text is not None:
+        path.with_name("a.csv.meta.json").write_text(text)
+    assert provenance(spark, str(lake)).first()["complete"] is complete
+
+
+def test_integrity_audit(spark, lake):
+    for name in ("same.csv", "edited.csv", "swapped.csv"):
+        lake.land("s", "d", name, "hello\n")
+    lake.land("s", "d", "bare.csv", "hello\n", sidecar=False)
+    folder = lake.root / "raw/s/d/2026-09-30"
+    (folder / "edited.csv").write_text("hello there\n")
+    (folder / "swapped.csv").write_text("HELLO\n")
+    assert _by_name(verify_raw(spark, str(lake)), "status") == {
+        "same.csv": "ok", "edited.csv": "changed", "swapped.csv": "changed", "bare.csv": "no_sidecar"}
+
+
+def test_registration_is_write_once_and_core_fields_win(spark):
+    schema = "path string, sha256 string, extra map<string,string>"
+    old = spark.createDataFrame([("p1", "h1", {})], schema)
+    both = register_raw(spark.createDataFrame([("p2", "h2", {"sha256": "fake", "pages": "3"})], schema), old)
+    assert {r["path"]: (r["sha256"], r["extra"]) for r in both.collect()} == {"p1": ("h1", {}), "p2": ("h2", {"pages": "3"})}
+    with pytest.raises(FileExistsError, match="p1"):
+        register_raw(spark.createDataFrame([("p1", "h9", {})], schema), both)
+    with pytest.raises(FileExistsError, match="p3"):
+        register_raw(spark.createDataFrame([("p3", "h", {}), ("p3", "h", {})], schema), both)
+
+
+def test_fetch_completeness(spark):
+    rows = spark.createDataFrame([(p,) for p, n in (("few", 3), ("all", 5), ("more", 6), ("cap", 4), ("under", 3), ("blind", 2)) for _ in range(n)], "path string")
+    manifest = spark.createDataFrame([("few", 5, None), ("all", 5, None), ("more", 5, None), ("cap", None, 4), ("under", None, 4),
+                                      ("blind", None, None), ("none", 1, None)], "path string, expected_rows bigint, row_limit bigint")
+    got = {r["path"]: (r["rows"], r["complete"], r["reason"]) for r in fetch_completeness(rows, manifest).collect()}
+    assert got == {"few": (3, False, "fewer_than_expected"), "all": (5, True, "complete"), "more": (6, True, "complete"),
+                   "cap": (4, False, "limit_reached"), "under": (3, True, "complete"), "blind": (2, False, "unverified"),
+                   "none": (0, False, "fewer_than_expected")}
+
+
+def test_page_audit(spark):
+    fetches = {
+        "short": [(100, "a"), (100, "b"), (50, "c")],
+        "exact": [(100, "a"), (0, "")],
+        "stuck": [(100, "a"), (100, "a"), (100, "a")],
+        "capped": [(100, x) for x in "abcd"],
+        "broken": [(100, "a"), (100, "b")],
+        "empty": [(0, "")],
+    }
+    pages = spark.createDataFrame([(f, i, n, h) for f, ps in fetches.items() for i, (n, h) in enumerate(ps)],
+                                  "fetch string, page int, n int, h string")
+    got = {r["fetch"]: (r["pages"], r["rows_kept"], r["complete"], r["reason"]) for r in
+           page_audit(pages, "fetch", "page", "n", "h", limit=100, cap=3).collect()}
+    assert got == {"short": (3, 250, True, "complete"), "exact": (2, 100, True, "complete"), "stuck": (2, 100, False, "offset_ignored"),
+                   "capped": (3, 300, False, "page_cap"), "broken": (2, 200, False, "cut_off"), "empty": (1, 0, True, "complete")}
+
+
+def test_provenance_reads_numbers_and_dates(spark, lake):
+    lake.land("s", "d", "a.csv", "x\n", complete=False, rows=7, pages=2, expected_rows=None, start_date="2022-01-01", end_date="2022-02-01")
+    r = provenance(spark, str(lake)).first()
+    assert (r["rows"], r["pages"], r["expected_rows"], r["complete"]) == (7, 2, None, False)
+    assert r["start_date"] == datetime(2022, 1, 1).date() and r["end_date"] == datetime(2022, 2, 1).date()
