@@ -65,7 +65,7 @@ def rebuild(spark: SparkSession, lake: str, target: Warehouse, replace: bool = F
     """
     known = datasets or DATASETS
     files = write_scratch(provenance(spark, lake), "provenance")
-    present = files.groupBy("source", "dataset").agg(F.count("*").alias("files"), F.min("path").alias("sample"))
+    present = files.groupBy("source", "dataset").agg(F.count("*").alias("files"), F.min("path").alias("sample"), F.sum("size_bytes").alias("bytes"))
     report = RebuildReport()
     # One row per dataset folder.
     groups = {(r["source"], r["dataset"]): r for r in present.collect()}
@@ -86,7 +86,9 @@ def rebuild(spark: SparkSession, lake: str, target: Warehouse, replace: bool = F
             raise RuntimeError(f"rebuild failed on {pair[0]}/{pair[1]}: {error}") from error
         frames[dataset.table] = (_stored(dataset, latest_wins(rows, list(dataset.key), _ORDER)), dataset.key, dataset.part_by)
         report.files += groups[pair]["files"]
-    report.tables = target.publish_all(frames, drop_others=True)
+    # About 256 MB of raw text per stored part of the largest dataset.
+    largest = max((groups[pair]["bytes"] or 0 for pair in known if pair in groups), default=0)
+    report.tables = target.publish_all(frames, parts=min(4096, max(8, largest // 268_435_456)), drop_others=True)
     return report
 
 

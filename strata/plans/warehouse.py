@@ -6,8 +6,10 @@ only once the log line exists, so a failed job leaves the table as it was. One w
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -21,7 +23,7 @@ from strata.sources.files import is_missing_path
 LINEAGE = {"_source_file": T.StringType(), "_fetched_at": T.TimestampType()}
 PART = "_part"
 
-_LOG = "name string, version bigint, folder string, key array<string>, layout string, n_rows bigint"
+_LOG = "name string, version bigint, folders array<string>, key array<string>, layout string, n_rows bigint, columns string"
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,7 @@ class Published:
     key: tuple[str, ...]
     layout: str
     n_rows: int
+    columns: str  # schema as JSON, so reading needs no inference job
 
 
 @dataclass(frozen=True)
@@ -57,8 +60,9 @@ def with_lineage(df: DataFrame, wanted) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(LINEAGE[c]) for c in wanted if c not in df.columns})
 
 
-def hash_layout(parts: int) -> str:
-    return f"hash:{parts}"
+def hash_layout(rows: int, parts: int | None = None) -> str:
+    """Parts by key hash: a given number, else about two million rows each, within sane limits."""
+    return f"hash:{parts or min(4096, max(8, rows // 2_000_000))}"
 
 
 def part_of(layout: str, key: tuple[str, ...], schema: T.StructType) -> Column:
@@ -95,15 +99,9 @@ class Warehouse:
         log = self._log()
         if log is None:
             return {}
-        newest = log.groupBy("name").agg(F.max("version").alias("version"))
-        rows = log.join(newest, ["name", "version"]).collect()
-        states: dict[str, Published] = {}
-        for name in {r["name"] for r in rows}:
-            mine = [r for r in rows if r["name"] == name]
-            first = mine[0]
-            states[name] = Published(name, first["version"], tuple(sorted(r["folder"] for r in mine if r["folder"])),
-                                     tuple(first["key"] or ()), first["layout"] or "", first["n_rows"] or 0)
-        return states
+        newest = log.groupBy("name").agg(F.max(F.struct("version", "folders", "key", "layout", "n_rows", "columns")).alias("s"))
+        return {r["name"]: Published(r["name"], r["s"]["version"], tuple(r["s"]["folders"]), tuple(r["s"]["key"]),
+                                     r["s"]["layout"], r["s"]["n_rows"], r["s"]["columns"]) for r in newest.collect()}
 
     def state(self, name: str) -> Published | None:
         """What is published now; None for a table that never existed or was dropped."""
@@ -121,7 +119,8 @@ class Warehouse:
         return f"{self.root}/tables/{schema}/{table}"
 
     def _read(self, state: Published, folders=None) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self._home(state.name)}/{f}" for f in folders or state.folders])
+        schema = T.StructType.fromJson(json.loads(state.columns))
+        return self.spark.read.schema(schema).parquet(*[f"{self._home(state.name)}/{f}" for f in folders or state.folders])
 
     def table(self, name: str) -> DataFrame:
         state = self.state(name)
@@ -131,10 +130,6 @@ class Warehouse:
 
     # -- publishing ----------------------------------------------------------------------------------------------
 
-    def _next_version(self, name: str, states=None) -> int:
-        last = (states or self._all_states()).get(name)
-        return last.version + 1 if last else 1
-
     def _write(self, df: DataFrame, name: str, version: int, key, layout: str) -> list[str]:
         """Write one version beside the live one and return its folders."""
         home = self._home(name)
@@ -155,12 +150,14 @@ class Warehouse:
         found = {re.search(r"/(v=\d+/" + PART + r"=[^/]+)/[^/]+$", f) for f in files}
         return sorted(m.group(1) for m in found if m)
 
-    def _rows_in(self, name: str, folders: list[str]) -> int:
-        return self.spark.read.parquet(*[f"{self._home(name)}/{f}" for f in folders]).count()
+    def _published(self, df: DataFrame, name: str, version: int, folders, key=(), layout: str = "", n_rows: int | None = None) -> Published:
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
+        made = Published(name, version, tuple(folders), tuple(key), layout, n_rows or 0, schema.json())
+        return made if n_rows is not None else replace(made, n_rows=self._read(made).count())
 
     def _record(self, states: list[Published]) -> None:
         """Publish: one file, hence all or nothing, also for several tables at once."""
-        rows = [(s.name, s.version, f, list(s.key), s.layout, s.n_rows) for s in states for f in (s.folders or (None,))]
+        rows = [(s.name, s.version, list(s.folders), list(s.key), s.layout, s.n_rows, s.columns) for s in states]
         self.spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/publications")
         if self.catalog:
             for s in states:
@@ -186,22 +183,20 @@ class Warehouse:
 
     def publish(self, name: str, df: DataFrame, key=(), part_by: str | None = None, parts: int = 64) -> int:
         """Replace a table as a whole and return its row count."""
-        return self.publish_all({name: (df, key, part_by)}, parts=parts)[name]
+        return self.publish_all({name: (df, key, part_by)}, parts)[name]
 
     def publish_all(self, frames: dict[str, tuple], parts: int = 64, drop_others: bool = False) -> dict[str, int]:
         """Replace several tables in one step: build all of them first, then publish them together."""
         states, fresh = self._all_states(), []
         for name, (df, key, part_by) in frames.items():
-            version = self._next_version(name, states)
-            layout = (part_by or hash_layout(parts)) if key else ""
-            folders = self._write(df, name, version, key, layout)
-            fresh.append(Published(name, version, tuple(folders), tuple(key), layout, self._rows_in(name, folders)))
-        if drop_others:
-            fresh += [Published(s.name, s.version + 1, (), (), "", 0)
-                      for s in states.values() if s.folders and s.name not in frames]
-        if fresh:
-            self._record(fresh)
-        return {s.name: s.n_rows for s in fresh if s.folders}
+            version = states[name].version + 1 if name in states else 1
+            layout = (part_by or hash_layout(0, parts)) if key else ""
+            fresh.append(self._published(df, name, version, self._write(df, name, version, key, layout), key, layout))
+        gone = [replace(s, version=s.version + 1, folders=(), n_rows=0)
+                for s in states.values() if drop_others and s.folders and s.name not in frames]
+        if fresh or gone:
+            self._record(fresh + gone)
+        return {s.name: s.n_rows for s in fresh}
 
     def load_table(self, df: DataFrame, schema: str, table: str) -> int:
         """Create or replace `schema.table` with exactly these rows."""
@@ -210,7 +205,7 @@ class Warehouse:
     # -- keyed upsert --------------------------------------------------------------------------------------------
 
     def upsert(self, name: str, incoming: DataFrame, key, order=("_row_pos",), source_file: str | None = None,
-               part_by: str | None = None, parts: int = 64) -> UpsertReport:
+               part_by: str | None = None, parts: int | None = None) -> UpsertReport:
         """Add rows without losing earlier ones: newest copy of a key wins, the rest of the table stays.
 
         `order` decides which copy of a key inside `incoming` is the last. Only the stored parts that incoming
@@ -218,7 +213,9 @@ class Warehouse:
         """
         split_table(name)
         key = check_key(key, incoming.columns)
-        state = self.state(name)
+        last = self._all_states().get(name)
+        version = last.version + 1 if last else 1
+        state = last if last and last.folders else None
         if source_file is not None:
             incoming = incoming.withColumn("_source_file", F.lit(source_file))
         incoming = with_lineage(incoming, ["_source_file"])
@@ -227,52 +224,45 @@ class Warehouse:
         if state is not None:
             current = self._read(state)
             assert_same_columns(current, incoming.select(*stored), name)
-            current = with_lineage(current, [c for c in stored if c in LINEAGE])
-            incoming = with_lineage(incoming, [c for c in current.columns if c in LINEAGE])
-            incoming = incoming.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in current.schema})
-            stored = current.columns
-        full_key = F.lit(True)
-        for k in key:
-            full_key = full_key & F.col(k).isNotNull()
-        counts = incoming.agg(F.count("*").alias("rows"), F.count_if(full_key).alias("keyed")).first()
+            full = with_lineage(current, [c for c in stored if c in LINEAGE])
+            incoming = with_lineage(incoming, [c for c in full.columns if c in LINEAGE])
+            incoming = incoming.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in full.schema})
+            stored = full.columns
+        has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+        counts = incoming.agg(F.count("*").alias("rows"), F.count_if(has_key).alias("keyed")).first()
         deduped = last_per_key(incoming, key, list(order)).select(*stored)
-        layout = (state.layout if state else "") or part_by or hash_layout(parts)
-        version = self._next_version(name)
+        layout = (state.layout if state else "") or part_by or hash_layout(counts["keyed"], parts)
+        skipped = counts["rows"] - counts["keyed"]
         if state is None:
-            folders = self._write(deduped, name, version, key, layout)
-            n = self._rows_in(name, folders)
-            self._record([Published(name, version, tuple(folders), tuple(key), layout, n)])
-            return UpsertReport(n, 0, counts["rows"] - counts["keyed"], counts["keyed"] - n, n)
+            made = self._published(deduped, name, version, self._write(deduped, name, version, key, layout), key, layout)
+            self._record([made])
+            return UpsertReport(made.n_rows, 0, skipped, counts["keyed"] - made.n_rows, made.n_rows)
 
-        # The batch is written once; counts and the rewrite below start from these files.
+        # The batch is written once; the counts and the rewrite below start from these files.
         batch_path = f"{self._home(name)}/batches/v={version}"
         deduped.withColumn(PART, part_of(layout, tuple(key), deduped.schema)).write.mode("overwrite").partitionBy(PART).parquet(batch_path)
         batch = self.spark.read.schema(deduped.schema).parquet(batch_path).select(*stored)
         n = batch.count()
         touched = {f.split("/")[1] for f in self._part_folders(batch_path, deduped.schema)}
-        as_stored = state.layout == layout and set(current.columns) == set(self._read(state).columns)
+        as_stored = state.layout == layout and set(current.columns) == set(stored)
         live = [f for f in state.folders if not as_stored or f.split("/")[1] in touched]
         kept = [f for f in state.folders if f not in live]
+        base = with_lineage(self._read(state, live) if live else current.limit(0), [c for c in stored if c in LINEAGE]).select(*stored)
         stale = 0
-        base = with_lineage(self._read(state, live), [c for c in stored if c in LINEAGE]).select(*stored) if live else current.limit(0)
-        if "_fetched_at" in stored:
+        if live and "_fetched_at" in stored:
             newer = base.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_fetched_at").alias("_newer"))
-            on = F.col("_newer") > F.col("_fetched_at")
-            for k in key:
-                on = on & (F.col(k) == F.col(f"_k_{k}"))
-            fresh = batch.join(newer, on, "left_anti")
+            match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in key])
+            fresh = batch.join(newer, match & (F.col("_newer") > F.col("_fetched_at")), "left_anti")
             stale = n - fresh.count()
             batch = fresh if stale else batch
-        updated = existing_rows(batch, base, key).count()
+        updated = existing_rows(batch, base, key).count() if live else 0
+        # A table that was never keyed may hold several rows per key.
+        replaced = updated if state.layout else existing_rows(base, batch, key).count()
         merged = without_keys(base, batch, key).unionByName(batch) if live else batch
         folders = kept + self._write(merged, name, version, key, layout)
-        total = state.n_rows + (n - stale) - self._replaced(base, batch, key, updated, state)
-        self._record([Published(name, version, tuple(folders), tuple(key), layout, total)])
-        return UpsertReport(n - stale - updated, updated, counts["rows"] - counts["keyed"], counts["keyed"] - n, total, stale)
-
-    def _replaced(self, base: DataFrame, batch: DataFrame, key, updated: int, state: Published) -> int:
-        """Stored rows that the batch replaces: one per updated key, unless the table was never keyed."""
-        return updated if state.layout else existing_rows(base, batch, key).count()
+        total = state.n_rows + n - stale - replaced
+        self._record([self._published(merged, name, version, folders, key, layout, total)])
+        return UpsertReport(n - stale - updated, updated, skipped, counts["keyed"] - n, total, stale)
 
     # -- questions -----------------------------------------------------------------------------------------------
 

@@ -121,7 +121,7 @@ _PLAN = """
                                      (5, 5.0, 10.0, '5-10'), (6, 10.0, 50.0, '10-50')) v(ord, a, b, label)),
     plan AS (SELECT CAST(ord AS INTEGER) AS ord, 'shop/orders/' || label || 'pc' AS slice_id, round(1000.0 / b, 4) AS lo, round(1000.0 / a, 4) AS hi FROM e),
     x AS (SELECT o_orderkey, o_totalprice / 1000 AS p FROM orders),
-    status AS (SELECT ord, slice_id, count(p) AS rows, count(p) < (SELECT count(*) FROM x) / 4.0 AS complete FROM plan LEFT JOIN x ON p > lo AND p <= hi GROUP BY 1, 2)"""
+    status AS (SELECT ord, slice_id, count(p) AS rows, count(p) < (SELECT count(*) FROM x) / 8.0 AS complete FROM plan LEFT JOIN x ON p > lo AND p <= hi GROUP BY 1, 2)"""
 
 
 def _plan(spark):
@@ -130,7 +130,7 @@ def _plan(spark):
 
 def _status(spark, sf):
     x = t(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("p"))
-    return x, slice_status(x, "p", _plan(spark), max(1, -(-x.count() // 4)))
+    return x, slice_status(x, "p", _plan(spark), max(1, -(-x.count() // 8)))
 
 
 @query("slice_rows", _PLAN + " SELECT slice_id, round(lo, 4) AS lo, round(hi, 4) AS hi, count(p) AS n FROM plan LEFT JOIN x ON p > lo AND p <= hi GROUP BY ALL")
