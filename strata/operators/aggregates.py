@@ -56,8 +56,9 @@ def median_of(df: DataFrame, column: str, by=(), approx: bool = False, name: str
         same = reduce(lambda a, b: a & b, [value[g].eqNullSafe(renamed[f"_g_{g}"]) for g in by])
         marked = value.join(renamed, same)
     else:
-        only = brackets.first()
-        marked = value.withColumns({c: F.lit(only[c]).cast(t) for c, t in (("_n", "bigint"), ("_lo", "double"), ("_hi", "double"))})
+        n, lo, hi = brackets.first()
+        lo, hi = _narrowed(value, n, lo, hi)
+        marked = value.withColumns({"_n": F.lit(n).cast("bigint"), "_lo": F.lit(lo).cast("double"), "_hi": F.lit(hi).cast("double")})
     # Every value below the bracket shares one bucket, so the shuffle carries the bracket's distinct values only.
     bucket = F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))
     values = marked.filter(F.col("_x") <= F.col("_hi")).groupBy(*by, "_n", bucket.alias("_v")).agg(F.count("*").alias("_c"))
@@ -72,6 +73,21 @@ def median_of(df: DataFrame, column: str, by=(), approx: bool = False, name: str
     return out.select(*by, "n", (F.col("_a") + (F.col("_b") - F.col("_a")) * 0.5).alias(name))
 
 
+def _narrowed(value: DataFrame, n: int, lo: float, hi: float, most: int = 1_000_000) -> tuple[float, float]:
+    """Shrink the bracket until it holds few rows: one more sketch of the bracket for every factor of ten thousand."""
+    low, high = (n - 1) // 2, n // 2
+    while n * 2 * SLACK > most and lo < hi:
+        c = value.filter(F.col("_x") <= hi).agg(F.count_if(F.col("_x") < lo).alias("below"), F.count_if(F.col("_x") >= lo).alias("inside")).first()
+        if c["inside"] <= most:
+            break
+        cuts = [max(0.0, (low - c["below"]) / c["inside"] - SLACK), min(1.0, (high - c["below"]) / c["inside"] + SLACK)]
+        edges = value.filter((F.col("_x") >= lo) & (F.col("_x") <= hi)).agg(F.percentile_approx("_x", cuts, ACCURACY).alias("e")).first()["e"]
+        if (edges[0], edges[1]) == (lo, hi):
+            break
+        lo, hi = edges
+    return lo, hi
+
+
 def worst_severity(results: DataFrame) -> DataFrame:
     """(errors, warnings, code) of rule results with columns severity and flagged: 2 error > 1 warning > 0 clean."""
     hit = F.col("flagged") > 0

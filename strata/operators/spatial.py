@@ -37,7 +37,8 @@ def band_neighbours(df: DataFrame, id_column: str, x: str, y: str, wx: float, wy
         ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("own"))
     blocks = spread.groupBy("cx", "cy").agg(F.sum("n").alias("block"), F.max("own").alias("filled"))
     sparse = blocks.filter(F.col("filled") & (F.col("block") <= below)).select("cx", "cy", "block")
-    probes = rows.join(sparse, ["cx", "cy"])
+    # Used twice below, so it is computed once.
+    probes = write_scratch(rows.join(sparse, ["cx", "cy"]), "band")
     ring = _shifted(probes, 3).filter((F.abs("dx") > 1) | (F.abs("dy") > 1)).select(
         "id", F.col("x").alias("px"), F.col("y").alias("py"),
         (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
@@ -69,76 +70,97 @@ def small_angle_sep(p_ra: Column, p_dec: Column, s_ra: Column, s_dec: Column) ->
     return 3600.0 * F.sqrt(d_ra * d_ra + d_dec * d_dec)
 
 
-def _ra_cells(zone: Column, height: float, reach: float) -> Column:
-    """How many right-ascension cells a declination zone has: each at least as wide as the search needs there."""
-    outermost = F.greatest(F.abs(zone - 1), F.abs(zone + 2)) * height
-    shrink = F.when(outermost < 90.0, F.cos(F.radians(outermost))).otherwise(0.0)
-    return F.greatest(F.floor(F.lit(360.0 / reach) * shrink), F.lit(1)).cast("bigint")
+# Up to this many search positions are broadcast: with their cells that is some ten megabytes.
+FEW_POSITIONS = 50_000
 
 
-def sky_radius_join(points: DataFrame, stars: DataFrame, radius_arcsec: float, epochs=(2016.0, 2000.0),
-                    pid: str = "pid", sid: str = "sid") -> DataFrame:
-    """(pid, sid, sep): all pairs closer than the radius at any of the epochs; the smallest separation counts.
+def _ra_cells(zone: Column, reach: float) -> tuple[Column, Column]:
+    """(cells, half width of a search in degrees) of a declination zone two reaches high.
 
-    `points` needs pid, ra, dec; `stars` needs sid, ra, dec, pmra, pmdec at the first epoch. Declination zones are
-    one radius high and cut into right-ascension cells, so a pair is found by an equality join on its cell.
+    A cell is at least as wide as a whole search in that zone, so a search meets at most two cells.
     """
-    require(radius_arcsec > 0, "the radius must be positive")
-    pairs = _radius_pairs(
-        points.select(pid, "ra", "dec"), stars.select(sid, "ra", "dec", "pmra", "pmdec"), radius_arcsec, epochs)
-    return pairs.select(pid, sid, "sep")
+    outermost = F.greatest(F.abs(zone * (2 * reach) - reach), F.abs((zone + 1) * (2 * reach) + reach))
+    shrink = F.when(outermost < 90.0, F.cos(F.radians(outermost))).otherwise(0.0)
+    cells = F.greatest(F.floor(F.lit(180.0 / reach) * shrink), F.lit(1))
+    return cells, F.when(cells > 1, F.lit(reach) / shrink).otherwise(180.0)
 
 
-def _radius_pairs(points: DataFrame, stars: DataFrame, radius_arcsec: float, epochs) -> DataFrame:
-    reach = radius_arcsec / 3600.0 * (1 + 1e-6)
-    home = epochs[0]
-    located = F.col("ra").isNotNull() & F.col("dec").isNotNull()
-    p = points.filter(located).withColumnsRenamed({"ra": "p_ra", "dec": "p_dec"})
-    probe_zone = F.floor(F.col("p_dec") / reach).cast("bigint")
-    p = p.withColumn("zone", F.explode(F.transform(_offsets(1), lambda d: probe_zone + d)))
-    n = _ra_cells(F.col("zone"), reach, reach)
-    wrapped = ((F.col("p_ra") % 360.0) + 360.0) % 360.0
-    cell = F.floor(wrapped / 360.0 * n).cast("bigint")
-    # Three neighbouring cells, wrapped; fewer where the zone has fewer cells.
-    probe_cells = F.array_distinct(F.transform(_offsets(1), lambda d: F.pmod(cell + d, n)))
-    p = p.withColumn("cell", F.explode(probe_cells))
-
-    s = stars.filter(located)
+def _turn(ra: Column) -> Column:
+    return (ra % 360.0 + 360.0) % 360.0
+
+
+def _search_cells(points: DataFrame, reach: float) -> DataFrame:
+    """Points once per (zone, cell) their search circle can touch: two zones and two cells at most each."""
+    height = 2 * reach
+    zones = F.sequence(F.floor((F.col("p_dec") - reach) / height), F.floor((F.col("p_dec") + reach) / height))
+    zoned = points.withColumn("zone", F.explode(zones))
+    n, half = _ra_cells(F.col("zone"), reach)
+    turn = _turn(F.col("p_ra"))
+    span = F.sequence(F.floor((turn - half) / 360.0 * n), F.floor((turn + half) / 360.0 * n))
+    return zoned.withColumn("cell", F.explode(F.array_distinct(F.transform(span, lambda c: F.pmod(c, n)))))
+
+
+def _star_cells(stars: DataFrame, reach: float, epochs) -> DataFrame:
+    """Stars once per epoch (`k`) with the zone and cell they stand in then; ra0, dec0, ra1, ... hold all epochs."""
     for i, epoch in enumerate(epochs):
-        ra, dec = moved_to("ra", "dec", "pmra", "pmdec", float(epoch) - float(home))
-        s = s.withColumns({f"ra{i}": ra, f"dec{i}": dec})
+        ra, dec = moved_to("ra", "dec", "pmra", "pmdec", float(epoch) - float(epochs[0]))
+        stars = stars.withColumns({f"ra{i}": ra, f"dec{i}": dec})
     places = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"ra{i}").alias("ra"), F.col(f"dec{i}").alias("dec")) for i in range(len(epochs))])
-    s = s.drop("ra", "dec", "pmra", "pmdec").withColumn("place", F.explode(places))
-    zone = F.floor(F.col("place.dec") / reach).cast("bigint")
-    s = s.withColumn("zone", zone)
-    s_wrapped = ((F.col("place.ra") % 360.0) + 360.0) % 360.0
-    s_n = _ra_cells(F.col("zone"), reach, reach)
-    s = s.withColumn("cell", F.pmod(F.floor(s_wrapped / 360.0 * s_n).cast("bigint"), s_n))
+    s = stars.drop("ra", "dec", "pmra", "pmdec").withColumn("place", F.explode(places))
+    s = s.withColumn("zone", F.floor(F.col("place.dec") / (2 * reach)))
+    n, _ = _ra_cells(F.col("zone"), reach)
+    cell = F.pmod(F.floor(_turn(F.col("place.ra")) / 360.0 * n), n)
+    return s.withColumns({"cell": cell, "k": F.col("place.k")}).drop("place")
 
+
+def _close_pairs(searches: DataFrame, stars: DataFrame, radius_arcsec: float, epochs) -> DataFrame:
+    """Pairs within the radius with `sep`. A pair is taken at the first epoch that is close enough, so none repeats."""
     seps = [small_angle_sep(F.col("p_ra"), F.col("p_dec"), F.col(f"ra{i}"), F.col(f"dec{i}")) for i in range(len(epochs))]
-    joined = p.join(s, ["zone", "cell"]).withColumns({f"_sep{i}": sep for i, sep in enumerate(seps)})
-    # A star sits in one cell per epoch. Its pair is taken at the first epoch that is close enough, so no pair repeats.
+    joined = searches.join(stars, ["zone", "cell"]).withColumns({f"_sep{i}": sep for i, sep in enumerate(seps)})
     first_close = F.coalesce(*[F.when(F.col(f"_sep{i}") <= radius_arcsec, F.lit(i)) for i in range(len(epochs))])
-    hits = joined.filter(first_close == F.col("place.k"))
     least = F.least(*[F.col(f"_sep{i}") for i in range(len(epochs))]) if len(epochs) > 1 else F.col("_sep0")
-    return hits.withColumn("sep", least)
+    return joined.filter(first_close == F.col("k")).withColumn("sep", least)
+
+
+_LOCATED = "ra IS NOT NULL AND dec IS NOT NULL"
+
+
+def sky_radius_join(points: DataFrame, stars: DataFrame, radius_arcsec: float, epochs=(2016.0, 2000.0),
+                    pid: str = "pid", sid: str = "sid") -> DataFrame:
+    """(pid, sid, sep): all pairs closer than the radius at any of the epochs; the smallest separation counts.
+
+    `points` needs pid, ra, dec; `stars` needs sid, ra, dec, pmra, pmdec at the first epoch. Declination zones are
+    cut into right-ascension cells, so a pair is found by an equality join on its cell.
+    """
+    require(radius_arcsec > 0, "the radius must be positive")
+    reach = radius_arcsec / 3600.0 * (1 + 1e-6)
+    searches = _search_cells(points.filter(_LOCATED).select(pid, F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")), reach)
+    placed = _star_cells(stars.filter(_LOCATED).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
+    return _close_pairs(searches, placed, radius_arcsec, epochs).select(pid, sid, "sep")
 
 
 def sky_nearest(points: DataFrame, stars: DataFrame, radius_arcsec: float, epochs=(2016.0, 2000.0),
                 pid: str = "pid", sid: str = "sid") -> DataFrame:
     """(pid, sid, sep, candidates): the nearest star per point and how many lie within the radius.
 
-    Stars with the same position and motion are counted once per place before the join, points at the same
-    position are searched once, and the pairs are reduced map-side, so piles of copies stay cheap.
+    Points at one position are searched once. With few of them (counted first) their cells are broadcast and stars far
+    from all points never leave the task that read them. Stars with the same position and motion are counted once
+    before the join, and pairs are reduced map-side, so piles of copies stay cheap.
     """
     require(radius_arcsec > 0, "the radius must be positive")
-    place = ["ra", "dec", "pmra", "pmdec"]
-    stacks = stars.groupBy(*place).agg(F.min(sid).alias(sid), F.count("*").alias("_copies"))
-    spots = points.select("ra", "dec").distinct()
-    pairs = _radius_pairs(spots.select("ra", "dec", F.col("ra").alias("at_ra"), F.col("dec").alias("at_dec")), stacks, radius_arcsec, epochs)
-    best = pairs.groupBy("at_ra", "at_dec").agg(
-        F.min(F.struct("sep", F.col(sid))).alias("_best"), F.sum("_copies").alias("candidates"))
-    found = best.select(F.col("at_ra").alias("ra"), F.col("at_dec").alias("dec"), f"_best.{sid}", "_best.sep", "candidates")
+    reach = radius_arcsec / 3600.0 * (1 + 1e-6)
+    spots = write_scratch(points.filter(_LOCATED).select(F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")).distinct(), "spots")
+    few = spots.count() <= FEW_POSITIONS
+    searches = _search_cells(spots, reach)
+    placed = _star_cells(stars.filter(_LOCATED).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
+    if few:
+        searches = F.broadcast(searches)
+        placed = placed.join(F.broadcast(searches.select("zone", "cell").distinct()), ["zone", "cell"], "left_semi")
+    at = [f"{c}{i}" for i in range(len(epochs)) for c in ("ra", "dec")]
+    stacks = placed.groupBy("zone", "cell", "k", *at).agg(F.min(sid).alias(sid), F.count("*").alias("_copies"))
+    pairs = _close_pairs(searches, stacks, radius_arcsec, epochs)
+    best = pairs.groupBy("p_ra", "p_dec").agg(F.min(F.struct("sep", F.col(sid))).alias("_best"), F.sum("_copies").alias("candidates"))
+    found = best.select(F.col("p_ra").alias("ra"), F.col("p_dec").alias("dec"), f"_best.{sid}", "_best.sep", "candidates")
     return points.select(pid, "ra", "dec").join(found, ["ra", "dec"]).select(pid, sid, "sep", "candidates")
 
 
@@ -191,15 +213,25 @@ def nearest_same_distance(df: DataFrame, max_au: float = 1000.0, id_column: str
     return spread.select(F.col("id").alias(id_column), F.coalesce("au", F.lit(float("inf"))).alias("au"))
 
 
-def _cell(axis: str, radius_au: float) -> Column:
-    # The widest angle a row of this class can need, as a chord; classes span a factor of two in parallax.
+_AXES = ("ux", "uy", "uz")
+
+
+def _reach(radius_au: float) -> Column:
+    """The longest chord a search in this class can need; a class spans a factor of two in parallax."""
     arcsec = F.lit(radius_au / 1000.0) * F.pow(F.lit(2.0), F.col("class") + 1)
-    side = F.least(F.radians(arcsec / 3600.0) * _ROUNDING, F.lit(4.0))
-    return F.floor(F.col(axis) / side).cast("bigint")
+    return F.least(F.radians(arcsec / 3600.0) * _ROUNDING, F.lit(2.0))
 
 
 def _with_cell(df: DataFrame, radius_au: float) -> DataFrame:
-    return df.withColumns({f"c{a}": _cell(a, radius_au) for a in ("ux", "uy", "uz")})
+    """Cells are two reaches wide, so a search meets at most two per axis."""
+    return df.withColumns({f"c{a}": F.floor(F.col(a) / (2 * _reach(radius_au))) for a in _AXES})
+
+
+def _with_search_cells(df: DataFrame, radius_au: float) -> DataFrame:
+    r = _reach(radius_au)
+    for a in _AXES:
+        df = df.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(a) - r) / (2 * r)), F.floor((F.col(a) + r) / (2 * r)))))
+    return df
 
 
 def _radii(partners: DataFrame, max_au: float, crowd: int, max_levels: int) -> list[float]:
@@ -215,9 +247,7 @@ def _radii(partners: DataFrame, max_au: float, crowd: int, max_levels: int) -> l
 
 def _companions_within(search: DataFrame, partners: DataFrame, radius_au: float) -> DataFrame:
     """(id, place, au) of the rows of `search` that have a companion within the radius."""
-    a = _with_cell(search, radius_au)
-    for axis in ("cux", "cuy", "cuz"):
-        a = a.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
+    a = _with_search_cells(search, radius_au)
     b = _with_cell(partners, radius_au).select(
         "class", "cux", "cuy", "cuz", F.col("id").alias("b_id"), F.col("p").alias("bp"), F.col("e").alias("be"),
         F.col("ux").alias("bx"), F.col("uy").alias("by"), F.col("uz").alias("bz"))

@@ -9,9 +9,10 @@ from strata.functions.scalars import (
     AU_PER_PARSEC, MYR_PER_PC_PER_KM_S, absolute_magnitude, distance_pc, tangential_speed, total_motion, trailing_id,
 )
 from strata.operators.aggregates import count_where, median_of
-from strata.operators.joins import attach_errors, join_on_name, join_on_text_id
+from strata.operators.joins import attach_errors, existing_rows, join_on_name, join_on_text_id
 from strata.operators.spatial import band_neighbours, nearest_same_distance, sky_nearest
 from strata.operators.topk import top_k
+from strata.session import write_scratch
 
 # Default windows, limits and epochs.
 COLOUR_WINDOW, MAG_WINDOW, MIN_NEIGHBOURS = 0.15, 1.0, 5
@@ -78,14 +79,19 @@ def time_window(max_myr: float, past: bool = False) -> Column:
 
 
 def flybys(stars: DataFrame, errors: DataFrame | None = None, top: int = 15, max_myr: float = 5.0, past: bool = False) -> DataFrame:
-    """The `top` closest misses inside the time window. Error bars are joined to the final rows only."""
+    """The `top` closest misses inside the time window.
+
+    Error bars are looked up for the final rows only: those few ids are broadcast, so the error table is filtered where
+    it is read and never shuffled.
+    """
     require(top >= 1 and max_myr > 0, "top must be 1 or more and max_myr above 0")
     best = top_k(approaches(stars).filter(time_window(max_myr, past)), "miss_pc", top, tie="source_id")
     out = best.withColumn("miss_au", F.col("miss_pc") * AU_PER_PARSEC)
     if errors is None:
         return out
+    out = write_scratch(out, "flybys")
     bars = errors.select("source_id", F.col("radial_velocity_error").alias("rv_err_kms"), F.col("rv_nb_transits").alias("rv_transits"))
-    return attach_errors(out, bars)
+    return attach_errors(out, existing_rows(bars, out, "source_id"))
 
 
 def flyby_report(stars: DataFrame, errors: DataFrame | None = None, top: int = 15, max_myr: float = 5.0, past: bool = False) -> DataFrame:

@@ -161,7 +161,9 @@ def oof_scores(df: DataFrame, features, label: str, id_column: str = "source_id"
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     require(set(counts) <= {0, 1}, "labels must be 0 or 1")
     require(min(counts.get(0, 0), counts.get(1, 0)) >= k, f"need at least {k} rows of each label, have {counts}")
-    folded = write_scratch(assign_folds(df, id_column, label, k, seed), "folds")
+    # About 200,000 rows per hash bucket, so buckets stay small windows at any size.
+    buckets = min(262_144, max(1024, sum(counts.values()) // 200_000))
+    folded = write_scratch(assign_folds(df, id_column, label, k, seed, buckets), "folds")
     *fits, full = _fit_all(folded, features, label, k)
     score = F.when(F.col("fold") == 0, fits[0].score(features))
     for i in range(1, k):

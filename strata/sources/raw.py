@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from strata.functions.names import require
 from strata.functions.parsing import blank_to_null, parse
 from strata.functions.scalars import content_hash
+from strata.session import write_scratch
 from strata.sources.files import (
     RAW_COLUMNS, RAW_LAYOUT, SIDECAR_SUFFIX, is_missing_path, normal_path, raw_glob, scanned_path, with_path_parts,
 )
@@ -189,7 +190,7 @@ def page_audit(pages: DataFrame, fetch: str, page: str, rows: str, content: str,
         .when(F.col("hash") == F.col("hash_before"), "repeated")
         .when(F.col("n") < limit, "short")
     )
-    judged = p.join(before, ["fetch", "page"], "left").select("fetch", "page", "n", ending.alias("ending"))
+    judged = write_scratch(p.join(before, ["fetch", "page"], "left").select("fetch", "page", "n", ending.alias("ending")), "pages")
     last = judged.groupBy("fetch").agg(
         F.min(F.when(F.col("ending").isNotNull(), F.struct("page", "ending"))).alias("end"),
         F.max("page").alias("last_page"),
