@@ -31,6 +31,7 @@ _DATE = r"(\d{4}-\d{2}-\d{2}|\d{8})"
 _CLOCK = r"(\d{2}(?::\d{2}(?::\d{2})?)?|\d{4}|\d{6})"
 _ZONE = r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)"
 _TIMESTAMP = rf"^{_DATE}(?:.{_CLOCK}(?:[.,](\d+))?{_ZONE}?)?$"
+_PLAIN_DATE = r"^\d{4}-\d{2}-\d{2}$"
 _COMMON_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 
 
@@ -64,7 +65,9 @@ def _parse_float(text: Column) -> Column:
     plain = F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
     low = F.lower(text)
     return (
-        F.when(low.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
+        # Digits, signs and points only: the cast decides exactly as it should.
+        F.when(~text.rlike(r"[^0-9.+-]"), text.try_cast("double"))
+        .when(low.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
         .when(low.rlike(r"^[+]?inf(?:inity)?$"), F.lit(float("inf")))
         .when(low.rlike(r"^-inf(?:inity)?$"), F.lit(float("-inf")))
         .otherwise(plain)
@@ -94,7 +97,12 @@ def _parse_timestamp(text: Column) -> Column:
         F.substring(date, 1, 4), F.lit("-"), F.substring(date, 5, 2), F.lit("-"), F.substring(date, 7, 2),
         F.lit("T"), _padded_clock(clock), fraction, offset,
     )
-    value = F.when(text.rlike(_COMMON_TIMESTAMP), text).when(text.rlike(_TIMESTAMP), rebuilt)
+    # The two usual shapes need no taking apart.
+    value = (
+        F.when(text.rlike(_COMMON_TIMESTAMP), text)
+        .when(text.rlike(_PLAIN_DATE), F.concat(text, F.lit("T00:00:00Z")))
+        .when(text.rlike(_TIMESTAMP), rebuilt)
+    )
     return F.when(~text.startswith("0000"), value).try_cast("timestamp")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strata.functions.names import check_name, require
 from strata.functions.parsing import blank_to_null, check_types, parse
+from strata.sources.files import last_parts
 
 BAD = "_bad"  # names of the columns whose value in this row did not fit its type; NULL for a clean row
 
@@ -20,10 +21,11 @@ def _typed(df: DataFrame, texts: dict[str, Column], types: dict[str, str], unfit
         misfit = F.col(f"_text_{name}").isNotNull() & F.col(f"_value_{name}").isNull()
         return (misfit | F.col(f"_unfit_{name}")) if name in unfit else misfit
 
-    names = F.filter(F.array(*[F.when(bad(n), F.lit(n)) for n in types]), lambda x: x.isNotNull())
+    # Column names hold no commas; joining and splitting them stays inside generated code, unlike an array filter.
+    names = F.concat_ws(",", *[F.when(bad(n), F.lit(n)) for n in types])
     return parsed.select(
         *[F.col(f"_value_{n}").alias(n) for n in types], *helpers,
-        F.when(F.size(names) > 0, names).alias(BAD),
+        F.split(F.nullif(names, F.lit("")), ",").alias(BAD),
     )
 
 
@@ -33,6 +35,8 @@ def clean(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     `schema` maps column -> type; columns outside it are dropped, except helper columns (`path`, `_...`).
     """
     check_types(schema.values())
+    for name in schema:
+        check_name(name)
     absent = sorted(set(schema) - set(df.columns))
     require(not absent, f"columns missing from the data: {absent}")
     return _typed(df, {n: blank_to_null(F.col(n).cast("string")) for n in schema}, schema, {})
@@ -52,6 +56,8 @@ def clean_json(df: DataFrame, schema: dict[str, tuple[str, str]], record: str =
     """
     types = {name: t for name, (t, _) in schema.items()}
     check_types(types.values())
+    for name in schema:
+        check_name(name)
     picked = df.select(
         *[c for c in df.columns if c.startswith("_") or c == "path"],
         *[F.variant_get(F.col(record), _json_path(p), "variant").alias(f"_v_{n}") for n, (_, p) in schema.items()],
@@ -108,13 +114,9 @@ def write_clean(df: DataFrame, lake: str, source: str, dataset: str) -> str:
     Needs `path` from the scan. The row order and the bad-value list are stored too, so reports and the
     last-row-wins rule can be answered from the clean layer alone.
     """
-    from strata.sources.files import RAW_LAYOUT
-
     target = f"{lake.rstrip('/')}/clean/{source}/{dataset}"
-    out = df.withColumns({
-        "fetch_date": F.regexp_extract("path", RAW_LAYOUT, 3),
-        "raw_file": F.regexp_extract("path", RAW_LAYOUT, 4),
-    }).drop("path")
+    fetch_date, raw_file = last_parts()
+    out = df.withColumns({"fetch_date": fetch_date, "raw_file": raw_file}).drop("path")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fetch_date", "raw_file").parquet(target)
     return target
 

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strata.operators.cleaning import bad_value_counts, clean, clean_json, lineage_name, read_clean, write_clean
+from strata.functions.names import require
+from strata.operators.cleaning import bad_value_counts, clean, clean_json, read_clean, write_clean
+from strata.operators.sets import compare_tables, union_by_name
 from strata.operators.windows import latest_wins
 from strata.plans.registry import DATASETS, Dataset, registry_frame
 from strata.plans.warehouse import UpsertReport, Warehouse
@@ -15,7 +17,7 @@ from strata.session import write_scratch
 from strata.sources.csv import scan_csv
 from strata.sources.files import is_missing_path
 from strata.sources.json import scan_json
-from strata.sources.raw import provenance, raw_files
+from strata.sources.raw import provenance
 
 _ORDER = ("_fetched_at", "_path", "_row_pos")
 
@@ -92,6 +94,14 @@ def rebuild(spark: SparkSession, lake: str, target: Warehouse, replace: bool = F
     return report
 
 
+def compare_warehouses(a: Warehouse, b: Warehouse, tables: list[str] | None = None) -> DataFrame:
+    """(table, rows_a, rows_b, only_a, only_b, same) for each table, to prove that a rebuilt warehouse equals the live one."""
+    names = tables or a.tables()
+    require(bool(names), "no tables to compare")
+    rows = [compare_tables(a.table(n), b.table(n)).select(F.lit(n).alias("table"), "*") for n in names]
+    return union_by_name(*rows)
+
+
 @dataclass
 class IngestReport:
     table: str
@@ -138,5 +148,3 @@ def ingest_incremental(spark: SparkSession, lake: str, warehouse: Warehouse, dat
     """Take in whatever landed since last time; overlapping windows are harmless because of the upsert."""
     return ingest_files(spark, lake, warehouse, dataset, new_files(spark, lake, warehouse, dataset))
 
-
-__all__ = ["scan_dataset", "clean_files", "rebuild", "ingest_files", "ingest_incremental", "new_files", "lineage_name", "raw_files"]

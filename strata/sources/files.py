@@ -16,13 +16,21 @@ def raw_glob(lake: str, source: str = "*", dataset: str = "*", date: str = "*",
 
 
 def scanned_path() -> Column:
-    """Path of the file a row came from, decoded."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    """Path of the file a row came from, decoded. Evaluated per row, so the usual path passes through untouched."""
+    path = F.col("_metadata.file_path")
+    return F.when(path.contains("%"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
 
 
 def normal_path(path: Column) -> Column:
     """One spelling per path, since listings and scans write local URIs differently."""
-    return F.regexp_replace(path, r"^file:/+", "file:///")
+    short = path.startswith("file:/") & ~path.startswith("file:///")
+    return F.when(short, F.regexp_replace(path, r"^file:/+", "file:///")).otherwise(path)
+
+
+def last_parts(path: str = "path") -> tuple[Column, Column]:
+    """(date folder, file name) of a raw path, without a pattern match per row."""
+    tail = F.substring_index(path, "/", -2)
+    return F.substring_index(tail, "/", 1), F.substring_index(path, "/", -1)
 
 
 def with_path_parts(df: DataFrame, path: str = "path") -> DataFrame:

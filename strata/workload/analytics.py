@@ -25,45 +25,45 @@ def _errors(spark, sf):
 
 
 @query("derived_columns", f"""
-    SELECT source_id, round(1000 / parallax, 6) AS pc, round({_SPEED}, 6) AS km_s, round({_ABS}, 6) AS abs_g
+    SELECT source_id, 1000 / parallax AS pc, {_SPEED} AS km_s, round({_ABS}, 6) AS abs_g
     FROM ({stars_sql(*_ORDERS)}) WHERE parallax > 0""")
 def derived_columns(spark, sf):
     rows = astro.with_abs_mag(astro.with_speed(astro.with_distance(stars(spark, sf, *_ORDERS).filter("parallax > 0"))))
-    return rows.select("source_id", *[r6(c).alias(c) for c in ("pc", "km_s", "abs_g")])
+    return rows.select("source_id", "pc", "km_s", r6("abs_g").alias("abs_g"))
 
 
 @query("fastest_movers", f"""
-    SELECT source_id, round(1000 / parallax, 6) AS pc, round({_SPEED}, 6) AS km_s, round(sqrt(pmra * pmra + pmdec * pmdec), 6) AS pm_mas_yr, phot_g_mean_mag AS g_mag
+    SELECT source_id, 1000 / parallax AS pc, {_SPEED} AS km_s, sqrt(pmra * pmra + pmdec * pmdec) AS pm_mas_yr, phot_g_mean_mag AS g_mag
     FROM ({stars_sql(*_ORDERS)}) WHERE {_MOVING} ORDER BY {_SPEED} DESC, source_id LIMIT 30""")
 def fastest_movers(spark, sf):
     _, rows = astro.fastest(stars(spark, sf, *_ORDERS), 30)
-    return rows.select("source_id", *[r6(c).alias(c) for c in ("pc", "km_s", "pm_mas_yr")], "g_mag")
+    return rows.select("source_id", "pc", "km_s", "pm_mas_yr", "g_mag")
 
 
-@query("median_speed", f"SELECT count(*) AS n, round(median({_SPEED}), 6) AS median FROM ({stars_sql(*_ORDERS)}) WHERE {_MOVING}")
+@query("median_speed", f"SELECT count(*) AS n, median({_SPEED}) AS median FROM ({stars_sql(*_ORDERS)}) WHERE {_MOVING}")
 def median_speed(spark, sf):
     middle, _ = astro.fastest(stars(spark, sf, *_ORDERS))
-    return middle.select("n", r6("median").alias("median"))
+    return middle
 
 
 @query("flybys", f"""
-    SELECT a.source_id, round(when_myr, 6) AS when_myr, round(miss_pc, 6) AS miss_pc, round(miss_pc * {AU_PER_PARSEC}::DOUBLE, 2) AS miss_au,
+    SELECT a.source_id, when_myr, miss_pc, miss_pc * {AU_PER_PARSEC}::DOUBLE AS miss_au,
            o_totalprice / 1000 AS rv_err_kms, o_custkey % 50 AS rv_transits
     FROM (SELECT source_id, {_WHEN} AS when_myr, {_MISS} AS miss_pc FROM ({stars_sql(*_ORDERS)}) WHERE radial_velocity IS NOT NULL AND {_MOVING}) a
     LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 1) e ON o_orderkey = source_id
     WHERE when_myr > 0 AND when_myr <= 5 ORDER BY a.miss_pc, a.source_id LIMIT 40""")
 def flybys(spark, sf):
     rows = astro.flybys(stars(spark, sf, *_ORDERS), _errors(spark, sf), 40)
-    return rows.select("source_id", r6("when_myr").alias("when_myr"), r6("miss_pc").alias("miss_pc"), F.round("miss_au", 2).alias("miss_au"), "rv_err_kms", "rv_transits")
+    return rows.select("source_id", "when_myr", "miss_pc", "miss_au", "rv_err_kms", "rv_transits")
 
 
 @query("flybys_past", f"""
-    SELECT source_id, round(when_myr, 6) AS when_myr, round(miss_pc, 6) AS miss_pc FROM
+    SELECT source_id, when_myr, miss_pc FROM
       (SELECT source_id, {_WHEN} AS when_myr, {_MISS} AS miss_pc FROM ({stars_sql(*_ORDERS)}) WHERE radial_velocity IS NOT NULL AND {_MOVING})
-    WHERE when_myr < 0 AND when_myr >= -0.5 ORDER BY flybys_past.miss_pc, source_id LIMIT 40""".replace("flybys_past.", ""))
+    WHERE when_myr < 0 AND when_myr >= -0.5 ORDER BY miss_pc, source_id LIMIT 40""")
 def flybys_past(spark, sf):
     rows = astro.flybys(stars(spark, sf, *_ORDERS), None, 40, 0.5, past=True)
-    return rows.select("source_id", r6("when_myr").alias("when_myr"), r6("miss_pc").alias("miss_pc"))
+    return rows.select("source_id", "when_myr", "miss_pc")
 
 
 @query("flyby_counts", f"""
@@ -76,11 +76,11 @@ def flyby_counts(spark, sf):
 @query("density_misfits", f"""
     WITH s AS (SELECT source_id, parallax, phot_g_mean_mag AS g, bp_rp, {_ABS} AS abs_g FROM ({stars_sql()})
                WHERE bp_rp IS NOT NULL AND phot_g_mean_mag IS NOT NULL AND parallax > 0)
-    SELECT a.source_id, round(1000 / a.parallax, 6) AS pc, a.g AS g_mag, a.bp_rp, round(a.abs_g, 6) AS abs_g, count(*) - 1 AS neighbours
+    SELECT a.source_id, 1000 / a.parallax AS pc, a.g AS g_mag, a.bp_rp, round(a.abs_g, 6) AS abs_g, count(*) - 1 AS neighbours
     FROM s a JOIN s b ON abs(a.bp_rp - b.bp_rp) <= 0.15 AND abs(a.abs_g - b.abs_g) <= 1.0 GROUP BY ALL HAVING count(*) - 1 < 12""")
 def density_misfits(spark, sf):
     rows = astro.misfits(stars(spark, sf), min_neighbours=12)
-    return rows.select("source_id", r6("pc").alias("pc"), "g_mag", "bp_rp", r6("abs_g").alias("abs_g"), "neighbours")
+    return rows.select("source_id", "pc", "g_mag", "bp_rp", r6("abs_g").alias("abs_g"), "neighbours")
 
 
 @query("misfit_counts", f"""

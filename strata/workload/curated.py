@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strata.plans.ingest import rebuild
+from strata.plans.ingest import compare_warehouses, ingest_incremental, rebuild
 from strata.plans.registry import Dataset
 from strata.plans.warehouse import UpsertReport, Warehouse
 from strata.session import scratch_dir
@@ -150,6 +150,15 @@ def rebuild_equivalence(spark, sf):
     return shown(wh.table("shop.orders"))
 
 
+@query("rebuild_comparison", f"SELECT 'shop.orders' AS \"table\", count(*) AS rows_a, count(*) AS rows_b, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, true AS same FROM ({FETCHES_SQL})")
+def rebuild_comparison(spark, sf):
+    """The lake taken in incrementally against the lake rebuilt from raw."""
+    lake, live, fresh = fetches_lake(spark, sf), warehouse(spark), warehouse(spark)
+    ingest_incremental(spark, lake, live, ORDERS)
+    rebuild(spark, lake, fresh, datasets={("shop", "orders"): ORDERS})
+    return compare_warehouses(live, fresh)
+
+
 @query("rebuild_report", f"SELECT 'shop.orders' AS \"table\", count(*) AS n_rows, CAST(1 AS BIGINT) AS unknown FROM ({FETCHES_SQL})")
 def rebuild_report(spark, sf):
     report = rebuild(spark, fetches_lake(spark, sf), warehouse(spark), datasets={("shop", "orders"): ORDERS})
