@@ -1,6 +1,6 @@
 """The subpackage's registered queries: importing the operators registers them."""
 
-from strata.llm import bpe, lines, packing, secrets, simhash, topk, toxicity  # noqa: F401
+from strata.llm import bpe, lines, packing, quality, secrets, simhash, topk, toxicity  # noqa: F401
 from strata.llm.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,7 +2,7 @@ r"""Toxicity grades by cumulative-link ordinal regression.
 
 Labels say toxic or not. Features are words and word beginnings; those whose document frequencies differ most between the two classes,
 by the log-likelihood ratio and beyond a level that chance hardly reaches, make the vocabulary (a bounded number, counted by Spark
-over the labelled sample). The share of a toxic text's words that hit features of toxic texts sorts it into
+over the labelled sample). The number of a toxic text's words that are features of toxic texts sorts it into
 grades 1 to GRADES, and clean texts are grade 0. The model has one weight per feature, shared by all thresholds, and ordered thresholds: P(grade >= j) = sigmoid(w . x - t_j), t_1 < t_2 < ..., fitted by penalised likelihood on at most
 `sample` labelled documents. Scoring is one pass that sends no text; severity is the expected grade, the sum of P(grade >= j).
 
@@ -33,7 +33,7 @@ BEGINNING = 5
 PENALTY = 1e-5
 ROUNDS = 400
 #: A document is rejected when P(grade >= 1) is at least this.
-REJECT_AT = 0.5
+REJECT_AT = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -111,16 +111,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [words_of(t) for t in batch.column(1).to_pylist()]
-            found = [features_of(w) for w in each]
+            found = [features_of(words_of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(list(map(len, each)), pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string())),
-                 pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "n", "words", "counts"])
+                [batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())),
+                 pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "counts"])
 
     # `chosen` has at most `sample` rows of two numbers
     sampled = write_scratch(
         docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
-        .mapInArrow(counted, "doc_id long, toxic int, n long, words array<string>, counts array<long>"), "labelled-words")
+        .mapInArrow(counted, "doc_id long, toxic int, words array<string>, counts array<long>"), "labelled-words")
     sizes = {r["toxic"]: r["n"] for r in sampled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return nothing
@@ -147,24 +146,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, strong = shared.value
         for batch in batches:
-            columns, values, density = [], [], []
-            for n, words, counts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            columns, values, hits = [], [], []
+            for words, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 kept = [(place[w], c) for w, c in zip(words, counts) if w in place]
                 columns.append([k for k, _ in kept])
                 values.append([c for _, c in kept])
-                density.append(sum(c for w, c in zip(words, counts) if w in strong) / max(1, n))
+                hits.append(sum(c for w, c in zip(words, counts) if w in strong))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(density, pa.float64()), pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))],
-                ["doc_id", "toxic", "density", "columns", "counts"])
+                [batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))],
+                ["doc_id", "toxic", "hits", "columns", "counts"])
 
     # at most `sample` rows of vocabulary counts; sorted, as the sums below depend on the order
-    fit = sampled.mapInArrow(features, "doc_id long, toxic int, density double, columns array<int>, counts array<long>").toArrow().sort_by("doc_id")
-    toxic, density = np.asarray(fit["toxic"]), np.asarray(fit["density"])
+    fit = sampled.mapInArrow(features, "doc_id long, toxic int, hits long, columns array<int>, counts array<long>").toArrow().sort_by("doc_id")
+    toxic, hits = np.asarray(fit["toxic"]), np.asarray(fit["hits"])
     lists = fit["columns"].combine_chunks()
     rows = np.repeat(np.arange(len(toxic)), np.diff(np.asarray(lists.offsets)))
     columns, values = np.asarray(lists.flatten()), np.log1p(np.asarray(fit["counts"].combine_chunks().flatten()))
-    edges = np.quantile(density[toxic == 1], np.arange(1, grades) / grades)
-    grade = np.where(toxic == 1, 1 + np.searchsorted(np.unique(edges), density), 0)
+    edges = np.quantile(hits[toxic == 1], np.arange(1, grades) / grades)
+    grade = np.where(toxic == 1, 1 + np.searchsorted(np.unique(edges), hits), 0)
     weights, thresholds = fit_ordinal(rows, columns, values, grade, len(index))
     return OrdinalModel({w: float(weights[i]) for w, i in index.items()}, thresholds)
 
