@@ -17,12 +17,17 @@ BLANKS = " \t\n\x0b\x0c\r"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are kept small because one row may be a very long text."""
+    if int(spark.conf.get(ARROW_ROWS, "10000")) > 2000:
+        spark.conf.set(ARROW_ROWS, "2000")
+
+
 def query(name: str, sql: str | None = None):
-    """Register `fn(spark, sf_dir)`; Arrow batches are kept small because one row may be a very long text."""
+    """Register `fn(spark, sf_dir)`."""
     def keep(fn):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            if int(spark.conf.get(ARROW_ROWS, "10000")) > 2000:
-                spark.conf.set(ARROW_ROWS, "2000")
+            small_batches(spark)
             return fn(use_utc(spark), sf)
 
         QUERIES[name] = run
@@ -42,6 +47,28 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): every other column goes into one struct, so that its name cannot clash on the way."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+        (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that `packed` was given, with n_chars, if it is one of them, counted anew."""
+    def column(c: str) -> Column:
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        return F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("rest").getField(c).alias(c)
+
+    return rows.select(*map(column, columns))
+
+
+def schema_text(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strata.llm.base import SPANS_TYPE, query, span_digest, table, texts
+from strata.llm.base import SPANS_TYPE, query, schema_text, span_digest, table, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Documents whose candidates the trees are fitted on at most; precision asked of each kind on the held-out third.
@@ -299,8 +299,7 @@ def with_spans(docs: DataFrame, model: PiiModel) -> DataFrame:
             redacted = [redact(t, f) if f else t for t, f in zip(texts_, found)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind), pa.array(redacted, pa.string())], [*batch.schema.names, "spans", "redacted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, spans {SPANS_TYPE}, redacted string")
+    return docs.mapInArrow(run, f"{schema_text(docs)}, spans {SPANS_TYPE}, redacted string")
 
 
 @query("op6_pii")

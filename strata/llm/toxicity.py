@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strata.llm.base import query, table, texts
+from strata.llm.base import query, schema_text, table, texts
 from strata.session import write_scratch
 
 #: Labelled documents the fit reads at most, features at most, the least log-likelihood ratio of a feature, letters of a beginning.
@@ -169,18 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """(doc_id, p_toxic, severity) for every row of doc_id and text."""
+    """Rows of `docs`, among whose columns is text, with p_toxic (the probability of grade 1 or more) and the expected severity."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
             n = batch.num_rows
-            tails = fitted.tails(np.array([fitted.score(t) for t in batch.column(1).to_pylist()], dtype=float).reshape(n))
+            tails = fitted.tails(np.array([fitted.score(t) for t in batch.column(at).to_pylist()], dtype=float).reshape(n))
             toxic = tails[:, 0] if tails.shape[1] else np.zeros(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(toxic), pa.array(tails.sum(axis=1))], ["doc_id", "p_toxic", "severity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic), pa.array(tails.sum(axis=1))], [*batch.schema.names, "p_toxic", "severity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, p_toxic double, severity double")
+    return docs.mapInArrow(run, f"{schema_text(docs)}, p_toxic double, severity double")
 
 
 @query("op8_toxicity")
