@@ -63,7 +63,7 @@ def flip_masks(radius: int, bits: int = _BITS) -> list[int]:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) with a's and b's fingerprints within `radius` bits; `distinct` holds each fingerprint once as fp."""
+    """(a, b), a < b, each pair of fingerprints within `radius` bits once; `distinct` holds each fingerprint once as fp."""
     masks = F.array(*[F.lit(m).cast("long") for m in flip_masks(radius // SEGMENTS)])
 
     def segment(fp: Column, s: int) -> Column:
@@ -84,7 +84,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = distinct.select(F.col("fp").alias("b"), own.alias("key"))
     probes = distinct.select(F.col("fp").alias("a"), near.alias("key"))
     return (probes.join(rows, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-            .select("a", "b"))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     """(doc_id, fp, component_id, links): `links` counts the other fingerprints within `radius`; `docs` holds doc_id and text."""
     each = write_scratch(fingerprints(docs, words), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = write_scratch(links(distinct.select("fp"), radius).distinct(), "pairs")
+    found = write_scratch(links(distinct.select("fp"), radius), "pairs")
     degree = found.select("a").union(found.select("b")).groupBy("a").count()
     rooted = (distinct.join(components(found).withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))

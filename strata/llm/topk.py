@@ -128,13 +128,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n_q = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
 
-    def blocks(rows: DataFrame, is_query: bool, own: int, other: int) -> DataFrame:
+    def numbered(rows: DataFrame, is_query: bool, own: int) -> DataFrame:
         # the row's number in its partition spreads rows that are alike
         mine = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        names = ("query_block", "block") if is_query else ("block", "query_block")
-        return rows.select("vec_id", "v", F.size("v").alias("d"), F.lit(is_query).alias("is_query"), mine.alias(names[0]), every.alias(names[1])) \
-            .select("block", "query_block", "d", "is_query", "vec_id", "v")
+        return rows.select("vec_id", "v", F.size("v").alias("d"), F.lit(is_query).alias("is_query"), mine.alias("own"))
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
@@ -144,7 +141,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         found = cell_topk(flat[is_query], ids[is_query], np.ascontiguousarray(flat[~is_query].T), ids[~is_query], k)
         return pa.table([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
 
-    rows = write_scratch(blocks(vectors, False, n_x, n_q).union(blocks(queries, True, n_q, n_x)), "vector-blocks")
+    # written once, so that a row keeps its block; only then sent to every block of the other side
+    stored = write_scratch(numbered(vectors, False, n_x).union(numbered(queries, True, n_q)), "vector-blocks")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), n_x).otherwise(n_q) - 1))
+    rows = stored.withColumn("other", every).select(
+        F.when(F.col("is_query"), F.col("other")).otherwise(F.col("own")).alias("block"),
+        F.when(F.col("is_query"), F.col("own")).otherwise(F.col("other")).alias("query_block"), "d", "is_query", "vec_id", "v")
     found = rows.groupBy("block", "query_block", "d").applyInArrow(run, _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -33,7 +33,7 @@ BEGINNING = 5
 PENALTY = 1e-5
 ROUNDS = 400
 #: A document is rejected when P(grade >= 1) is at least this.
-REJECT_AT = 0.7
+REJECT_AT = 0.6
 
 _WORD = re.compile(r"[^\W\d_]+")
 
