@@ -133,12 +133,14 @@ def _score_steps(df: DataFrame, score: str, label: str, buckets: int) -> DataFra
     )
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str, buckets: int = 256) -> DataFrame:
+def ranking_metrics(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
     """One row (n, positives, auc, avg_precision, base_rate) of a 0/1 label ranked by a score.
 
-    AUC is the rank statistic with ties counted half; average precision is the step sum over distinct scores.
+    AUC is the rank statistic with ties counted half; average precision is the step sum over distinct scores. Unless
+    given, the number of score ranges follows the rows, a million to a range.
     """
-    steps = _score_steps(df.select(score, label).filter(F.col(score).isNotNull() & F.col(label).isNotNull()), score, label, buckets)
+    rows = df.select(score, label).filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    steps = _score_steps(rows, score, label, buckets or max(16, rows.count() // 1_000_000))
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp = F.col("pos_before") + pos
     precision = tp / (tp + F.col("neg_before") + neg)

@@ -14,6 +14,14 @@ from strata.session import write_scratch
 _ROUNDING = 1 + 1e-9
 
 
+def finite(*columns: str) -> Column:
+    """True where all columns hold plain numbers: not null, NaN or infinite."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.coalesce((F.abs(F.col(c).cast("double")) < float("inf")) & ~F.isnan(F.col(c).cast("double")), F.lit(False))
+    return out
+
+
 def _offsets(reach: int) -> Column:
     return F.sequence(F.lit(-reach), F.lit(reach))
 
@@ -24,12 +32,13 @@ def band_neighbours(df: DataFrame, id_column: str, x: str, y: str, wx: float, wy
     Cells are a third of a window wide, so all rows of a 3x3 block are neighbours of the rows in its centre cell.
     The block totals alone clear every row of a crowded block; only the few rows of sparse blocks are compared
     one by one, with the rows of the outer ring of cells. Pairs stay linear in the rows, however crowded a cell is.
+    A row whose x or y is null, NaN or infinite is near nothing, not even itself, and is left out.
     """
     require(wx > 0 and wy > 0, "windows must be positive")
     require(below >= 1, "below must be 1 or more")
     rows = df.select(
         F.col(id_column).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-    ).filter(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumns({
+    ).filter(finite("x") & finite("y")).withColumns({
         "cx": F.floor(F.col("x") / (wx / 3 * _ROUNDING)), "cy": F.floor(F.col("y") / (wy / 3 * _ROUNDING))})
     cells = rows.groupBy("cx", "cy").agg(F.count("*").alias("n"))
     spread = _shifted(cells, 1).select(
@@ -70,10 +79,6 @@ def small_angle_sep(p_ra: Column, p_dec: Column, s_ra: Column, s_dec: Column) ->
     return 3600.0 * F.sqrt(d_ra * d_ra + d_dec * d_dec)
 
 
-# Up to this many search positions are broadcast: with their cells that is some ten megabytes.
-FEW_POSITIONS = 50_000
-
-
 def _ra_cells(zone: Column, reach: float) -> tuple[Column, Column]:
     """(cells, half width of a search in degrees) of a declination zone two reaches high.
 
@@ -107,6 +112,7 @@ def _star_cells(stars: DataFrame, reach: float, epochs) -> DataFrame:
         stars = stars.withColumns({f"ra{i}": ra, f"dec{i}": dec})
     places = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"ra{i}").alias("ra"), F.col(f"dec{i}").alias("dec")) for i in range(len(epochs))])
     s = stars.drop("ra", "dec", "pmra", "pmdec").withColumn("place", F.explode(places))
+    s = s.filter(finite("place.ra", "place.dec"))  # a motion without bounds leaves no position
     s = s.withColumn("zone", F.floor(F.col("place.dec") / (2 * reach)))
     n, _ = _ra_cells(F.col("zone"), reach)
     cell = F.pmod(F.floor(_turn(F.col("place.ra")) / 360.0 * n), n)
@@ -122,7 +128,6 @@ def _close_pairs(searches: DataFrame, stars: DataFrame, radius_arcsec: float, ep
     return joined.filter(first_close == F.col("k")).withColumn("sep", least)
 
 
-_LOCATED = "ra IS NOT NULL AND dec IS NOT NULL"
 
 
 def sky_radius_join(points: DataFrame, stars: DataFrame, radius_arcsec: float, epochs=(2016.0, 2000.0),
@@ -134,8 +139,8 @@ def sky_radius_join(points: DataFrame, stars: DataFrame, radius_arcsec: float, e
     """
     require(radius_arcsec > 0, "the radius must be positive")
     reach = radius_arcsec / 3600.0 * (1 + 1e-6)
-    searches = _search_cells(points.filter(_LOCATED).select(pid, F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")), reach)
-    placed = _star_cells(stars.filter(_LOCATED).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
+    searches = _search_cells(points.filter(finite("ra", "dec")).select(pid, F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")), reach)
+    placed = _star_cells(stars.filter(finite("ra", "dec")).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
     return _close_pairs(searches, placed, radius_arcsec, epochs).select(pid, sid, "sep")
 
 
@@ -143,19 +148,15 @@ def sky_nearest(points: DataFrame, stars: DataFrame, radius_arcsec: float, epoch
                 pid: str = "pid", sid: str = "sid") -> DataFrame:
     """(pid, sid, sep, candidates): the nearest star per point and how many lie within the radius.
 
-    Points at one position are searched once. With few of them (counted first) their cells are broadcast and stars far
-    from all points never leave the task that read them. Stars with the same position and motion are counted once
-    before the join, and pairs are reduced map-side, so piles of copies stay cheap.
+    Points at one position are searched once. They are written out first, so Spark knows their size and decides by it how
+    to join. Stars with the same position and motion are counted once before the join, and pairs are reduced map-side,
+    so piles of copies stay cheap. Positions that are null, NaN or infinite match nothing.
     """
     require(radius_arcsec > 0, "the radius must be positive")
     reach = radius_arcsec / 3600.0 * (1 + 1e-6)
-    spots = write_scratch(points.filter(_LOCATED).select(F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")).distinct(), "spots")
-    few = spots.count() <= FEW_POSITIONS
+    spots = write_scratch(points.filter(finite("ra", "dec")).select(F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")).distinct(), "spots")
     searches = _search_cells(spots, reach)
-    placed = _star_cells(stars.filter(_LOCATED).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
-    if few:
-        searches = F.broadcast(searches)
-        placed = placed.join(F.broadcast(searches.select("zone", "cell").distinct()), ["zone", "cell"], "left_semi")
+    placed = _star_cells(stars.filter(finite("ra", "dec")).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
     at = [f"{c}{i}" for i in range(len(epochs)) for c in ("ra", "dec")]
     stacks = placed.groupBy("zone", "cell", "k", *at).agg(F.min(sid).alias(sid), F.count("*").alias("_copies"))
     pairs = _close_pairs(searches, stacks, radius_arcsec, epochs)
@@ -165,19 +166,19 @@ def sky_nearest(points: DataFrame, stars: DataFrame, radius_arcsec: float, epoch
 
 
 def nearest_same_distance(df: DataFrame, max_au: float = 1000.0, id_column: str = "source_id",
-                          crowd: int = 256, max_levels: int = 8) -> DataFrame:
+                          crowd: int = 256) -> DataFrame:
     """(id, au): projected distance to the nearest other row at the same distance, infinity if none below max_au.
 
     Two rows are at the same distance if their parallaxes agree within 3 * hypot(e1, e2) + 0.02 * max(p1, p2);
-    the separation is the angle times the row's own distance. Rows without a position or a positive parallax
-    are left out.
+    the separation is the angle times the row's own distance. Rows whose position or parallax is null, NaN or
+    infinite, or whose parallax is not positive, are left out.
 
     Exact copies are each other's companion at distance zero and leave the search. The others meet in 3-D cells
     of their parallax class. Where cells are crowded the search runs over growing radii and only rows still
     without a companion go on to the next one.
     """
     require(max_au > 0, "max_au must be positive")
-    usable = df.filter((F.col("parallax") > 0) & F.col("ra").isNotNull() & F.col("dec").isNotNull())
+    usable = df.filter((F.col("parallax") > 0) & finite("ra", "dec", "parallax"))
     rows = usable.select(
         F.col(id_column).alias("id"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"),
         F.col("parallax").cast("double").alias("p"), F.coalesce(F.col("parallax_error").cast("double"), F.lit(0.0)).alias("e"))
@@ -203,7 +204,7 @@ def nearest_same_distance(df: DataFrame, max_au: float = 1000.0, id_column: str
     partners = stacks.withColumn("class", F.explode(reach))
     search = stacks.filter("copies = 1")
     best = stacks.filter("copies > 1").select(*place, F.lit(0.0).alias("au"))
-    for radius in _radii(partners, max_au, crowd, max_levels):
+    for radius in _radii(partners, max_au, crowd):
         found = _companions_within(search, partners, radius)
         if radius < max_au:
             found = write_scratch(found, "companions")
@@ -213,6 +214,9 @@ def nearest_same_distance(df: DataFrame, max_au: float = 1000.0, id_column: str
     return spread.select(F.col("id").alias(id_column), F.coalesce("au", F.lit(float("inf"))).alias("au"))
 
 
+#: Unit vectors of double precision do not tell positions apart below this separation of a star at one parsec.
+ROUNDING_AU = 1e-10
+
 _AXES = ("ux", "uy", "uz")
 
 
@@ -234,10 +238,13 @@ def _with_search_cells(df: DataFrame, radius_au: float) -> DataFrame:
     return df
 
 
-def _radii(partners: DataFrame, max_au: float, crowd: int, max_levels: int) -> list[float]:
-    """Search radii, smallest first: shrink by 8 until no cell holds more than `crowd` rows."""
+def _radii(partners: DataFrame, max_au: float, crowd: int) -> list[float]:
+    """Search radii, smallest first: shrink by 8 until no cell holds more than `crowd` rows.
+
+    Rows at one position have collapsed before, so cells thin out until they are smaller than the rounding of a position.
+    """
     radii = [max_au]
-    while len(radii) < max_levels:
+    while radii[-1] > ROUNDING_AU:
         fullest = _with_cell(partners, radii[-1]).groupBy("class", "cux", "cuy", "cuz").count().agg(F.max("count")).first()[0]
         if (fullest or 0) <= crowd:
             break

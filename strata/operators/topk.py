@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strata.functions.names import require
 
 
-def top_k(df: DataFrame, by, k: int | None = None, desc: bool = False, tie: str | None = None) -> DataFrame:
-    """The first k rows by one or more columns; one heap per task, no full sort when k is given."""
+def top_k(df: DataFrame, by, k: int | None = None, desc: bool = False, tie=()) -> DataFrame:
+    """The first k rows by one or more columns, ties by further columns upwards; one heap per task, no full sort when k is given."""
     require(k is None or k >= 1, "k must be 1 or more")
     names = [by] if isinstance(by, str) else list(by)
     order = [F.col(n).desc() if desc else F.col(n).asc() for n in names]
-    out = df.orderBy(*order, *([F.col(tie).asc()] if tie else []))
+    ties = [tie] if isinstance(tie, str) else list(tie or ())
+    out = df.orderBy(*order, *[F.col(t).asc() for t in ties])
     return out if k is None else out.limit(k)
 
 

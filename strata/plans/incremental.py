@@ -127,7 +127,7 @@ def refresh(spark: SparkSession, lake: str, warehouse: Warehouse, datasets=(PLAN
         try:
             r = ingest_files(spark, lake, warehouse, dataset, new_files(spark, lake, warehouse, dataset))
         except Exception as error:  # noqa: BLE001 - reported as a failed step
-            steps.append((dataset.name, False, 2, f"failed: {type(error).__name__}: {error}"[:500]))
+            steps.append((dataset.name, False, 2, f"failed: {type(error).__name__}: {error}"))
             continue
         if not r.files:
             steps.append((dataset.name, True, 0, "already taken in: skipped"))

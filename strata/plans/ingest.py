@@ -37,12 +37,14 @@ def clean_files(spark: SparkSession, lake: str, dataset: Dataset, manifest: Data
     # The manifest is written out, so joins with it know its real (small) size.
     files = write_scratch(manifest.select("path", "fetch_date", F.col("filename").alias("raw_file"), "size_bytes",
                                           F.col("fetched_at").alias("_fetched_at")), "manifest")
-    listed = files.select("path", "size_bytes").collect()
+    listed = files.select("path", "size_bytes", "fetch_date").collect()
     hollow = [r["path"] for r in listed if not r["size_bytes"]]
     if hollow:
         raise ValueError(f"empty raw file, it has no header or list: {hollow[0]}")
     write_clean(scan_dataset(spark, dataset, [r["path"] for r in listed]), lake, dataset.source, dataset.name)
     rows = read_clean(spark, lake, dataset.source, dataset.name, dataset.spark_types())
+    # Literal dates prune the clean layer to the batch's days; the join picks its files among these.
+    rows = rows.filter(F.col("fetch_date").isin(sorted({r["fetch_date"] for r in listed})))
     chosen = files.select("fetch_date", "raw_file", "_fetched_at")
     return rows.join(chosen, ["fetch_date", "raw_file"]).withColumn("_path", F.concat_ws("/", "fetch_date", "raw_file"))
 
@@ -90,7 +92,7 @@ def rebuild(spark: SparkSession, lake: str, target: Warehouse, replace: bool = F
         report.files += groups[pair]["files"]
     # About 256 MB of raw text per stored part of the largest dataset.
     largest = max((groups[pair]["bytes"] or 0 for pair in known if pair in groups), default=0)
-    report.tables = target.publish_all(frames, parts=min(4096, max(8, largest // 268_435_456)), drop_others=True)
+    report.tables = target.publish_all(frames, parts=max(8, largest // 268_435_456), drop_others=True)
     return report
 
 

@@ -118,31 +118,45 @@ def _newton_pass(rows: DataFrame, beta: np.ndarray, k: int) -> tuple[np.ndarray,
     return out_loss, gradient, curvature
 
 
-def _fit_all(df: DataFrame, features, label: str, k: int, steps: int = 50) -> list[Fit]:
+def damped_newton(evaluate, ridge: np.ndarray, steps: int = 100, start: np.ndarray | None = None) -> np.ndarray:
+    """Minimise all penalised losses at once, one call of `evaluate` (loss, gradient, curvature of each model) per round.
+
+    Each model keeps its last good point. A trial that is worse is tried again at half the step from that same point; a good
+    one becomes the new point and gets a fresh Newton step. A model whose fresh step is tiny has settled; all must.
+    """
+    good = np.zeros_like(ridge) if start is None else np.array(start, dtype=float)
+    value, step = np.full(len(good), np.inf), np.zeros_like(good)
+    settled = np.zeros(len(good), dtype=bool)
+    for _ in range(steps):
+        trial = good + step
+        loss, gradient, curvature = evaluate(trial)
+        tried = loss + 0.5 * (ridge * trial * trial).sum(axis=1)
+        better = ~(tried > value + 1e-9 * np.maximum(1.0, np.abs(value)))
+        slope = gradient - ridge * trial
+        fresh = np.stack([np.linalg.solve(c + np.diag(r), s) for c, r, s in zip(curvature, ridge, slope)])
+        good, value = np.where(better[:, None], trial, good), np.where(better, tried, value)
+        step = np.where(better[:, None], fresh, 0.5 * step)
+        settled = better & (np.abs(fresh).max(axis=1) < 1e-6)
+        # Steps shrink quadratically: after one this small the error is far below rounding.
+        if settled.all():
+            return good + step
+    m = int(np.flatnonzero(~settled)[0])
+    raise RuntimeError(f"model {m} has not settled after {steps} rounds; gradient norm {np.linalg.norm(slope[m]):.3g}")
+
+
+def _fit_all(df: DataFrame, features, label: str, k: int, steps: int = 100) -> list[Fit]:
     """The k fold models and the full one: L2-penalised logistic regression with C = 1 on features standardised inside
     each training set, intercept not penalised.
 
     All models take their Newton steps together, so a fit is about ten passes over the data whatever k is. In the
     shared scale g the penalty of a model is half of sum((sigma * beta)^2), with sigma the deviation in its training set.
+    A fit that has not settled after `steps` passes is an error.
     """
     rows, mean, scale = _centred(df, features, label)
     d = len(features)
     mu, sigma = _fold_moments(rows, d, k)
     ridge = np.hstack([np.zeros((k + 1, 1)), sigma * sigma])
-    beta, best, step = np.zeros((k + 1, d + 1)), np.full(k + 1, np.inf), np.zeros((k + 1, d + 1))
-    for _ in range(steps):
-        loss, gradient, curvature = _newton_pass(rows, beta, k)
-        value = loss + 0.5 * (ridge * beta * beta).sum(axis=1)
-        worse = value > best + 1e-9 * np.maximum(1.0, np.abs(best))
-        slope = gradient - ridge * beta
-        fresh = np.stack([np.linalg.solve(curvature[m] + np.diag(ridge[m]), slope[m]) for m in range(k + 1)])
-        # A step that made things worse is taken back by half.
-        step = np.where(worse[:, None], -0.5 * step, fresh)
-        best = np.where(worse, best, value)
-        beta = beta + step
-        # Steps shrink quadratically: after one this small the error is far below rounding.
-        if not worse.any() and np.abs(fresh).max() < 1e-6:
-            break
+    beta = damped_newton(lambda b: _newton_pass(rows, b, k), ridge, steps)
     fits = []
     for m in range(k + 1):
         weight = sigma[m] * beta[m, 1:]
@@ -158,11 +172,12 @@ def oof_scores(df: DataFrame, features, label: str, id_column: str = "source_id"
     scored in one pass.
     """
     features = list(features)
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    require(set(counts) <= {0, 1}, "labels must be 0 or 1")
+    sizes = df.agg(F.count_if(F.col(label) == 0).alias("zero"), F.count_if(F.col(label) == 1).alias("one"), F.count("*").alias("n")).first()
+    require(sizes["zero"] + sizes["one"] == sizes["n"], "labels must be 0 or 1")
+    counts = {0: sizes["zero"], 1: sizes["one"]}
     require(min(counts.get(0, 0), counts.get(1, 0)) >= k, f"need at least {k} rows of each label, have {counts}")
     # About 200,000 rows per hash bucket, so buckets stay small windows at any size.
-    buckets = min(262_144, max(1024, sum(counts.values()) // 200_000))
+    buckets = max(1024, sum(counts.values()) // 200_000)
     folded = write_scratch(assign_folds(df, id_column, label, k, seed, buckets), "folds")
     *fits, full = _fit_all(folded, features, label, k)
     score = F.when(F.col("fold") == 0, fits[0].score(features))

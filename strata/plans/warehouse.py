@@ -50,6 +50,16 @@ class UpsertReport:
         return spark.createDataFrame([tuple(vars(self).values())], ", ".join(f"{c} bigint" for c in vars(self)))
 
 
+#: Rows a hashed part should hold; a table whose parts hold GROWTH times as many is split anew.
+ROWS_PER_PART = 2_000_000
+GROWTH = 4
+
+
+def outgrown(layout: str, rows: int) -> bool:
+    """True if a table of so many rows has too few hashed parts."""
+    return layout.startswith("hash:") and rows > GROWTH * ROWS_PER_PART * int(layout.split(":")[1])
+
+
 def assert_same_columns(table: DataFrame, incoming: DataFrame, name: str) -> None:
     """Loud schema drift: the column sets must agree, lineage columns aside."""
     a, b = set(table.columns) - set(LINEAGE), set(incoming.columns) - set(LINEAGE)
@@ -61,8 +71,8 @@ def with_lineage(df: DataFrame, wanted) -> DataFrame:
 
 
 def hash_layout(rows: int, parts: int | None = None) -> str:
-    """Parts by key hash: a given number, else about two million rows each, within sane limits."""
-    return f"hash:{parts or min(4096, max(8, rows // 2_000_000))}"
+    """Parts by key hash: a given number, else about two million rows each, eight at least."""
+    return f"hash:{parts or max(8, rows // ROWS_PER_PART)}"
 
 
 def part_of(layout: str, key: tuple[str, ...], schema: T.StructType) -> Column:
@@ -163,6 +173,12 @@ class Warehouse:
             for s in states:
                 self._register(s)
 
+    def _alone(self, name: str, version: int) -> None:
+        """Refuse a version that another writer published as well: which of the two counts would be chance."""
+        twins = self._log().filter((F.col("name") == name) & (F.col("version") == version)).count()
+        if twins > 1:
+            raise RuntimeError(f"{name}: version {version} was published by {twins} writers; load again from the raw files")
+
     def _register(self, s: Published) -> None:
         schema, table = split_table(s.name)
         target = f"{quote(schema)}.{quote(table)}"
@@ -233,9 +249,12 @@ class Warehouse:
         deduped = last_per_key(incoming, key, list(order)).select(*stored)
         layout = (state.layout if state else "") or part_by or hash_layout(counts["keyed"], parts)
         skipped = counts["rows"] - counts["keyed"]
+        if state is not None and state.layout and outgrown(state.layout, state.n_rows + counts["keyed"]):
+            layout = hash_layout(state.n_rows + counts["keyed"])  # every row is rewritten once, into more parts
         if state is None:
             made = self._published(deduped, name, version, self._write(deduped, name, version, key, layout), key, layout)
             self._record([made])
+            self._alone(name, version)
             return UpsertReport(made.n_rows, 0, skipped, counts["keyed"] - made.n_rows, made.n_rows)
 
         # The batch is written once; the counts and the rewrite below start from these files.
@@ -262,6 +281,7 @@ class Warehouse:
         folders = kept + self._write(merged, name, version, key, layout)
         total = state.n_rows + n - stale - replaced
         self._record([self._published(merged, name, version, folders, key, layout, total)])
+        self._alone(name, version)
         return UpsertReport(n - stale - updated, updated, skipped, counts["keyed"] - n, total, stale)
 
     # -- questions -----------------------------------------------------------------------------------------------
@@ -281,15 +301,21 @@ def query(spark: SparkSession, sql: str) -> DataFrame:
 def ask(spark: SparkSession, sql: str, max_rows: int = 50) -> str:
     """The answer as a small text table. Only the shown rows and the row count reach the driver."""
     answer = query(spark, sql)
+    names = answer.columns
+    plain = answer.toDF(*[f"c{i}" for i in range(len(names))])  # names may repeat
+    cells = [F.coalesce(F.date_format(f.name, "yyyy-MM-dd HH:mm:ssXXX") if isinstance(f.dataType, T.TimestampType) else _as_python(f), F.lit(""))
+             for f in plain.schema]
+    head = plain.limit(max_rows).select(F.array(*cells).alias("cells")).collect()
+    columns = list(zip(names, *[r["cells"] for r in head]))
+    text = [[max(map(len, c)), *c] for c in columns]
+    body = ["  ".join(c[1 + i].ljust(c[0]) for c in text).rstrip() for i in range(1 + len(head))]
+    body.insert(1, "  ".join("-" * c[0] for c in text))
     total = answer.count()
-    as_text = [
-        F.date_format(c, "yyyy-MM-dd HH:mm:ssXXX").alias(c) if isinstance(f.dataType, T.TimestampType) else F.col(quote(c))
-        for c, f in zip(answer.columns, answer.schema)
-    ] if len(set(answer.columns)) == len(answer.columns) else [F.col("*")]
-    shown = [["" if v is None else str(v) for v in row] for row in answer.select(*as_text).limit(max_rows).collect()]
-    grid = [answer.columns, None, *shown]
-    widths = [max(len(r[i]) for r in grid if r) for i in range(len(answer.columns))]
-    lines = ["  ".join((r[i] if r else "-" * w).ljust(w) for i, w in enumerate(widths)).rstrip() for r in grid]
-    plural = "" if total == 1 else "s"
-    more = f", showing {max_rows}" if total > max_rows else ""
-    return "\n".join([*lines, f"({total} row{plural}{more})"])
+    note = f"({total} {'row' if total == 1 else 'rows'}" + (f", showing {max_rows})" if total > max_rows else ")")
+    return "\n".join(body + [note])
+
+
+def _as_python(f: T.StructField) -> Column:
+    """A value spelled as Python spells it where Spark differs: booleans have a capital letter."""
+    text = F.col(f.name).cast("string")
+    return F.initcap(text) if isinstance(f.dataType, T.BooleanType) else text

@@ -176,11 +176,11 @@ def fetch_completeness(rows: DataFrame, manifest: DataFrame) -> DataFrame:
 def page_audit(pages: DataFrame, fetch: str, page: str, rows: str, content: str, limit: int, cap: int) -> DataFrame:
     """(fetch, pages, rows_kept, complete, reason) of paged fetches, one input row per landed page.
 
-    Pages count from 0. The first empty, repeated or short page ends a fetch; a repeated page means the source
-    ignores the offset, and a fetch that reaches `cap` full pages was cut off.
+    Pages count from 0 and all landed pages count, also beyond `cap`. The first empty, repeated or short page ends a fetch;
+    a repeated page means the source ignores the offset, and a fetch that never ends but fills `cap` pages was cut off.
     """
     require(limit >= 1 and cap >= 1, "limit and cap must be 1 or more")
-    p = pages.filter(F.col(page) < cap).select(
+    p = pages.select(
         F.col(fetch).alias("fetch"), F.col(page).cast("bigint").alias("page"),
         F.col(rows).cast("bigint").alias("n"), F.col(content).alias("hash"))
     # The previous page is an equality join on (fetch, page), so one very long fetch still spreads over all tasks.

@@ -272,7 +272,7 @@ def completeness(spark, sf):
     WITH p AS (SELECT user_id AS "fetch", CAST(date_part('day', ts) AS BIGINT) - 1 AS page, count(*) AS n, CAST(sum(event_id) AS VARCHAR) AS h
                FROM events GROUP BY 1, 2),
     full_p AS (SELECT fp.f AS "fetch", fp.page, coalesce(p.n, 0) AS n, coalesce(p.h, '') AS h
-               FROM (SELECT * FROM (SELECT DISTINCT "fetch" AS f FROM p) CROSS JOIN (SELECT range AS page FROM range(0, 20))) fp
+               FROM (SELECT * FROM (SELECT DISTINCT "fetch" AS f FROM p) CROSS JOIN (SELECT range AS page FROM range(0, 31))) fp
                LEFT JOIN p ON p."fetch" = fp.f AND p.page = fp.page),
     j AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN h = lag(h) OVER (PARTITION BY "fetch" ORDER BY page) THEN 'repeated' WHEN n < 2 THEN 'short' END AS ending
           FROM full_p),
@@ -283,10 +283,10 @@ def completeness(spark, sf):
                 WHEN max(CASE WHEN page = stop THEN ending END) = 'repeated' THEN 'offset_ignored' ELSE 'page_cap' END AS reason
     FROM j JOIN e USING ("fetch") WHERE stop IS NULL OR page <= stop GROUP BY j."fetch" """)
 def pages_of_fetches(spark, sf):
-    """A user's events per day stand for the pages of one fetch; days without events are empty pages."""
+    """A user's events per day of a month stand for the pages of one fetch, more than the cap; days without events are empty pages."""
     filled = t(spark, sf, "events").groupBy(F.col("user_id").alias("fetch"), (F.dayofmonth("ts") - 1).cast("bigint").alias("page")).agg(
         F.count("*").alias("n"), F.sum("event_id").cast("string").alias("h"))
-    every = filled.select("fetch").distinct().withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<bigint>")))
+    every = filled.select("fetch").distinct().withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(30)).cast("array<bigint>")))
     pages = every.join(filled, ["fetch", "page"], "left").select("fetch", "page", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("h", F.lit("")).alias("h"))
     return page_audit(pages, "fetch", "page", "n", "h", limit=2, cap=20)
 

@@ -82,17 +82,19 @@ def lookup_with_default(spark, sf):
     return lookup_default(t(spark, sf, "customer").select("c_custkey"), best, "c_custkey", "best", -1.0)
 
 
-def sep_sql(year: float) -> str:
-    moved_dec = f's."dec" + coalesce(s.pmdec, 0) * {year - 2016.0} / 3600000.0'
-    moved_ra = f's.ra + coalesce(s.pmra, 0) * {year - 2016.0} / 3600000.0 / cos(radians(s."dec"))'
-    d_ra = f'((p.ra - ({moved_ra}) + 540.0) % 360.0 - 180.0) * cos(radians(p."dec"))'
-    return f'3600.0 * sqrt(pow({d_ra}, 2) + pow(p."dec" - ({moved_dec}), 2))'
+def sep_sql() -> str:
+    """Arcseconds between `spot` and `star` in the year of `epoch`, motions given in milliarcseconds a year from 2016 on."""
+    drift = "(epoch.year - 2016) / 3.6e6"
+    north = f'(spot."dec" - star."dec" - ifnull(star.pmdec, 0) * {drift})'
+    turned = f'(spot.ra - star.ra - ifnull(star.pmra, 0) * {drift} / cos(radians(star."dec")))'
+    east = f'(({turned} - 360 * round({turned} / 360)) * cos(radians(spot."dec")))'
+    return f"3600 * sqrt({north} * {north} + {east} * {east})"
 
 
 @query("sky_radius_pairs", f"""
-    WITH p AS ({positions_sql()}), s AS ({stars_sql()})
-    SELECT pl_name, source_id, round(sep, 5) AS sep FROM
-      (SELECT p.pl_name, s.source_id, least({sep_sql(2016.0)}, {sep_sql(2000.0)}) AS sep FROM p, s) WHERE sep <= 10.0""")
+    SELECT spot.pl_name, star.source_id, round(min({sep_sql()}), 5) AS sep
+    FROM ({positions_sql()}) AS spot, ({stars_sql()}) AS star, (VALUES (2016.0), (2000.0)) AS epoch(year)
+    GROUP BY ALL HAVING min({sep_sql()}) <= 10""")
 def sky_radius_pairs(spark, sf):
     points, sky = positions(spark, sf), stars(spark, sf)
     pairs = sky_radius_join(points, sky, 10.0, pid="pl_name", sid="source_id")
@@ -229,7 +231,7 @@ def candidate_counts(spark, sf):
 def top_descending(spark, sf):
     ratio = F.sqrt(F.col("l_discount") * F.col("l_discount") + F.col("l_tax") * F.col("l_tax")) * F.col("l_extendedprice") / F.col("l_quantity")
     rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ratio.alias("ratio"))
-    best = rows.orderBy(F.col("ratio").desc(), "l_orderkey", "l_linenumber", "l_partkey").limit(50)
+    best = top_k(rows, "ratio", 50, desc=True, tie=["l_orderkey", "l_linenumber", "l_partkey"])
     return best.withColumn("ratio", r6("ratio"))
 
 

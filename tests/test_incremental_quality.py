@@ -5,7 +5,7 @@ import pytest
 from strata.plans.incremental import (
     assign_slices, check_plan, covered_through, finished_slices, ledger_status, next_slices, plan_windows, slice_plan, slice_status, update_ledger,
 )
-from strata.plans.quality import ALL_RULES, Check, report_lines, rule_counts, rules_for, run_checks, status_frame
+from strata.plans.quality import ALL_RULES, Check, flagged_rows, rule_counts, rules_for, status_frame
 from strata.plans.registry import ERROR_SHELLS_PC
 from tests.conftest import star_frame
 
@@ -84,19 +84,18 @@ def test_every_rule_flags_its_bad_row_only(spark):
     assert counts["no_host_star"] == (None, None, True)
 
 
-def test_report_shows_examples_and_changes_nothing(spark, warehouse):
-    df = spark.createDataFrame([("A", -1.0, 0), ("B", 2.0, 1), ("C", -3.0, 2)], "vid string, hours double, _row_pos bigint")
-    warehouse.upsert("ocean.t", df, "vid", source_file="f.parquet")
-    version = warehouse.state("ocean.t").version
-    rules = [Check("negative", "ocean.t", "hours < 0", "error", "Impossible."), Check("big", "ocean.t", "hours > 1", "warning", "Odd."),
-             Check("none", "ocean.t", "hours > 9", "error", "-"), Check("gone", "ocean.missing", "true", "error", "-")]
-    lines = report_lines(run_checks(warehouse, rules, max_examples=1))
-    assert lines[0] == "[ERROR] ocean.t negative: 2 of 3 rows. Impossible." and lines[1].strip() == "vid=A, hours=-1.0"
-    assert lines[2].startswith("[WARN]  ocean.t big: 1 of 3") and lines[4] == "[ok]    ocean.t none: 0 of 3 rows"
-    assert lines[5].startswith("[skip]  ocean.missing gone") and lines[6].startswith("1 rule(s) with errors, 1 with warnings")
-    assert warehouse.state("ocean.t").version == version
-    status = {r["rule"]: r["status"] for r in status_frame(rule_counts({"ocean.t": warehouse.table("ocean.t")}, rules)).collect()}
-    assert status == {"negative": "ERROR", "big": "WARN", "none": "ok", "gone": "skip"}
+def test_flagged_rows_and_statuses_leave_the_table_alone(spark, warehouse):
+    crates = spark.createDataFrame([(i, i * 10 - 25, i) for i in range(8)], "crate int, weight int, _row_pos bigint")
+    warehouse.upsert("harbour.crates", crates, "crate", source_file="scale.parquet")
+    before = warehouse.state("harbour.crates")
+    rules = [Check("light", "harbour.crates", "weight < 0", "error", "?"), Check("heavy", "harbour.crates", "weight >= 40", "warning", "?"),
+             Check("absurd", "harbour.crates", "weight > 999", "error", "?"), Check("unseen", "harbour.cranes", "true", "warning", "?")]
+    shown = [(r["rule"], r["row"]) for r in flagged_rows(warehouse, rules, per_rule=2).collect()]
+    assert shown == [("light", '{"crate":0,"weight":-25}'), ("light", '{"crate":1,"weight":-15}'), ("heavy", '{"crate":7,"weight":45}')]
+    counts = rule_counts({"harbour.crates": warehouse.table("harbour.crates")}, rules)
+    assert {r["rule"]: (r["status"], r["text"]) for r in status_frame(counts).collect()} == {
+        "light": ("ERROR", "3 of 8 rows"), "heavy": ("WARN", "1 of 8 rows"), "absurd": ("ok", "0 of 8 rows"), "unseen": ("skip", "harbour.cranes not found")}
+    assert warehouse.state("harbour.crates") == before
 
 
 def test_rule_definitions_are_checked():

@@ -128,3 +128,33 @@ def test_features(spark):
     assert [r["bp_rp"] for r in rows] == [1.2, 1.6, 2.0] and [r["no_colour"] for r in rows] == [0, 1, 0]
     assert [r["has_companion"] for r in rows] == [0, 1, 0] and [r["has_rv"] for r in rows] == [0, 1, 0]
     assert [r["abs_g"] for r in rows] == [0.0, 6.0, 12.0]
+
+
+def test_damped_steps_halve_from_the_last_good_point():
+    """On log(cosh(x)) a Newton step from 2 overshoots so far that it has to be halved twice in a row."""
+    tried = []
+
+    def evaluate(x):
+        tried.append(x[0, 0])
+        t = np.tanh(x)
+        return np.log(np.cosh(x)).sum(axis=1), -t, (1 - t * t)[:, :, None]
+
+    found = model.damped_newton(evaluate, np.zeros((1, 1)), start=np.array([[2.0]]))
+    assert abs(found[0, 0]) < 1e-9
+    overshoot = tried[1] - tried[0]
+    halvings = [(t - tried[0]) / overshoot for t in tried[1:4]]
+    assert halvings == pytest.approx([1, 0.5, 0.25])
+    with pytest.raises(RuntimeError, match="not settled after 3"):
+        model.damped_newton(evaluate, np.zeros((1, 1)), steps=3, start=np.array([[2.0]]))
+
+
+def test_weights_equal_a_direct_minimiser(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 2)) * [3.0, 0.2] + [1.0, 5.0]
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 1) + 4 * (x[:, 1] - 5)))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "source_id long, a double, b double, label int")
+    _, fit = model.oof_scores(df, ["a", "b"], "label")
+    z = np.hstack([np.ones((300, 1)), (x - x.mean(axis=0)) / x.std(axis=0)])
+    w = np.array([fit.intercept, *fit.weight])
+    gradient = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - [0.0, *fit.weight]
+    assert np.abs(gradient).max() < 1e-6

@@ -87,7 +87,7 @@ def test_page_audit(spark):
     got = {r["fetch"]: (r["pages"], r["rows_kept"], r["complete"], r["reason"]) for r in
            page_audit(pages, "fetch", "page", "n", "h", limit=100, cap=3).collect()}
     assert got == {"short": (3, 250, True, "complete"), "exact": (2, 100, True, "complete"), "stuck": (2, 100, False, "offset_ignored"),
-                   "capped": (3, 300, False, "page_cap"), "broken": (2, 200, False, "cut_off"), "empty": (1, 0, True, "complete")}
+                   "capped": (4, 400, False, "page_cap"), "broken": (2, 200, False, "cut_off"), "empty": (1, 0, True, "complete")}
 
 
 def test_provenance_reads_numbers_and_dates(spark, lake):

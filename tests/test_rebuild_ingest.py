@@ -1,51 +1,67 @@
-import hashlib
-import shutil
+import random
+import re
 
 import pytest
 
 from strata.operators.sets import compare_tables
-from strata.plans.ingest import compare_warehouses, ingest_files, ingest_incremental, new_files, rebuild
+from strata.plans.ingest import clean_files, compare_warehouses, ingest_files, ingest_incremental, new_files, rebuild
 from strata.plans.incremental import overall, refresh
 from strata.plans.registry import DATASETS, GAP_EVENTS, NEARBY_STARS, Dataset, registry_frame
 from strata.plans.warehouse import Warehouse
 from strata.streaming.ingest import ingest_stream
 from tests.conftest import gaps, stars_csv
 
-TABLES = ("ocean.gap_events", "astro.nearby_stars")
+STARS = {7: 301.5, 8: 44.25, 9: 120.0}
 
 
-def history(lake):
-    """Names sort against fetch order on purpose: the later fetch must still win."""
-    lake.land("gfw", "gap-events", "z-first.json", gaps(("A", "2022-01-05", 10), ("B", "2022-02-05", 20)), 0)
-    lake.land("gfw", "gap-events", "a-second.json", gaps(("B", "2022-02-05", 25), ("C", "2022-03-10", 30), ("C", "2022-03-10", 31)), 60)
-    lake.land("gaia", "nearby-stars", "band.csv", stars_csv((1, 768.5), (2, 546.9)), 90)
+def history(lake, seed=5, files=5):
+    """Files of gap events whose names are in no order of time; returns vessel -> hours after the last fetch, in plain Python."""
+    rng = random.Random(seed)
+    fetched = [(rng.choice("qdmx") + f"{n}.json", rng.randrange(1, 5000), [(rng.choice("KLMN"), "2023-05-04", rng.randrange(1, 99)) for _ in range(4)])
+               for n in range(files)]
+    truth = {}
+    for name, minutes, rows in sorted(fetched, key=lambda f: f[1]):
+        lake.land("gfw", "gap-events", name, gaps(*rows), minutes)
+        truth |= {vessel: float(hours) for vessel, _, hours in rows}
+    lake.land("gaia", "nearby-stars", "shell.csv", stars_csv(*STARS.items()), 7)
+    return truth
 
 
-def live(spark, lake, warehouse):
-    """Take the files in one after the other, as they would have arrived."""
+def take_in_backwards(spark, lake, warehouse):
+    """One load per file, newest first, which must not matter."""
     for dataset in (GAP_EVENTS, NEARBY_STARS):
         files = new_files(spark, str(lake), warehouse, dataset)
-        for row in files.orderBy("fetched_at").collect():
+        for row in files.orderBy(files.fetched_at.desc()).collect():
             ingest_files(spark, str(lake), warehouse, dataset, files.filter(files.path == row["path"]))
 
 
-def hashes(lake):
-    return {p: hashlib.sha256(p.read_bytes()).hexdigest() for p in (lake.root / "raw").rglob("*") if p.is_file()}
+def gap_hours(wh):
+    return {r["vessel_id"]: r["duration_hours"] for r in wh.table("ocean.gap_events").collect()}
 
 
-def test_rebuilt_tables_equal_the_live_ones(spark, lake, warehouse, tmp_path):
-    history(lake)
-    before = hashes(lake)
-    live(spark, lake, warehouse)
-    shutil.rmtree(lake.root / "clean")
-    fresh = Warehouse(spark, str(tmp_path / "rebuilt"), catalog=False)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_rebuild_and_loads_in_any_order_agree_with_plain_python(spark, lake, warehouse, tmp_path, seed):
+    truth = history(lake, seed)
+    stamp = {p: (p.stat().st_mtime_ns, p.stat().st_size) for p in (lake.root / "raw").rglob("*.*")}
+    take_in_backwards(spark, lake, warehouse)
+    fresh = Warehouse(spark, str(tmp_path / "second"), catalog=False)
     report = rebuild(spark, str(lake), fresh)
-    assert report.files == 3 and report.tables == {"ocean.gap_events": 3, "astro.nearby_stars": 2}
-    diffs = compare_warehouses(warehouse, fresh).collect()
-    assert {d["table"] for d in diffs} == set(TABLES) and all(d["same"] for d in diffs), diffs
-    hours = {r["vessel_id"]: r["duration_hours"] for r in fresh.table("ocean.gap_events").collect()}
-    assert hours == {"A": 10.0, "B": 25.0, "C": 31.0}
-    assert list((lake.root / "clean").rglob("*.parquet")) and hashes(lake) == before
+    assert report.files == 6 and report.tables == {"ocean.gap_events": len(truth), "astro.nearby_stars": 3}
+    assert gap_hours(warehouse) == gap_hours(fresh) == truth
+    assert {r["source_id"]: r["parallax"] for r in fresh.table("astro.nearby_stars").collect()} == STARS
+    compared = compare_warehouses(warehouse, fresh)
+    assert compared.count() == 2 and compared.filter("NOT same").count() == 0
+    assert stamp == {p: (p.stat().st_mtime_ns, p.stat().st_size) for p in (lake.root / "raw").rglob("*.*")}
+
+
+def test_a_second_ingest_reads_only_its_own_days(spark, lake, warehouse):
+    lake.land("gfw", "gap-events", "old.json", gaps(("K", "2023-01-02", 3)), 0, day="2023-01-02")
+    ingest_incremental(spark, str(lake), warehouse, GAP_EVENTS)
+    lake.land("gfw", "gap-events", "new.json", gaps(("L", "2023-01-03", 4)), 60, day="2023-01-03")
+    rows = clean_files(spark, str(lake), GAP_EVENTS, new_files(spark, str(lake), warehouse, GAP_EVENTS))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*2023-01-03", plan) and not re.search(r"PartitionFilters: \[[^\]]*2023-01-02", plan)
+    assert [r["vessel_id"] for r in rows.collect()] == ["L"]
 
 
 def test_rebuild_skips_the_unknown_and_protects_what_exists(spark, lake, tmp_path):
@@ -56,7 +72,7 @@ def test_rebuild_skips_the_unknown_and_protects_what_exists(spark, lake, tmp_pat
     for side in (lake.root / "raw").rglob("*.meta.json"):
         side.unlink()
     report = rebuild(spark, str(lake), wh)
-    assert report.files == 3 and len(report.skipped) == 1 and "mystery" in report.skipped[0]
+    assert report.files == 6 and len(report.skipped) == 1 and "mystery" in report.skipped[0]
     with pytest.raises(FileExistsError):
         rebuild(spark, str(lake), wh)
     wh.load_table(spark.range(3), "old", "extra")
@@ -72,7 +88,7 @@ def test_a_broken_file_leaves_the_warehouse_as_it_was(spark, lake, tmp_path):
     lake.land("gaia", "nearby-stars", "broken.csv", "nothing,useful\n1,2\n", 200)
     with pytest.raises(RuntimeError, match="gaia/nearby-stars.*broken.csv"):
         rebuild(spark, str(lake), wh, replace=True)
-    assert wh.state("astro.nearby_stars").version == version and wh.table("astro.nearby_stars").count() == 2
+    assert wh.state("astro.nearby_stars").version == version and wh.table("astro.nearby_stars").count() == 3
 
 
 def test_incremental_takes_each_file_once_and_overlap_is_harmless(spark, lake, warehouse):
@@ -86,18 +102,16 @@ def test_incremental_takes_each_file_once_and_overlap_is_harmless(spark, lake, w
 
 
 def test_stream_ingest_equals_rebuild_even_with_late_files(spark, lake, warehouse, tmp_path):
-    history(lake)
+    truth = history(lake)
     point = str(tmp_path / "cp")
     seen = []
-    q = ingest_stream(spark, str(lake), warehouse, GAP_EVENTS, point, max_files=1, on_batch=lambda i, r: seen.append(r.files))
-    q.awaitTermination()
-    assert sum(seen) == 2
-    # Landed late, fetched early: must not beat the newer copies.
-    lake.land("gfw", "gap-events", "late.json", gaps(("B", "2022-02-05", 1), ("D", "2022-01-01", 4)), 30)
+    ingest_stream(spark, str(lake), warehouse, GAP_EVENTS, point, max_files=2, on_batch=lambda i, r: seen.append(r.files)).awaitTermination()
+    assert sum(seen) == 5 and gap_hours(warehouse) == truth
+    # Landed last, fetched first: only the vessel nobody else named comes from it.
+    lake.land("gfw", "gap-events", "late.json", gaps(*[(v, "2023-05-04", 0.5) for v in [*truth, "Z"]]), 0)
     ingest_stream(spark, str(lake), warehouse, GAP_EVENTS, point).awaitTermination()
-    hours = {r["vessel_id"]: r["duration_hours"] for r in warehouse.table("ocean.gap_events").collect()}
-    assert hours == {"A": 10.0, "B": 25.0, "C": 31.0, "D": 4.0}
-    fresh = Warehouse(spark, str(tmp_path / "rebuilt"), catalog=False)
+    assert gap_hours(warehouse) == {**truth, "Z": 0.5}
+    fresh = Warehouse(spark, str(tmp_path / "second"), catalog=False)
     rebuild(spark, str(lake), fresh, datasets={("gfw", "gap-events"): GAP_EVENTS})
     assert compare_tables(warehouse.table("ocean.gap_events"), fresh.table("ocean.gap_events"), multiset=True).first()["same"]
 

@@ -11,11 +11,12 @@ from strata.sources.json import scan_json
 from strata.sources.parquet import parquet_glob, scan_clean
 from tests.conftest import STAR_HEADER, stars_csv
 
-FISH = {"name": "string", "depth_m": "float", "count": "int", "seen_at": "timestamp"}
-FISH_CSV = ("name,depth_m,count,seen_at,extra\n"
-            " cod ,12.5,3,2022-01-05T10:00:00Z,x\n"
-            "hake,deep,4.5,yesterday,y\n"
-            "\"ling, big\",, 7 ,2022-01-06,z\n")
+TRAMS = {"open": "bool", "line": "int", "stop": "string", "since": "timestamp", "km": "float"}
+TRAMS_CSV = ("since,stop,colour,line,km,open\n"
+             "1999-12-31T23:59:00+02:00,\"Mill \"\"A\"\", north\",red,  12,0.75,TRUE\n"
+             "soon,\tHarbour\t,,4b,1e-1,1\n"
+             ",,blue,,far,perhaps\n"
+             "2001-02-03,Park,green,-1,  ,0\n")
 
 
 def _py(type_name, text):
@@ -74,17 +75,15 @@ def test_unknown_types_are_refused(spark):
     assert set(TYPES) == {"string", "bool", "int", "float", "timestamp"}
 
 
-def test_csv_cleaning_trims_blanks_and_counts_bad_values(spark, lake):
-    path = lake.land("demo", "fish", "fish.csv", FISH_CSV)
-    rows = clean(scan_csv(spark, str(path), list(FISH)), FISH)
-    got = {r["name"]: r for r in rows.collect()}
-    assert set(got) == {"cod", "hake", "ling, big"}
-    assert got["cod"]["depth_m"] == 12.5 and got["cod"]["count"] == 3
-    assert got["ling, big"]["depth_m"] is None and got["ling, big"]["count"] == 7
-    counts = bad_value_counts(rows, FISH).first().asDict()
-    assert counts == {"rows_in": 3, "rows_out": 3, "bad_name": 0, "bad_depth_m": 1, "bad_count": 1, "bad_seen_at": 1}
-    assert {r["column"]: r["bad"] for r in clean_report(rows, FISH).collect()} == {"depth_m": 1, "count": 1, "seen_at": 1}
-    assert "extra" not in rows.columns
+def test_csv_values_are_typed_or_counted(spark, lake):
+    path = lake.land("city", "trams", "trams.csv", TRAMS_CSV)
+    rows = clean(scan_csv(spark, str(path), list(TRAMS)), TRAMS)
+    typed = {r["stop"]: (r["open"], r["line"], r["km"], r["since"] is not None) for r in rows.collect()}
+    assert typed == {'Mill "A", north': (True, 12, 0.75, True), "Harbour": (True, None, 0.1, False), None: (None, None, None, False), "Park": (False, -1, None, True)}
+    bad = {"open": 1, "line": 1, "stop": 0, "since": 1, "km": 1}
+    assert bad_value_counts(rows, TRAMS).first().asDict() == {"rows_in": 4, "rows_out": 4, **{f"bad_{c}": n for c, n in bad.items()}}
+    assert {r["column"]: r["bad"] for r in clean_report(rows, TRAMS).collect()} == {c: n for c, n in bad.items() if n}
+    assert "colour" not in rows.columns
 
 
 def test_each_file_follows_its_own_header(spark, lake):
@@ -150,22 +149,22 @@ def test_json_must_be_a_list_of_objects(spark, lake):
 
 
 def test_clean_files_mirror_raw_and_rerun_in_place(spark, lake):
-    lake.land("demo", "fish", "a.csv", FISH_CSV)
-    lake.land("demo", "fish", "a.txt", FISH_CSV.replace("cod", "eel"))
-    rows = clean(scan_csv(spark, f"{lake}/raw/demo/fish/*/a.[ct][sx][vt]", list(FISH)), FISH)
-    types = {n: TYPES[t] for n, t in FISH.items()}
+    lake.land("city", "trams", "a.csv", TRAMS_CSV)
+    lake.land("city", "trams", "a.txt", TRAMS_CSV.replace("Park", "Zoo"))
+    rows = clean(scan_csv(spark, f"{lake}/raw/city/trams/*/a.[ct][sx][vt]", list(TRAMS)), TRAMS)
+    types = {n: TYPES[t] for n, t in TRAMS.items()}
     for _ in range(2):
-        target = write_clean(rows, str(lake), "demo", "fish")
-    back = read_clean(spark, str(lake), "demo", "fish", types)
-    assert back.count() == 6
+        target = write_clean(rows, str(lake), "city", "trams")
+    back = read_clean(spark, str(lake), "city", "trams", types)
+    assert back.count() == 8
     assert {(r["raw_file"], r["_source_file"]) for r in back.collect()} == {("a.csv", "a.parquet"), ("a.txt", "a.parquet")}
-    only = clean(scan_csv(spark, f"{lake}/raw/demo/fish/*/a.csv", list(FISH)), FISH).filter("name = 'cod'")
-    write_clean(only, str(lake), "demo", "fish")
-    assert read_clean(spark, str(lake), "demo", "fish", types).groupBy("raw_file").count().orderBy("raw_file").collect()[0]["count"] == 1
-    assert read_clean(spark, str(lake), "demo", "fish", types).count() == 4
+    only = clean(scan_csv(spark, f"{lake}/raw/city/trams/*/a.csv", list(TRAMS)), TRAMS).filter("stop = 'Park'")
+    write_clean(only, str(lake), "city", "trams")
+    assert read_clean(spark, str(lake), "city", "trams", types).groupBy("raw_file").count().orderBy("raw_file").collect()[0]["count"] == 1
+    assert read_clean(spark, str(lake), "city", "trams", types).count() == 5
     scanned = scan_clean(spark, f"{target}/*/*")
     assert {"_file_row", "_file_name"} <= set(scanned.columns)
-    assert spark.sql(f"SELECT count(*) AS n FROM {parquet_glob(target + '/*/*')}").first()["n"] == 4
+    assert spark.sql(f"SELECT count(*) AS n FROM {parquet_glob(target + '/*/*')}").first()["n"] == 5
 
 
 def test_payloads_are_tables_only_with_the_key_column(spark, lake):

@@ -98,6 +98,27 @@ def test_companions(spark, crowd):
         assert got[i] == best or abs(got[i] - best) < 1e-6 * max(1, best), i
 
 
+ODD = [None, math.nan, math.inf, -math.inf]
+
+
+def test_bands_leave_out_what_is_no_number(spark):
+    rows = [(i, 1.0 + i / 100, 2.0) for i in range(5)] + [(10 + k, x, y) for k, (x, y) in enumerate([(v, 2.0) for v in ODD] + [(1.0, v) for v in ODD])]
+    got = spatial.band_neighbours(spark.createDataFrame(rows, "id int, x double, y double"), "id", "x", "y", 0.5, 0.5, 6)
+    assert {r["id"]: r["neighbours"] for r in got.collect()} == {i: 4 for i in range(5)}
+
+
+def test_sky_searches_leave_out_what_is_no_number(spark):
+    points = spark.createDataFrame([(1, 10.0, 5.0), *[(2 + k, v, 5.0) for k, v in enumerate(ODD)], *[(7 + k, 10.0, v) for k, v in enumerate(ODD)]], "pid int, ra double, dec double")
+    sky = [(1, 10.0, 5.0, 0.0, 0.0), (2, 10.0, 5.0, math.inf, math.nan), *[(3 + k, v, 5.0, 0.0, 0.0) for k, v in enumerate(ODD)], *[(8 + k, 10.0, v, 0.0, 0.0) for k, v in enumerate(ODD)]]
+    stars = spark.createDataFrame(sky, "sid int, ra double, dec double, pmra double, pmdec double")
+    pairs = {(r["pid"], r["sid"]) for r in spatial.sky_radius_join(points, stars, 10.0).collect()}
+    assert (1, 1) in pairs and {p for p, _ in pairs} == {1} and {s for _, s in pairs} <= {1, 2}
+    assert [(r["pid"], r["sid"]) for r in spatial.sky_nearest(points, stars, 10.0).collect()] == [(1, 1)]
+    rows = [(1, 10.0, 5.0, 50.0, 0.1), (2, 10.0001, 5.0, 50.0, 0.1), *[(3 + k, 10.0, 5.0, v, 0.1) for k, v in enumerate(ODD)], *[(8 + k, v, 5.0, 50.0, 0.1) for k, v in enumerate(ODD)]]
+    near = spatial.nearest_same_distance(spark.createDataFrame(rows, "source_id int, ra double, dec double, parallax double, parallax_error double"))
+    assert {r["source_id"]: r["au"] < 1000 for r in near.collect()} == {1: True, 2: True}
+
+
 def test_arguments(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double")
     for bad in ((0, 1, 5), (1, -1, 5), (1, 1, 0)):
