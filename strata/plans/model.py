@@ -165,11 +165,18 @@ def _fit_all(df: DataFrame, features, label: str, k: int, steps: int = 100) -> l
     return fits
 
 
-def oof_scores(df: DataFrame, features, label: str, id_column: str = "source_id", k: int = FOLDS, seed: int = SEED) -> tuple[DataFrame, Fit]:
+def fold_fits(df: DataFrame, features, label: str, k: int = FOLDS) -> tuple[list[Fit], Fit]:
+    """The fit of each fold model and of all rows, for rows whose column `fold` says 0..k-1."""
+    *fits, full = _fit_all(df, list(features), label, k)
+    return fits, full
+
+
+def oof_scores(df: DataFrame, features, label: str, id_column: str = "source_id", k: int = FOLDS, seed: int = SEED,
+               fold: Column | None = None) -> tuple[DataFrame, Fit]:
     """(rows with `fold` and the out-of-fold probability `score`, the fit on all rows).
 
     Every row is scored by the model that never saw its fold. The k models become column expressions, so all rows are
-    scored in one pass.
+    scored in one pass. `fold` (0..k-1) replaces the hashed folds.
     """
     features = list(features)
     sizes = df.agg(F.count_if(F.col(label) == 0).alias("zero"), F.count_if(F.col(label) == 1).alias("one"), F.count("*").alias("n")).first()
@@ -178,8 +185,9 @@ def oof_scores(df: DataFrame, features, label: str, id_column: str = "source_id"
     require(min(counts.get(0, 0), counts.get(1, 0)) >= k, f"need at least {k} rows of each label, have {counts}")
     # About 200,000 rows per hash bucket, so buckets stay small windows at any size.
     buckets = max(1024, sum(counts.values()) // 200_000)
-    folded = write_scratch(assign_folds(df, id_column, label, k, seed, buckets), "folds")
-    *fits, full = _fit_all(folded, features, label, k)
+    dealt = assign_folds(df, id_column, label, k, seed, buckets) if fold is None else df.withColumn("fold", fold.cast("int"))
+    folded = write_scratch(dealt, "folds")
+    fits, full = fold_fits(folded, features, label, k)
     score = F.when(F.col("fold") == 0, fits[0].score(features))
     for i in range(1, k):
         score = score.when(F.col("fold") == i, fits[i].score(features))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strata.functions.scalars import AU_PER_PARSEC, KM_S_PER_ARCSEC_YR_PC, MYR_PER_PC_PER_KM_S
 from strata.plans import astro, model
-from strata.workload.base import planets, planets_sql, positions, positions_sql, query, r6, stars, stars_sql, t
+from strata.session import write_scratch
+from strata.workload.base import planets, planets_sql, positions, positions_sql, query, r6, stars, stars_sql, t, union
 from strata.workload.relational import sep_sql
 
 _ORDERS = ("orders", "o_orderkey")
@@ -191,3 +192,48 @@ def gap_candidates(spark, sf):
 @query("gap_model_weights")
 def gap_model_weights(spark, sf):
     return _gap_model(spark, sf).weights
+
+
+# A one-feature model has a 2x2 Newton step, which a recursive query can take: 30 rounds from zero, for each fold's training set.
+@query("oof_scores_one_feature", """
+    WITH RECURSIVE d AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS fold, quality AS y, ln(1 + length(text)) AS x FROM documents JOIN labels USING (doc_id)),
+    s AS (SELECT m, avg(x) AS mu, stddev_pop(x) AS sd FROM d, range(5) AS r(m) WHERE fold <> m GROUP BY m),
+    seen AS (SELECT m, y, (x - mu) / sd AS z FROM d JOIN s ON fold <> m),
+    fit(i, m, a, b) AS (
+      SELECT 0, m, 0::DOUBLE, 0::DOUBLE FROM s
+      UNION ALL
+      SELECT i + 1, m, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+      FROM (SELECT i, m, a, b, sum(y - p) AS ga, sum((y - p) * z) - b AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * z) AS hab, sum(p * (1 - p) * z * z) + 1 AS hbb
+            FROM (SELECT i, m, a, b, y, z, 1 / (1 + exp(-(a + b * z))) AS p FROM fit JOIN seen USING (m) WHERE i < 30) GROUP BY i, m, a, b))
+    SELECT doc_id, y AS quality, fold, round(1 / (1 + exp(-(a + b * (x - mu) / sd))), 6) AS score
+    FROM d JOIN s ON s.m = fold JOIN fit ON fit.m = fold WHERE i = 30""")
+def oof_scores_one_feature(spark, sf):
+    rows, _ = model.oof_scores(_documents(spark, sf), ["log_length"], "quality", "doc_id", fold=F.col("doc_id") % 5)
+    return rows.select("doc_id", "quality", "fold", F.round("score", 6).alias("score"))
+
+
+@query("fold_gradients", """
+    WITH d AS (SELECT doc_id % 5 AS fold, quality FROM documents JOIN labels USING (doc_id))
+    SELECT CAST(m AS INTEGER) AS model, count(*) AS n, CAST(sum(quality) AS BIGINT) AS positives, 0::DOUBLE AS gradient FROM d, range(5) AS r(m) WHERE fold <> m GROUP BY m""")
+def fold_gradients(spark, sf):
+    """Training rows, positives and the largest component of the penalised gradient of every fold model, which is zero at the optimum."""
+    features = ["log_length", "line_rate", "digit_rate", "english"]
+    rows = write_scratch(_documents(spark, sf).withColumn("fold", (F.col("doc_id") % 5).cast("int")), "folds")
+    fits, _ = model.fold_fits(rows, features, "quality")
+    out = []
+    for m, fit in enumerate(fits):
+        miss = F.col("quality") - fit.score(features)
+        z = [(F.col(f) - F.lit(a)) / F.lit(s) for f, a, s in zip(features, fit.mean, fit.scale)]
+        slopes = [F.abs(F.sum(miss)), *[F.abs(F.sum(miss * x) - F.lit(w)) for x, w in zip(z, fit.weight)]]
+        out.append(rows.filter(F.col("fold") != m).agg(
+            F.lit(m).alias("model"), F.count("*").alias("n"), F.sum("quality").cast("bigint").alias("positives"), F.round(F.greatest(*slopes), 4).alias("gradient")))
+    return union(*out)
+
+
+@query("gap_model_counts", _MATCHES + f""", judged AS (
+      SELECT s.source_id, s.source_id IN (SELECT source_id FROM m) AS host FROM ({stars_sql()}) AS s WHERE phot_g_mean_mag IS NOT NULL AND parallax > 0)
+    SELECT count(*) AS n_stars, count(*) FILTER (WHERE host) AS n_hosts, (SELECT count(*) FROM ({stars_sql()})) - count(*) AS skipped, 5 AS folds,
+           round(avg(CAST(host AS DOUBLE)), 9) AS base_rate FROM judged""")
+def gap_model_counts(spark, sf):
+    found = model.planet_gaps(stars(spark, sf), planets(spark, sf), positions(spark, sf)).metrics
+    return found.select("n_stars", "n_hosts", "skipped", "folds", F.round("base_rate", 9).alias("base_rate"))

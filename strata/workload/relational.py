@@ -108,6 +108,18 @@ def neighbours_in_bands(spark, sf):
     return band_neighbours(t(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice", 1.0, 0.5, 5)
 
 
+_ODD_SIZE = """CASE p_partkey % 40 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE)
+    WHEN 3 THEN NULL ELSE CAST(p_size AS DOUBLE) END"""
+
+
+@query("band_neighbours_odd_values", f"""
+    WITH p AS (SELECT p_partkey, {_ODD_SIZE} AS x, CASE p_partkey % 41 WHEN 0 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice END AS y FROM part)
+    SELECT a.p_partkey, count(*) - 1 AS neighbours FROM p AS a JOIN p AS b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 0.5 GROUP BY 1 HAVING count(*) - 1 < 5""")
+def neighbours_in_bands_with_odd_values(spark, sf):
+    parts = t(spark, sf, "part").selectExpr("p_partkey", f"{_ODD_SIZE} AS x", "CASE p_partkey % 41 WHEN 0 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice END AS y")
+    return band_neighbours(parts, "p_partkey", "x", "y", 1.0, 0.5, 5)
+
+
 # -- aggregates ---------------------------------------------------------------------------------------------------
 
 @query("count_by_group", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2")

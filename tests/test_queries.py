@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import pytest
 
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOICE = (
     "ask_parquet_glob", "clean_typed_csv", "clean_typed_json", "clean_layer_report", "cross_match", "density_misfits", "exact_median_by_group",
     "flybys", "latest_fetch_wins", "nearest_companion", "page_audit", "quality_report", "ranking_metrics", "rebuild_equivalence", "slice_ledger_status",
-    "table_diff", "upsert_latest_wins", "upsert_report", "next_windows",
+    "table_diff", "upsert_latest_wins", "band_neighbours_odd_values", "oof_scores_one_feature", "fold_gradients", "gap_model_counts", "upsert_report", "next_windows",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
@@ -48,5 +49,6 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_the_contract(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 80
-    assert set(queries) - set(sql) == {"oof_scores", "gap_model_metrics", "gap_candidates", "gap_model_weights"}
+    own = {name for name in queries if not re.match(r"op\d+_|pipeline$", name)}  # the training-data queries have tests of their own
+    assert own - set(sql) == {"oof_scores", "gap_model_metrics", "gap_candidates", "gap_model_weights"}
     assert entry.entry(spark).count() > 0
