@@ -49,6 +49,55 @@ def raw_integrity(spark, sf):
     return verify_raw(spark, lake, manifest=recorded).select("fetch_date", "status").distinct()
 
 
+# Customers of a region are fetched on one day. What the sidecars of the five regions say, as JSON after the core fields:
+_SIDECARS = (
+    '"fetched_at_utc": "2024-05-01T10:00:00Z", "complete": true, "rows": 7',  # fetched long after the day of the folder
+    '"fetched_at_utc": "2024-01-15T01:30:00+02:00", "complete": null',  # fetched before it, and not known to be complete
+    None,  # no sidecar
+    "damaged",
+    '"complete": false',  # no fetch time: the day of the folder counts
+)
+
+
+def sidecar_lake(spark: SparkSession, sf: str) -> str:
+    """raw/shop/customers/2024-03-0<region + 1>/* with sidecars that state size and checksum; region 1 states a wrong checksum, region 4 a wrong size."""
+    def build(root: str) -> None:
+        people = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        for region, said in enumerate(_SIDECARS):
+            folder = f"{root}/raw/shop/customers/2024-03-0{region + 1}"
+            people.filter(F.col("n_regionkey") == region).select(F.concat_ws(",", "c_custkey", "c_name").alias("value")).write.text(folder)
+            if said is None:
+                continue
+            # One row per file, with the checksum of its text; the audit reads bytes.
+            files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("at"), F.octet_length("value").alias("n"), F.sha2("value", 256).alias("sha"))
+            for f in files.collect():
+                size, sha = f["n"] + (region == 4), f["sha"][::-1] if region == 1 else f["sha"]
+                text = f'{{"size_bytes": {size}, "sha256": "{sha}", {said}}}' if said != "damaged" else '{"sha256": '
+                target = spark._jvm.org.apache.hadoop.fs.Path(f["at"] + ".meta.json")
+                out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+                out.write(bytearray(text.encode()))
+                out.close()
+
+    return lake_of(spark, sf, "sidecar-lake", build)
+
+
+@query("sidecar_provenance", """
+    SELECT DISTINCT concat('2024-03-0', n_regionkey + 1) AS fetch_date, n_regionkey <> 2 AS has_sidecar, n_regionkey IN (0, 2) AS complete,
+      CASE n_regionkey WHEN 0 THEN '2024-05-01 10:00:00' WHEN 1 THEN '2024-01-14 23:30:00' ELSE concat('2024-03-0', n_regionkey + 1, ' 00:00:00') END AS fetched_at,
+      CAST(CASE n_regionkey WHEN 0 THEN 7 END AS BIGINT) AS "rows"
+    FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def sidecar_provenance(spark, sf):
+    rows = provenance(spark, sidecar_lake(spark, sf)).filter("size_bytes > 0")
+    return rows.select("fetch_date", "has_sidecar", "complete", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), "rows").distinct()
+
+
+@query("sidecar_integrity", """
+    SELECT DISTINCT concat('2024-03-0', n_regionkey + 1) AS fetch_date, CASE n_regionkey WHEN 0 THEN 'ok' WHEN 1 THEN 'changed' WHEN 4 THEN 'changed' ELSE 'no_sidecar' END AS status
+    FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def sidecar_integrity(spark, sf):
+    return verify_raw(spark, sidecar_lake(spark, sf)).filter("size_bytes > 0").select("fetch_date", "status").distinct()
+
+
 @query("csv_scan", f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority, {FETCH_SQL} AS fetch_date FROM orders")
 def csv_scan(spark, sf):
     rows = scan_csv(spark, f"{orders_lake(spark, sf)}/raw/shop/orders/*/*.csv", ["o_orderpriority", "o_orderkey", "o_orderstatus"])
