@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,8 +18,25 @@ from strata.sources.files import (
     RAW_COLUMNS, RAW_LAYOUT, SIDECAR_SUFFIX, is_missing_path, normal_path, raw_glob, scanned_path, with_path_parts,
 )
 
-# The largest file whose bytes fit into one cell of a Spark row.
+# The largest file whose bytes fit into one cell of a Spark row; larger ones are hashed as a stream on an executor.
 MAX_CONTENT_BYTES = 2_000_000_000
+_BLOCK = 1 << 24
+
+
+def _hash_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, sha256) of each path, read block by block, so memory does not depend on the file."""
+    from pyarrow import fs
+
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            system, at = fs.FileSystem.from_uri(quote(path, safe=":/"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(at) as stream:
+                while block := stream.read(_BLOCK):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["path", "sha256"])
 
 _LISTING = "path string, size_bytes bigint, content binary"
 
@@ -108,25 +130,24 @@ def verify_raw(spark: SparkSession, lake: str, source: str = "*", dataset: str =
                manifest: DataFrame | None = None) -> DataFrame:
     """Recompute size and checksum of every raw file and compare with what was recorded at landing.
 
-    status: ok, changed, no_sidecar, or too_large (bytes do not fit one cell; only the size was compared).
+    status: ok, changed or no_sidecar. Files too large for a cell of a row are hashed as streams, to the same effect.
     `manifest` (path, stated_size, stated_sha256) replaces the sidecars when provenance is kept in a table.
     """
     files = _data_files(spark, lake, source, dataset, "*")
     hashed = files.filter(F.col("size_bytes") <= MAX_CONTENT_BYTES).select(
         "path", *RAW_COLUMNS, "size_bytes", content_hash("content").alias("sha256"))
-    unhashed = files.filter(F.col("size_bytes") > MAX_CONTENT_BYTES).select(
-        "path", *RAW_COLUMNS, "size_bytes", F.lit(None).cast("string").alias("sha256"))
+    large = files.filter(F.col("size_bytes") > MAX_CONTENT_BYTES).select("path", *RAW_COLUMNS, "size_bytes")
+    streamed = large.join(large.select("path").mapInArrow(_hash_streams, "path string, sha256 string"), "path")
     stated = (provenance(spark, lake, source, dataset) if manifest is None else manifest).select(
         "path", "stated_size", "stated_sha256")
     same_size = F.col("size_bytes").eqNullSafe(F.col("stated_size"))
     status = (
         F.when(F.col("stated_sha256").isNull(), "no_sidecar")
         .when(~same_size, "changed")
-        .when(F.col("sha256").isNull(), "too_large")
         .when(F.col("sha256") != F.col("stated_sha256"), "changed")
         .otherwise("ok")
     )
-    return hashed.unionByName(unhashed).join(stated, "path", "left").withColumn("status", status)
+    return hashed.unionByName(streamed).join(stated, "path", "left").withColumn("status", status)
 
 
 # Provenance fields that extra metadata may never replace.

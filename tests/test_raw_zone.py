@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -95,3 +96,18 @@ def test_provenance_reads_numbers_and_dates(spark, lake):
     r = provenance(spark, str(lake)).first()
     assert (r["rows"], r["pages"], r["expected_rows"], r["complete"]) == (7, 2, None, False)
     assert r["start_date"] == datetime(2022, 1, 1).date() and r["end_date"] == datetime(2022, 2, 1).date()
+
+
+@pytest.mark.parametrize("limit", [0, 10, 10**9])
+def test_audit_of_large_files_equals_that_of_small_ones(spark, lake, monkeypatch, limit):
+    """Whatever fits into a cell, every file is hashed."""
+    monkeypatch.setattr("strata.sources.raw.MAX_CONTENT_BYTES", limit)
+    monkeypatch.setattr("strata.sources.raw._BLOCK", 7)
+    lake.land("depot", "scans", "tiny.bin", b"\x00\xff")
+    lake.land("depot", "scans", "wide name.bin", bytes(range(256)) * 9)
+    spoilt = lake.land("depot", "scans", "spoilt.bin", b"a" * 50)
+    spoilt.write_bytes(b"b" * 50)
+    lake.land("depot", "scans", "alone.bin", b"c" * 99, sidecar=False)
+    got = {r["filename"]: (r["status"], r["sha256"]) for r in verify_raw(spark, str(lake)).collect()}
+    assert {n: s for n, (s, _) in got.items()} == {"tiny.bin": "ok", "wide name.bin": "ok", "spoilt.bin": "changed", "alone.bin": "no_sidecar"}
+    assert all(sha == hashlib.sha256((spoilt.parent / n).read_bytes()).hexdigest() for n, (_, sha) in got.items())
