@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strata.session import use_utc
@@ -23,6 +24,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, "2000")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for steps whose Python objects are many times as large as the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def query(name: str, sql: str | None = None):
     """Register `fn(spark, sf_dir)`."""
     def keep(fn):

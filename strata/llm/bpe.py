@@ -251,7 +251,7 @@ class Bpe:
 class IdsOnly(Bpe):
     """Keeps only the ids of each chunk, as 32-bit integers, and so more chunks in the same memory."""
 
-    def __init__(self, definition: str, cache_chunks: int = 3 * CACHE_CHUNKS):
+    def __init__(self, definition: str, cache_chunks: int = 2 * CACHE_CHUNKS):
         super().__init__(definition, cache_chunks)
 
     def _entry(self, ids: np.ndarray, counts: Iterable[int] | None = None) -> list:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strata.llm.base import query, schema_text, table, texts
+from strata.llm.base import query, schema_text, sliced, table, texts
 from strata.session import write_scratch
 
 #: Labelled documents the fit reads at most, features at most, the least log-likelihood ratio of a feature, letters of a beginning.
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 100):
             found = [features_of(words_of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())),
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, strong = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 100):
             columns, values, hits = [], [], []
             for words, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 kept = [(place[w], c) for w, c in zip(words, counts) if w in place]
