@@ -49,7 +49,8 @@ _CONTENT_NAMES = frozenset("article articlebody body content entry main maincont
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|select|button|svg|math|iframe|object|canvas|audio|video)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|title|textarea|iframe)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(select|button|svg|math|object|canvas|audio|video)\b(?:(?!<\2\b).)*?</\2\s*>"  # left open they hide nothing
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -111,18 +112,18 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked += len(piece.strip())
         at = m.end()
-        name = m[3]
+        name = m[4]
         if name is None:
-            if m[1] is not None:
+            if m[1] is not None or m[2] is not None:
                 pieces.append(" ")
             continue
         tag = name.lower()
         if tag == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if m[3] else 1
         elif tag not in _BLOCK_TAGS:
             if tag in ("br", "img", "input"):
                 pieces.append(" ")
-        elif m[2]:
+        elif m[3]:
             flush()
             in_link = 0
             for i in range(len(stack) - 1, -1, -1):
@@ -139,7 +140,7 @@ def blocks_of(page: str) -> list[Block]:
             while stack and stack[-1][0] in _CLOSES_ITSELF.get(tag, ()):
                 stack.pop()
             count += 1
-            stack.append((tag, count, _marks(tag, m[4], stack[-1][2] if stack else 0)))
+            stack.append((tag, count, _marks(tag, m[5], stack[-1][2] if stack else 0)))
     if at < len(page):
         pieces.append(page[at:])
     flush()
@@ -190,7 +191,9 @@ def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Source side of the minimum cut: node i has capacity gain[i] from the source if positive, -gain[i] to the sink if negative.
 
-    Augmenting paths are found breadth first and pushed until the sink cannot be reached.
+    Nodes get levels by breadth-first search; paths that climb one level at a time are filled depth first until none is left;
+    then levels are set anew, until the sink has none. Edges found full are not tried again within a round, so that a
+    round takes time in proportion to the edges and a long page of a few thousand blocks stays cheap.
     """
     n = len(gain)
     source, sink = n, n + 1
@@ -214,27 +217,44 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
     for a, b, c in edges:
         edge(a, b, c, c)
     while True:
-        via = [-1] * (n + 2)
-        via[source] = -2
+        level = [-1] * (n + 2)
+        level[source] = 0
         queue = deque([source])
-        while queue and via[sink] == -1:
+        while queue:
             a = queue.popleft()
             for e in out[a]:
-                b = to[e]
-                if via[b] == -1 and room[e] > 1e-9:
-                    via[b] = e
-                    queue.append(b)
-        if via[sink] == -1:
-            return [via[i] != -1 for i in range(n)]
-        push, b = float("inf"), sink
-        while b != source:
-            push = min(push, room[via[b]])
-            b = to[via[b] ^ 1]
-        b = sink
-        while b != source:
-            room[via[b]] -= push
-            room[via[b] ^ 1] += push
-            b = to[via[b] ^ 1]
+                if level[to[e]] < 0 and room[e] > 1e-9:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        untried = [0] * (n + 2)
+        path: list[int] = []
+        at = source
+        while True:
+            if at == sink:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                while path and room[path[-1]] > 1e-9:  # go back to before the first full edge
+                    path.pop()
+                full = next(i for i, e in enumerate(path) if room[e] <= 1e-9)
+                del path[full:]
+                at = to[path[-1]] if path else source
+            while untried[at] < len(out[at]):
+                e = out[at][untried[at]]
+                if room[e] > 1e-9 and level[to[e]] == level[at] + 1:
+                    break
+                untried[at] += 1
+            if untried[at] < len(out[at]):
+                path.append(e)
+                at = to[e]
+            elif path:  # a dead end: not to be entered again
+                at = to[path.pop() ^ 1]
+                untried[at] += 1
+            else:
+                break
 
 
 def _steps(a: tuple[int, ...], b: tuple[int, ...]) -> int:

@@ -110,11 +110,12 @@ def test_extraction_learns_and_finds_articles(spark):
 
 def test_extraction_of_odd_pages(spark):
     odd = [(1, "u", None), (2, None, ""), (3, "u", "<article><p>cut off te"), (None, "u", "<article>no id, but text</article>"), (3, "u", "<article><p>cut off te"),
-           (4, "u", "<!-- <p>never closed"), (5, "u", "<article><p>a < b & c &amp; d</p></b></div></article>"), (6, "u", "<script>x</script>" * 3000), (7, "u", "<div " * 20_000)]
+           (4, "u", "<!-- <p>never closed"), (5, "u", "<article><p>a < b & c &amp; d</p></b></div></article>"), (6, "u", "<script>x</script>" * 3000), (7, "u", "<div " * 20_000),
+           (8, "u", "<article><p>open <button>Go<p>closed <button>Go</button> end</article>"), (9, "u", "<article><p>" + "<button>" * 20_000 + "x y z, w.</article>")]
     df = html.page_rows(spark.createDataFrame(odd, "page_id long, url string, html string"))
     weights = html.train(df)
     got = {(r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df, weights).collect()}
-    assert {(1, "", 0), (2, "", 0), (3, "cut off te", 10), (None, "no id, but text", 15), (4, "", 0), (5, "a < b & c & d", 13), (6, "", 0)} <= got
+    assert {(1, "", 0), (2, "", 0), (3, "cut off te", 10), (None, "no id, but text", 15), (4, "", 0), (5, "a < b & c & d", 13), (6, "", 0), (8, "open Go\nclosed end", 18), (9, "x y z, w.", 9)} <= got
     assert html.extract(df, weights).count() == len(odd)
     empty = df.filter("false")
     assert html.extract(empty, html.train(empty)).count() == 0
