@@ -125,14 +125,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return each.join(classes, "fp").select("doc_id", "fp", "component_id", "links")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The document that names its component, one row of it, and every row without an id; further columns stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), words, radius)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return (docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            .unionByName(docs.filter("doc_id IS NULL")))
-
-
 @query("op4_simhash")
 def simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""

@@ -78,3 +78,33 @@ def test_registration():
     assert set(QUERIES) < set(names) and "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(SQL) == {"op1_secret_scan", "op2_line_dedup", "op7_exact_top_k"} <= set(__spark_entry__.oracle_sql())
+
+
+def five_words(text):
+    w = text.split()
+    return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_of_five_words(spark, docs):
+    rng = random.Random(8)
+    rows = []
+    for g in range(40):  # copies of falling similarity on both sides of 0.8, chains and strangers
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 100, 400]))]
+        for c in range(5):
+            rows.append((10 * g + c, " ".join(base)))
+            for _ in range(rng.randrange(1, 2 + len(base) // 60)):
+                base[rng.randrange(len(base))] = f"n{rng.randrange(3000)}"
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows += [(1000 + i, f"{passage} {' '.join(f'q{i}x{k}' for k in range(rng.choice([1, 60])))}") for i in range(120)]  # one large group, and strangers who share its passage
+    sets = [five_words(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared) and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    want = sorted({rows[r][0] for r in root})
+    assert 60 < len(want) < len(rows) - 100
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == want
