@@ -3,18 +3,22 @@ r"""Personal data by candidate gradient boosting.
 Base rules find addresses, numbers and their checks exactly as stated; these spans always stay. Beside them, generous generators
 propose overlapping candidate spans (anything around an @ or a spelled-out one, any run of digits with separators). A candidate has
 features of its format (lengths, digit groups, separators) and of its context (neighbouring characters, cue words before it),
-none of which repeats a base rule's check. Boosted regression trees are fitted on the candidates of at most `sample`
-documents, where the base rules label them; on held-out candidates each kind gets the lowest threshold whose precision is
-at least `precision` (none: no candidate of that kind is taken). Candidates above it that overlap no span of their kind are added
-under `<kind>_like`, best first, and `redact` blanks all spans.
+none of which repeats a base rule's check. Boosted regression trees are fitted on candidates outside the base spans, in at most `sample`
+documents. Positives are base spans rewritten, within their contexts, into forms that no base rule finds (spelled-out or dotless
+addresses, numbers without a plus sign or with other separators); negatives are wrong extents of these, planted order numbers, versions, dates, hashes and
+prose, and what the text itself shows to be something else: candidates inside a base span of another kind, inside a longer word, after
+a word like "version" or "token", or of a card's length with a wrong check digit. Other candidates of the text have no label and are not learned
+from. On held-out documents each kind gets the lowest threshold whose precision on such candidates is at least `precision` (none: no
+candidate of that kind is taken). Candidates above it that overlap no span of their kind are added under `<kind>_like`, best first, and `redact` blanks all spans.
 
 Defined cases: a null or empty text has no spans; repeated rows and null ids are searched like any row (a null id is never in the
-sample); without candidates of both labels nothing is added; an empty table gives an empty result; other columns are not
+sample); without labelled candidates of both kinds nothing is added; an empty table gives an empty result; other columns are not
 read. All searches are linear in the text, also for very long runs of one character class.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,11 +49,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 # Generators of candidates, and words that speak for or against them.
 _NUMBERS = re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9])++")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20?[\[({<]?\x20?(?:at|AT)\x20?[\])}>]?\x20?[A-Za-z0-9-]{1,64}\x20?[\[({<]?\x20?(?:dot|DOT)\x20?[\])}>]?\x20?[A-Za-z]{2,24}")
+_AT, _DOT = (r"\x20?[\[({<]?\x20?(?:%s|%s)\x20?[\])}>]?\x20?" % (w, w.upper()) for w in ("at", "dot"))
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,64}}(?:{_DOT}[A-Za-z0-9-]{{1,64}}){{0,4}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])")
 _AROUND_AT = re.compile(r"[A-Za-z0-9.-]{1,255}")
 _CUES = (
     ("mail", "contact", "write"), ("phone", "tel", "call", "mobile", "fax", "whatsapp"), ("card", "visa", "credit", "iban", "account", "payment"),
-    ("ip", "host", "server", "address", "login"), ("version", "license", "licence", "token", "key", "secret", "hash", "id", "no", "isbn"))
+    ("ip", "host", "server", "address", "login"), ("version", "license", "licence", "token", "key", "secret", "hash", "id", "no", "isbn", "order", "invoice"))
 
 
 def luhn(digits: str) -> bool:
@@ -121,7 +126,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda c: (c[1], BASE_KINDS.index(c[0]), c[2]))
 
 
-FEATURES = 22
+FEATURES = 25
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -135,7 +140,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(BASE_KINDS.index(kind)), float(len(span)), float(sum(groups)), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)),
         float(span.count(" ")), float(span.count("-")), float(span.count(".")), float(span.count("(") + span.count(")")), float(span[:1] == "+"),
         float(sum(c.isalpha() for c in span)), float("@" in span), float(len(span.rpartition(".")[2]) if "." in span else 0),
-        float(before.isalnum()), float(after.isalnum()), float(before in ('"', "'", "=", ":", "/", "#")),
+        float(span.count("[") + span.count("{") + span.count("<")), float(any("0" <= c <= "9" for c in text[max(0, start - 2):start])),
+        float(any("0" <= c <= "9" for c in text[end:end + 2])), float(before.isalnum()), float(after.isalnum()), float(before in ('"', "'", "=", ":", "/", "#")),
         *(float(any(w.startswith(c) for w in words for c in cues)) for cues in _CUES)]
 
 
@@ -219,20 +225,94 @@ def calibrate(kinds: np.ndarray, scores: np.ndarray, y: np.ndarray, precision: f
     return out
 
 
+# -- labels that no base rule gives ----------------------------------------------------------------------------------
+
+
+def _rewritten(kind: str, span: str, rng: random.Random) -> str:
+    """The same datum in a form outside its base rule."""
+    if kind == "email":
+        local, _, domain = span.rpartition("@")
+        a, b = rng.choice([(" at ", " dot "), (" AT ", " DOT "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), ("@", "")])
+        return local + a + b.join(domain.split(".")) if b else local + a + domain.partition(".")[0]
+    if kind == "ip":
+        return rng.choice([". ", " ."]).join(span.split("."))
+    d = _digits(span)
+    if kind == "card":
+        return rng.choice([".", "/", "  ", "--"]).join(d[i:i + 4] for i in range(0, len(d), 4))
+    local = [d[-10:-7], d[-7:-4], d[-4:]] if len(d) >= 10 else [d[:-4], d[-4:]]
+    code = d[:-10] if len(d) > 10 else ""
+    bare = rng.choice([" ", "-", ".", "/"]).join(local)
+    return rng.choice([bare, bare, f"({local[0]}) {'-'.join(local[1:])}", f"{code} ({local[0]}) {'-'.join(local[1:])}".strip(), f"00{code} {bare}", f"{code} {bare}".strip()])
+
+
+def _stranger(kind: str, near: str, rng: random.Random) -> str:
+    """Something else that looks alike: prose, order numbers, versions, dates, hashes."""
+    def digits(n: int) -> str:
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    if kind == "email":
+        words = re.findall(r"[A-Za-z]{2,12}", near) or ["there"]
+        return f"{rng.choice(words)} at {rng.choice(words)} dot {rng.choice(words)}"
+    if kind == "ip":
+        return f"version {rng.randrange(30)}. {rng.randrange(30)}. {rng.randrange(300, 2000)}. {rng.randrange(30)}"
+    if kind == "card":
+        return f"{rng.choice(['order no', 'order', 'invoice id', 'isbn'])} {digits(rng.randrange(12, 20))}"
+    return rng.choice([
+        f"order {digits(rng.randrange(7, 13))}", f"invoice no {digits(4)}-{digits(6)}", f"version {rng.randrange(20)}.{digits(3)}.{digits(4)}",
+        f"token {digits(2)}a{digits(9)}fb{digits(3)}", f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}",
+        f"{rng.randrange(1900, 2100)}-{rng.randrange(1900, 2100)}", f"{rng.randrange(1, 29):02}.{rng.randrange(1, 13):02}.{rng.randrange(1900, 2100)}", f"isbn 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"])
+
+
+def planted(text: str, rng: random.Random) -> tuple[str, set[tuple[str, int, int]], list[tuple[int, int]]]:
+    """The text with its base spans rewritten or replaced by strangers; the rewritten spans, and all places that were touched."""
+    out, length, at, true, touched = [], 0, 0, set(), []
+    for kind, start, end in sorted(base_spans(text), key=lambda b: b[1]):
+        if start < at:
+            continue
+        good = rng.random() < 0.6
+        new = _rewritten(kind, text[start:end], rng) if good else _stranger(kind, text[max(0, start - 100):start], rng)
+        out += [text[at:start], new]
+        place = length + start - at
+        if good:
+            true.add((kind, place, place + len(new)))
+        touched.append((place, place + len(new)))
+        length, at = place + len(new), end
+    return "".join([*out, text[at:]]), true, touched
+
+
+def labelled(text: str, rng: random.Random) -> Iterator[tuple[float, list[float]]]:
+    """(label, features) of candidates outside the base spans of their kind whose label is known."""
+    new, true, touched = planted(text, rng)
+    for source, spans in ((text, None), (new, touched)):
+        base = base_spans(source)
+        for c in candidates(source):
+            kind, start, end = c
+            if any(k == kind and s < end and start < e for k, s, e in base):
+                continue
+            if spans is not None and any(s < end and start < e for s, e in spans):
+                yield float(c in true), features(source, *c)
+            elif spans is None:
+                x = features(source, *c)
+                inside = any(s < end and start < e for _, s, e in base)
+                wrong = kind == "card" and not luhn(_digits(source[start:end]))
+                joined = kind != "email" and (source[start - 1:start].isalnum() or source[end:end + 1].isalnum())
+                if inside or wrong or joined or kind != "email" and x[-1]:
+                    yield 0.0, x
+
+
 _SAMPLED = "doc_id long, place long, label double, x array<double>"
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> PiiModel:
-    """Fit and calibrate on the candidates of at most `sample` documents, chosen by a hash of their ids."""
+    """Fit and calibrate on the labelled candidates of at most `sample` documents, chosen by a hash of their ids."""
     chosen = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                true = set(base_spans(text))
-                for i, c in enumerate(candidates(text)):
-                    for column, value in zip(out, (doc, i, float(c in true), features(text, *c))):
+                for i, (label, x) in enumerate(labelled(text, random.Random(doc))):
+                    for column, value in zip(out, (doc, i, label, x)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.float64()))],
@@ -240,12 +320,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -
 
     # `chosen` has at most `sample` ids; of their candidates as many rows again reach the driver
     rows = (docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(run, _SAMPLED)
-            .orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(sample).toArrow())
+            .orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place", "label", "x").limit(sample).toArrow())
     y = np.asarray(rows["label"])
     if not len(y) or y.min() == y.max():
         return PiiModel()
     x = np.asarray(rows["x"].combine_chunks().flatten()).reshape(len(y), FEATURES)
-    held = np.arange(len(y)) % 3 == 0
+    held = np.asarray(rows["doc_id"]) % 3 == 0  # whole documents, so that no context is on both sides
+    if held.all() or not held.any():
+        return PiiModel()
     trees = fit_trees(x[~held], y[~held])
     return PiiModel(trees, calibrate(x[held, 0].astype(int), trees.score(x[held]), y[held], precision))
 

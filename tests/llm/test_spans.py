@@ -114,3 +114,19 @@ def test_personal_data_of_odd_rows(docs, clash):
     out = pii.with_spans(rows, model).collect()
     assert len(out) == len(ODD) and all(r["spans"] == [] and r["redacted"] == r["text"] for r in out)
     assert pii.with_spans(rows.filter("false"), model).count() == 0
+
+
+def test_forms_outside_the_base_rules_are_found(spark, docs):
+    rng = random.Random(9)
+    words = "the parcel went out on monday and came back without any note from them".split()
+    prose = lambda: " ".join(rng.sample(words, 8))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, f"{prose()} {rng.choice(['call', 'phone'])} +1 ({rng.randrange(200, 1000)}) 555-{digits(4)} {prose()} write jo.{digits(2)}@mail{i % 9}.example.com {prose()} order {digits(9)} "
+             f"version {rng.randrange(9)}.{digits(3)}.{digits(4)} {prose()} token = \"{digits(9)}ab{digits(9)}\"") for i in range(1500)]
+    model = pii.train(texts(docs(rows, clash=False)))
+    assert {"email", "phone"} <= set(model.thresholds)
+    planted = ["ann.31 [at] mail4 [dot] example [dot] com", "bob.77(at)mail2(dot)example(dot)com", "407-555-7710", "(407) 555-7710", "001 407 555 7710"]
+    found = pii.find_pii([f"{prose()} {prose()} {p} {prose()}" for p in planted], model)
+    assert sum(len(f) == 1 and f[0][2] - f[0][1] == len(p) for f, p in zip(found, planted)) >= 4
+    others = [f"order {digits(9)}" for _ in range(50)] + [f"version {rng.randrange(9)}.{digits(3)}.{digits(4)}" for _ in range(50)] + [f"token = \"{digits(9)}ab{digits(9)}\"" for _ in range(50)]
+    assert sum(map(bool, pii.find_pii([f"{prose()} {o} {prose()}" for o in others], model))) <= 7
