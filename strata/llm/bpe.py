@@ -171,11 +171,11 @@ class Bpe:
     # -- texts ----------------------------------------------------------------------------------------------------
 
     def chunks(self, text: str) -> list[str]:
-        """The lower-cased pieces between white space; special tokens stand alone."""
+        """The lower-cased pieces between white space; special tokens stand alone, behind a space, which no plain piece holds."""
         if self.marks is not None and "<|" in text and self.marks.search(text):
             out: list[str] = []
             for piece in self.marks.split(text):
-                out += [piece] if piece in self.special else self._plain(piece)
+                out += [" " + piece] if piece in self.special else self._plain(piece)
             return out
         return self._plain(text)
 
@@ -206,9 +206,9 @@ class Bpe:
     def learn(self, chunks: Iterable[str]) -> None:
         """Encode the chunks that are not in the cache."""
         new = [c for c in chunks if c not in self.cache]
-        plain = [c for c in new if c not in self.special]
+        plain = [c for c in new if c[0] != " "]
         for c in set(new) - set(plain):
-            self.cache[c] = self._entry(np.array([self.special[c]]))[0]
+            self.cache[c] = self._entry(np.array([self.special[c[1:]]]))[0]
         if plain:
             ids, counts = self._ids_of(plain)
             self.cache.update(zip(plain, self._entry(ids, counts)))

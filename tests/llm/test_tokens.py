@@ -157,3 +157,10 @@ def test_packing_is_gapless_and_whole(docs, library):
 
 def test_packing_of_empty_table(docs):
     assert packing.pack_documents(texts(docs([])), PATH).count() == 0
+
+
+def test_special_tokens_in_other_case_are_plain_text():
+    coder = bpe.Bpe(bpe.definition_of(bpe.tokenizer_path()))
+    assert coder.encode("<|STARTOFTEXT|>") == [27, 347, 993, 6659, 4160, 91, 285]
+    assert coder.encode("a <|startoftext|> <|EndOfText|> <|endoftext|>").count(49407) == 1
+    assert coder.encode("<|startoftext|>") == [49406]
