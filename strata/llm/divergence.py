@@ -7,7 +7,7 @@ shuffled, and words of too few documents of their language go.
 
 For the pairs, only counts that are not zero travel. The words of a language are dealt into cells; a cell lists, for each source, the words that
 it has there. A word that both sources of a pair have is evaluated word by word, a word that one of them has by the number of such words with
-the same value, and a word that neither has by how many there are. Cells return sums per pair, which the result holds anyway, and many sources
+the same value, and the words that neither has, in no cell, by how many are left. Cells return sums per pair, which the result holds anyway, and many sources
 are cut into blocks, so that a cell holds at most two blocks of sources.
 
 Defined cases: a null text, language or source counts as the empty string; an empty text has no words and still makes its group exist; a
@@ -167,13 +167,16 @@ def source_groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return write_scratch(found.select("*", place.alias("at"), zero.alias("none")), "source-groups")
 
 
-def cell_sums(word: np.ndarray, at: np.ndarray, p: np.ndarray, sources: np.ndarray, none: np.ndarray) -> np.ndarray:
-    """Sum of `apart` over a cell's words for each pair of its sources; (word, at, p) lists what is used, `none` is each source's share of an unused word."""
+def cell_sums(word: np.ndarray, at: np.ndarray, p: np.ndarray, sources: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of a cell's sources, the sum of `apart` over the words that either uses, and their number.
+
+    (word, at, p) lists what is used, `none` is each source's share of an unused word.
+    """
     order = np.lexsort((word, at))
     codes, word = np.unique(word[order], return_inverse=True)
     s, p = np.searchsorted(sources, at[order]), p[order]
     k, cuts = len(sources), np.searchsorted(s, np.arange(len(sources) + 1))
-    neither = len(codes) - np.diff(cuts)[:, None] - np.diff(cuts)[None, :]
+    either = np.diff(cuts)[:, None] + np.diff(cuts)[None, :]
     out = np.zeros((k, k), np.int64)
     for i in range(k):
         own = slice(cuts[i], cuts[i + 1])
@@ -186,15 +189,15 @@ def cell_sums(word: np.ndarray, at: np.ndarray, p: np.ndarray, sources: np.ndarr
         both = np.flatnonzero(mine[word])
         ours, theirs, of = mine[word[both]], p[both], s[both]
         np.add.at(out[i], of, apart(ours, theirs) - apart(ours, none[of]) - apart(none[i], theirs))
-        neither[i] += np.bincount(of, minlength=k)
-    return out + neither * apart(none[:, None], none[None, :])
+        either[i] -= np.bincount(of, minlength=k)
+    return out, either
 
 
-_PAIRS = "lang string, a int, b int, value long"
+_PAIRS = "lang string, a int, b int, value long, words long"
 
 
 def pair_sums(kept: DataFrame, groups: DataFrame, used: DataFrame, per_block: int = SOURCES_PER_BLOCK) -> DataFrame:
-    """(lang, a, b, value), a < b, for all numbered sources of languages with words; `used` holds lang, word, at and p."""
+    """(lang, a, b, value, words), a < b: sum over the words that either source uses, and their number; `used` holds lang, word, at and p."""
     rows = kept.agg(F.sum(F.size("uses"))).first()[0] or 0
     cells = max(parts(kept.sparkSession), -(-rows // CELL_ROWS))
     block = F.floor(F.col("at") / per_block).cast("int")
@@ -212,18 +215,18 @@ def pair_sums(kept: DataFrame, groups: DataFrame, used: DataFrame, per_block: in
 
     def run(key: tuple, uses: pa.Table, sources: pa.Table) -> pa.Table:
         if not uses.num_rows:
-            return pa.table([pa.array([], pa.string()), *[pa.array([], pa.int32())] * 2, pa.array([], pa.int64())], ["lang", "a", "b", "value"])
+            return pa.table([pa.array([], pa.string()), *[pa.array([], pa.int32())] * 2, *[pa.array([], pa.int64())] * 2], ["lang", "a", "b", "value", "words"])
         sources = sources.sort_by("at")
         at = np.asarray(sources["at"]).astype(np.int64)
-        sums = cell_sums(*(np.asarray(uses[c]).astype(np.int64) for c in ("word", "at", "p")), at, np.asarray(sources["none"]))
+        sums, words = cell_sums(*(np.asarray(uses[c]).astype(np.int64) for c in ("word", "at", "p")), at, np.asarray(sources["none"]))
         low, high = key[2].as_py(), key[3].as_py()
-        i, j = np.nonzero((at[:, None] < at[None, :]) & (at[:, None] // per_block == low) & (at[None, :] // per_block == high))
-        return pa.table([pa.array([key[0].as_py()] * len(i), pa.string()), pa.array(at[i], pa.int32()), pa.array(at[j], pa.int32()), pa.array(sums[i, j])],
-                        ["lang", "a", "b", "value"])
+        i, j = np.nonzero((words > 0) & (at[:, None] < at[None, :]) & (at[:, None] // per_block == low) & (at[None, :] // per_block == high))
+        return pa.table([pa.array([key[0].as_py()] * len(i), pa.string()), pa.array(at[i], pa.int32()), pa.array(at[j], pa.int32()), pa.array(sums[i, j]), pa.array(words[i, j])],
+                        ["lang", "a", "b", "value", "words"])
 
     keys = ["lang", "cell", "low", "high"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _PAIRS)
-    return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("words").alias("words"))
 
 
 def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -238,10 +241,11 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     words = (shares.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top))
     sums = pair_sums(kept, groups, shares.select("lang", "word", "at", "p"))
-    sides = groups.select("lang", "source", "at")
-    pairs = (sides.join(sides.selectExpr("lang", "source AS item", "`at` AS other"), "lang").filter(F.col("at") != F.col("other"))
+    sides = groups.select("lang", "source", "at", "kept", "none")
+    unused = "coalesce((kept - coalesce(words, 0)) * ((none - none_other) * (none - none_other) div (none + none_other)), 0)"
+    pairs = (sides.join(sides.selectExpr("lang", "source AS item", "`at` AS other", "none AS none_other"), "lang").filter(F.col("at") != F.col("other"))
              .withColumn("a", F.least("at", "other")).withColumn("b", F.greatest("at", "other")).join(sums, ["lang", "a", "b"], "left")
-             .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+             .select("lang", "source", F.lit("pair").alias("part"), "item", F.expr(f"coalesce(value, 0) + {unused}").alias("value"))
              .withColumn("rank", F.row_number().over(order)))
     return pairs.union(words)
 
