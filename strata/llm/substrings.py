@@ -158,13 +158,9 @@ def _blocks(buckets: int, size: int):
 
 
 def _claims(prints: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    """One row per document: the fingerprints that it loses."""
+    """One row per document and fingerprint that it loses, in document order, so that a task's rows of a document lie together."""
     order = np.argsort(docs, kind="stable")
-    docs, prints = docs[order], prints[order]
-    at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]][:len(docs)])
-    ends = (np.r_[at, len(docs)] * 8).astype(np.int32)
-    lost = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(prints.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(docs[at], pa.int64()), lost], ["doc_id", "lost"])
+    return pa.RecordBatch.from_arrays([pa.array(docs[order], pa.int64()), pa.array(prints[order].view(np.int64))], ["doc_id", "lost"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,20 +193,20 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lost_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, lost): fingerprints of windows that a smaller document holds as well, several rows a document possible."""
+    """(doc_id, lost): fingerprints, as signed longs, of windows that a smaller document holds as well."""
     named = docs.filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     amount = named.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(parts(docs.sparkSession), -(-amount // BUCKET_BYTES))
     blocks = named.mapInArrow(_blocks(buckets, size), _BLOCKS)
     return (blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-            .mapInArrow(_merge, "doc_id long, lost binary"))
+            .mapInArrow(_merge, "doc_id long, lost long"))
 
 
-def intervals(text: bytes, lost: list[bytes] | None, size: int = SIZE) -> list[tuple[int, int]]:
+def intervals(text: bytes, lost: np.ndarray, size: int = SIZE) -> list[tuple[int, int]]:
     """Maximal [start, end) runs of words covered by windows whose fingerprints are lost."""
-    if not lost:
+    if not len(lost):
         return []
-    gone = np.unique(np.frombuffer(b"".join(lost), dtype=np.uint64))
+    gone = np.unique(lost.view(np.uint64))
     hits, at = [], 0
     for _, prints in windows(text, size):
         place = np.minimum(np.searchsorted(gone, prints), len(gone) - 1)
@@ -255,7 +251,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
             out: tuple[list, ...] = ([], [], [])
             for text, lost in zip(batch.column(1), batch.column(2)):
                 text = text.as_py()
-                cuts = intervals(text, lost.as_py(), size)
+                cuts = intervals(text, np.asarray(lost.values, dtype=np.int64) if lost.is_valid else np.empty(0, np.int64), size)
                 n, left = without(text, cuts)
                 for column, value in zip(out, (n, [{"start": s, "end": e} for s, e in cuts], left)):
                     column.append(value)
