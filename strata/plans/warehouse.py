@@ -1,40 +1,32 @@
-"""Curated tables: Parquet parts under one root, published by appending to a small log.
+"""Curated tables: Parquet parts under one root, published by a commit log.
 
-A publication names the folders a table consists of. Data is always written to new folders first; readers see it
-only once the log line exists, so a failed job leaves the table as it was. One writer per table is assumed.
+A commit names the folders a table consists of. Data is always written to new folders first; readers see it only once the commit exists, so a
+failed job leaves the table as it was. Of two writers of one table exactly one is published and the other is told; writers of different
+tables do not disturb each other. Superseded folders stay for readers that began earlier and go after `retain`.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import time
+import uuid
 from dataclasses import dataclass, replace
+from datetime import timedelta
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from strata.functions.names import check_key, quote, require, split_table
-from strata.operators.joins import existing_rows, without_keys
 from strata.operators.windows import last_per_key
+from strata.plans.commits import CommitLog, LogState, Published, WriteConflict, dropped, older
 from strata.session import use_utc
-from strata.sources.files import is_missing_path
 
 LINEAGE = {"_source_file": T.StringType(), "_fetched_at": T.TimestampType()}
 PART = "_part"
 
-_LOG = "name string, version bigint, folders array<string>, key array<string>, layout string, n_rows bigint, columns string"
-
-
-@dataclass(frozen=True)
-class Published:
-    name: str
-    version: int
-    folders: tuple[str, ...]
-    key: tuple[str, ...]
-    layout: str
-    n_rows: int
-    columns: str  # schema as JSON, so reading needs no inference job
+#: What an upsert did with a row; stored beside the rows it wrote, so that its report is counted from what is there.
+CHANGE = "_change"
+NEW, UPDATED, KEPT, STALE = "new", "updated", "kept", "stale"
 
 
 @dataclass(frozen=True)
@@ -87,39 +79,47 @@ def part_of(layout: str, key: tuple[str, ...], schema: T.StructType) -> Column:
     return F.coalesce(value, F.lit("none"))
 
 
+def merge(old: DataFrame, batch: DataFrame, key, unique: bool = True) -> DataFrame:
+    """Both tables' rows with the batch's copy of each key, and in CHANGE what became of each row: one full outer join.
+
+    `batch` holds each key once; so does `old` if `unique`, else its further rows of a key the batch brings are left out. Where both
+    have `_fetched_at`, an older fetch does not replace a newer one, and the row that stays counts as stale.
+    """
+    columns = batch.columns
+    left = old.select(F.struct(*columns).alias("old"), *[F.col(k).alias(f"_old_{i}") for i, k in enumerate(key)])
+    if not unique:
+        left = left.withColumn("first", F.row_number().over(Window.partitionBy(*[f"_old_{i}" for i in range(len(key))]).orderBy("old")) == 1)
+    right = batch.select(F.struct(*columns).alias("new"), *[F.col(k).alias(f"_new_{i}") for i, k in enumerate(key)])
+    same = reduce(lambda a, b: a & b, [F.col(f"_old_{i}") == F.col(f"_new_{i}") for i in range(len(key))])
+    has_old, has_new = F.col("old").isNotNull(), F.col("new").isNotNull()
+    late = (F.col("old._fetched_at") > F.col("new._fetched_at")) if "_fetched_at" in columns else F.lit(False)
+    change = (F.when(~has_old, NEW).when(~has_new, KEPT).when(F.coalesce(late, F.lit(False)), STALE).otherwise(UPDATED))
+    joined = left.join(right, same, "full_outer")
+    if not unique:
+        joined = joined.filter(~has_old | ~has_new | F.col("first"))
+    chosen = F.when(F.col(CHANGE).isin(NEW, UPDATED), F.col("new")).otherwise(F.col("old"))
+    return joined.withColumn(CHANGE, change).withColumn("row", chosen).select("row.*", CHANGE)
+
+
 class Warehouse:
     """Tables under `root`, which must be storage that every executor reaches."""
 
-    def __init__(self, spark: SparkSession, root: str, catalog: bool = True):
+    def __init__(self, spark: SparkSession, root: str, catalog: bool = True, retain: timedelta = timedelta(days=7), checkpoint_every: int = 50):
         self.spark = use_utc(spark)
         self.root = root.rstrip("/")
         self.catalog = catalog
+        self.retain = retain
+        self.log = CommitLog(self.spark, f"{self.root}/publications", checkpoint_every)
 
     # -- reading -------------------------------------------------------------------------------------------------
 
-    def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_LOG).parquet(f"{self.root}/publications")
-        except AnalysisException as error:
-            if not is_missing_path(error):
-                raise
-            return None
-
-    def _all_states(self) -> dict[str, Published]:
-        log = self._log()
-        if log is None:
-            return {}
-        newest = log.groupBy("name").agg(F.max(F.struct("version", "folders", "key", "layout", "n_rows", "columns")).alias("s"))
-        return {r["name"]: Published(r["name"], r["s"]["version"], tuple(r["s"]["folders"]), tuple(r["s"]["key"]),
-                                     r["s"]["layout"], r["s"]["n_rows"], r["s"]["columns"]) for r in newest.collect()}
-
     def state(self, name: str) -> Published | None:
         """What is published now; None for a table that never existed or was dropped."""
-        found = self._all_states().get(name)
+        found = self.log.state().tables.get(name)
         return found if found and found.folders else None
 
     def tables(self) -> list[str]:
-        return sorted(n for n, s in self._all_states().items() if s.folders)
+        return sorted(n for n, s in self.log.state().tables.items() if s.folders)
 
     def exists(self, name: str) -> bool:
         return self.state(name) is not None
@@ -141,43 +141,59 @@ class Warehouse:
     # -- publishing ----------------------------------------------------------------------------------------------
 
     def _write(self, df: DataFrame, name: str, version: int, key, layout: str) -> list[str]:
-        """Write one version beside the live one and return its folders."""
-        home = self._home(name)
+        """Write one version beside the live one and return its folders; two writers of one version have folders of their own."""
+        home, at = self._home(name), f"v={version}-{uuid.uuid4().hex[:12]}"
         if not layout:
-            df.write.mode("overwrite").parquet(f"{home}/v={version}/all")
-            return [f"v={version}/all"]
+            df.write.parquet(f"{home}/{at}/all")
+            return [f"{at}/all"]
         # Rebalancing by part gives every part few files and splits a part that is much larger than the rest.
         parted = df.withColumn(PART, part_of(layout, tuple(key), df.schema)).hint("rebalance", PART)
-        parted.write.mode("overwrite").partitionBy(PART).parquet(f"{home}/v={version}")
-        folders = self._part_folders(f"{home}/v={version}", df.schema)
+        parted.write.partitionBy(PART).parquet(f"{home}/{at}")
+        folders = [f"{at}/{part}" for part in self._parts(f"{home}/{at}")]
         if not folders:
-            df.limit(0).write.mode("overwrite").parquet(f"{home}/v={version}/empty")
-            folders = [f"v={version}/empty"]
+            df.limit(0).write.parquet(f"{home}/{at}/empty")
+            folders = [f"{at}/empty"]
         return folders
 
-    def _part_folders(self, path: str, schema: T.StructType) -> list[str]:
-        files = self.spark.read.schema(schema).parquet(path).inputFiles()
-        found = {re.search(r"/(v=\d+/" + PART + r"=[^/]+)/[^/]+$", f) for f in files}
-        return sorted(m.group(1) for m in found if m)
+    def _parts(self, path: str) -> list[str]:
+        return sorted(name for name, _ in self.log.files.names(path) if name.startswith(f"{PART}="))
 
     def _published(self, df: DataFrame, name: str, version: int, folders, key=(), layout: str = "", n_rows: int | None = None) -> Published:
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
         made = Published(name, version, tuple(folders), tuple(key), layout, n_rows or 0, schema.json())
         return made if n_rows is not None else replace(made, n_rows=self._read(made).count())
 
-    def _record(self, states: list[Published]) -> None:
-        """Publish: one file, hence all or nothing, also for several tables at once."""
-        rows = [(s.name, s.version, list(s.folders), list(s.key), s.layout, s.n_rows, s.columns) for s in states]
-        self.spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/publications")
+    def _commit(self, base: LogState, states: list[Published], alone: bool = False) -> None:
+        """Publish: one commit, hence all or nothing, also for several tables at once. The loser of a conflict removes what it wrote."""
+        try:
+            now = self.log.commit(base, states, alone=alone)
+        except WriteConflict:
+            for s in states:
+                before = base.tables[s.name].folders if s.name in base.tables else ()
+                for version in {f.split("/")[0] for f in s.folders if f not in before}:
+                    self.log.files.remove(f"{self._home(s.name)}/{version}")
+            raise
         if self.catalog:
             for s in states:
                 self._register(s)
-
-    def _alone(self, name: str, version: int) -> None:
-        """Refuse a version that another writer published as well: which of the two counts would be chance."""
-        twins = self._log().filter((F.col("name") == name) & (F.col("version") == version)).count()
-        if twins > 1:
-            raise RuntimeError(f"{name}: version {version} was published by {twins} writers; load again from the raw files")
+        if now.number % self.log.every == 0:
+            self.clean_up()
+
+    def clean_up(self, age: timedelta | None = None) -> int:
+        """Remove folders superseded longer ago than `age` (by default what the warehouse retains), and leavings of failed loads as old."""
+        age = self.retain if age is None else age
+        state, files = self.log.state(), self.log.files
+        gone = older(state, age)
+        for name, folder in gone:
+            files.remove(f"{self._home(name)}/{folder}")
+        if gone:
+            state = self.log.commit(state, removed=gone)
+        used = {(t.name, f.split("/")[0]) for t in state.tables.values() for f in t.folders} | {(n, f.split("/")[0]) for n, f, _ in state.retired}
+        for name in state.tables:
+            for version, changed in files.names(self._home(name)):
+                if version.startswith(("v=", "batch-")) and (name, version) not in used and changed <= time.time() - age.total_seconds():
+                    files.remove(f"{self._home(name)}/{version}")
+        return len(gone)
 
     def _register(self, s: Published) -> None:
         schema, table = split_table(s.name)
@@ -192,7 +208,7 @@ class Warehouse:
 
     def attach(self) -> list[str]:
         """Make every published table known to this session's catalog."""
-        states = [s for s in self._all_states().values() if s.folders]
+        states = [s for s in self.log.state().tables.values() if s.folders]
         for s in states:
             self._register(s)
         return sorted(s.name for s in states)
@@ -203,15 +219,14 @@ class Warehouse:
 
     def publish_all(self, frames: dict[str, tuple], parts: int = 64, drop_others: bool = False) -> dict[str, int]:
         """Replace several tables in one step: build all of them first, then publish them together."""
-        states, fresh = self._all_states(), []
+        base, fresh = self.log.state(), []
         for name, (df, key, part_by) in frames.items():
-            version = states[name].version + 1 if name in states else 1
+            version = base.tables[name].version + 1 if name in base.tables else 1
             layout = (part_by or hash_layout(0, parts)) if key else ""
             fresh.append(self._published(df, name, version, self._write(df, name, version, key, layout), key, layout))
-        gone = [replace(s, version=s.version + 1, folders=(), n_rows=0)
-                for s in states.values() if drop_others and s.folders and s.name not in frames]
+        gone = [dropped(s) for s in base.tables.values() if drop_others and s.folders and s.name not in frames]
         if fresh or gone:
-            self._record(fresh + gone)
+            self._commit(base, fresh + gone, alone=drop_others)
         return {s.name: s.n_rows for s in fresh}
 
     def load_table(self, df: DataFrame, schema: str, table: str) -> int:
@@ -229,7 +244,8 @@ class Warehouse:
         """
         split_table(name)
         key = check_key(key, incoming.columns)
-        last = self._all_states().get(name)
+        base = self.log.state()
+        last = base.tables.get(name)
         version = last.version + 1 if last else 1
         state = last if last and last.folders else None
         if source_file is not None:
@@ -253,36 +269,28 @@ class Warehouse:
             layout = hash_layout(state.n_rows + counts["keyed"])  # every row is rewritten once, into more parts
         if state is None:
             made = self._published(deduped, name, version, self._write(deduped, name, version, key, layout), key, layout)
-            self._record([made])
-            self._alone(name, version)
+            self._commit(base, [made])
             return UpsertReport(made.n_rows, 0, skipped, counts["keyed"] - made.n_rows, made.n_rows)
 
-        # The batch is written once; the counts and the rewrite below start from these files.
-        batch_path = f"{self._home(name)}/batches/v={version}"
-        deduped.withColumn(PART, part_of(layout, tuple(key), deduped.schema)).write.mode("overwrite").partitionBy(PART).parquet(batch_path)
-        batch = self.spark.read.schema(deduped.schema).parquet(batch_path).select(*stored)
-        n = batch.count()
-        touched = {f.split("/")[1] for f in self._part_folders(batch_path, deduped.schema)}
+        # The batch is written once, by part: its folders tell which stored parts can hold its keys.
+        batch_path = f"{self._home(name)}/batch-{uuid.uuid4().hex[:12]}"
+        deduped.withColumn(PART, part_of(layout, tuple(key), deduped.schema)).write.partitionBy(PART).parquet(batch_path)
+        touched = set(self._parts(batch_path))
         as_stored = state.layout == layout and set(current.columns) == set(stored)
         live = [f for f in state.folders if not as_stored or f.split("/")[1] in touched]
         kept = [f for f in state.folders if f not in live]
-        base = with_lineage(self._read(state, live) if live else current.limit(0), [c for c in stored if c in LINEAGE]).select(*stored)
-        stale = 0
-        if live and "_fetched_at" in stored:
-            newer = base.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_fetched_at").alias("_newer"))
-            match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in key])
-            fresh = batch.join(newer, match & (F.col("_newer") > F.col("_fetched_at")), "left_anti")
-            stale = n - fresh.count()
-            batch = fresh if stale else batch
-        updated = existing_rows(batch, base, key).count() if live else 0
-        # A table that was never keyed may hold several rows per key.
-        replaced = updated if state.layout else existing_rows(base, batch, key).count()
-        merged = without_keys(base, batch, key).unionByName(batch) if live else batch
-        folders = kept + self._write(merged, name, version, key, layout)
-        total = state.n_rows + n - stale - replaced
-        self._record([self._published(merged, name, version, folders, key, layout, total)])
-        self._alone(name, version)
-        return UpsertReport(n - stale - updated, updated, skipped, counts["keyed"] - n, total, stale)
+        old = with_lineage(self._read(state, live) if live else current.limit(0), [c for c in stored if c in LINEAGE]).select(*stored)
+        batch = self.spark.read.schema(deduped.schema).parquet(batch_path).select(*stored)
+        merged = merge(old, batch, key, unique=bool(state.layout))
+        folders = self._write(merged, name, version, key, layout)
+        # One column of the new files says what became of each row.
+        found = self.spark.read.schema(f"{CHANGE} string").parquet(*[f"{self._home(name)}/{f}" for f in folders]).groupBy(CHANGE).count().collect()
+        n = {r[CHANGE]: r["count"] for r in found}
+        new, updated, stale = (n.get(c, 0) for c in (NEW, UPDATED, STALE))
+        total = state.n_rows + new if state.layout else sum(n.values())
+        self._commit(base, [self._published(merged.select(*stored), name, version, kept + folders, key, layout, total)])
+        self.log.files.remove(batch_path)
+        return UpsertReport(new, updated, skipped, counts["keyed"] - new - updated - stale, total, stale)
 
     # -- questions -----------------------------------------------------------------------------------------------
 
