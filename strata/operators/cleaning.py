@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from strata.functions.names import check_name, require
 from strata.functions.parsing import blank_to_null, check_types, parse
@@ -86,6 +89,32 @@ def bad_value_counts(df: DataFrame, columns, by=()) -> DataFrame:
     return df.groupBy(*by).agg(total.alias("rows_in"), total.alias("rows_out"), *counts)
 
 
+@dataclass(frozen=True)
+class CleanReport:
+    """What a cleaning run read, what it wrote, and the values that did not fit."""
+
+    rows_in: int
+    rows_out: int
+    bad_values: dict[str, int]
+
+    @property
+    def whole(self) -> bool:
+        return self.rows_in == self.rows_out
+
+
+def write_clean_reported(records: DataFrame, project: Callable[[DataFrame], DataFrame], columns, lake: str, source: str, dataset: str) -> CleanReport:
+    """Clean and write in one job, counting records as the scan gives them and rows as the writer takes them.
+
+    The two counts are taken at either end of `project`, so a row lost between them shows; no row is read a second time for the report.
+    """
+    seen, kept = Observation(), Observation()
+    rows = project(records.observe(seen, F.count(F.lit(1)).alias("rows_in")))
+    bad = [F.count_if(F.coalesce(F.array_contains(BAD, c), F.lit(False))).alias(f"bad_{c}") for c in columns]
+    write_clean(rows.observe(kept, F.count(F.lit(1)).alias("rows_out"), *bad), lake, source, dataset)
+    read, written = seen.get, kept.get  # empty where Spark knew beforehand that there are no rows
+    return CleanReport(read.get("rows_in", 0), written.get("rows_out", 0), {c: n for c in columns if (n := written.get(f"bad_{c}", 0))})
+
+
 def clean_report(df: DataFrame, columns, by=()) -> DataFrame:
     """The same counts in long form: (group..., column, bad) for the columns that have bad values."""
     return (

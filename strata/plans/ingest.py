@@ -4,33 +4,40 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.functions.names import require
-from strata.operators.cleaning import bad_value_counts, clean, clean_json, read_clean, write_clean
+from strata.operators.cleaning import CleanReport, clean, clean_json, read_clean, write_clean_reported
 from strata.operators.sets import compare_tables, union_by_name
 from strata.operators.windows import latest_wins
+from strata.plans.manifest import FILES, KEY, day_part, folder_marks, landed, registration, stored
 from strata.plans.registry import DATASETS, Dataset, registry_frame
-from strata.plans.warehouse import UpsertReport, Warehouse
+from strata.plans.warehouse import Load, UpsertReport, Warehouse
 from strata.session import write_scratch
 from strata.sources.csv import scan_csv
-from strata.sources.files import is_missing_path
 from strata.sources.json import scan_json
 from strata.sources.raw import provenance
 
 _ORDER = ("_fetched_at", "_path", "_row_pos")
 
 
-def scan_dataset(spark: SparkSession, dataset: Dataset, paths: list[str]) -> DataFrame:
-    """Typed rows of raw files of one dataset, with `path`, `_row_pos` and `_bad`."""
-    if dataset.format == "csv":
-        return clean(scan_csv(spark, paths, list(dataset.schema)), dataset.schema)
-    return clean_json(scan_json(spark, paths), dataset.schema)
+def scan_records(spark: SparkSession, dataset: Dataset, paths: list[str]) -> DataFrame:
+    """Records of raw files of one dataset as they were received."""
+    return scan_csv(spark, paths, list(dataset.schema)) if dataset.format == "csv" else scan_json(spark, paths)
+
+
+def typed(dataset: Dataset, records: DataFrame) -> DataFrame:
+    """Their typed rows, with `path`, `_row_pos` and `_bad`."""
+    return clean(records, dataset.schema) if dataset.format == "csv" else clean_json(records, dataset.schema)
 
 
 def clean_files(spark: SparkSession, lake: str, dataset: Dataset, manifest: DataFrame) -> DataFrame:
-    """Clean the manifest's files into the clean layer and return their rows with fetch time and lineage.
+    """Clean the manifest's files into the clean layer and return their rows with fetch time and lineage."""
+    return clean_and_report(spark, lake, dataset, manifest)[0]
+
+
+def clean_and_report(spark: SparkSession, lake: str, dataset: Dataset, manifest: DataFrame) -> tuple[DataFrame, CleanReport]:
+    """The rows of `clean_files`, and what was counted while they were written.
 
     The list of file names is the only thing the driver sees; it plans the scan from it.
     """
@@ -41,12 +48,15 @@ def clean_files(spark: SparkSession, lake: str, dataset: Dataset, manifest: Data
     hollow = [r["path"] for r in listed if not r["size_bytes"]]
     if hollow:
         raise ValueError(f"empty raw file, it has no header or list: {hollow[0]}")
-    write_clean(scan_dataset(spark, dataset, [r["path"] for r in listed]), lake, dataset.source, dataset.name)
+    records = scan_records(spark, dataset, [r["path"] for r in listed])
+    report = write_clean_reported(records, lambda df: typed(dataset, df), list(dataset.schema), lake, dataset.source, dataset.name)
+    if not report.whole:
+        raise RuntimeError(f"{dataset.source}/{dataset.name}: {report.rows_in} records read, {report.rows_out} rows written")
     rows = read_clean(spark, lake, dataset.source, dataset.name, dataset.spark_types())
     # Literal dates prune the clean layer to the batch's days; the join picks its files among these.
     rows = rows.filter(F.col("fetch_date").isin(sorted({r["fetch_date"] for r in listed})))
     chosen = files.select("fetch_date", "raw_file", "_fetched_at")
-    return rows.join(chosen, ["fetch_date", "raw_file"]).withColumn("_path", F.concat_ws("/", "fetch_date", "raw_file"))
+    return rows.join(chosen, ["fetch_date", "raw_file"]).withColumn("_path", F.concat_ws("/", "fetch_date", "raw_file")), report
 
 
 def _stored(dataset: Dataset, rows: DataFrame) -> DataFrame:
@@ -90,9 +100,13 @@ def rebuild(spark: SparkSession, lake: str, target: Warehouse, replace: bool = F
             raise RuntimeError(f"rebuild failed on {pair[0]}/{pair[1]}: {error}") from error
         frames[dataset.table] = (_stored(dataset, latest_wins(rows, list(dataset.key), _ORDER)), dataset.key, dataset.part_by)
         report.files += groups[pair]["files"]
+    # The rebuilt warehouse holds these files; the next ingest starts from there.
+    listed = files.join(registry_frame(spark, known).select("source", "dataset"), ["source", "dataset"], "left_semi").select(*files.columns)
+    frames[FILES] = (stored(listed), KEY, day_part())
     # About 256 MB of raw text per stored part of the largest dataset.
     largest = max((groups[pair]["bytes"] or 0 for pair in known if pair in groups), default=0)
-    report.tables = target.publish_all(frames, parts=max(8, largest // 268_435_456), drop_others=True)
+    made = target.publish_all(frames, parts=max(8, largest // 268_435_456), drop_others=True)
+    report.tables = {name: n for name, n in made.items() if name != FILES}
     return report
 
 
@@ -113,40 +127,29 @@ class IngestReport:
     bad_values: dict[str, int] = field(default_factory=dict)
 
 
-def _ingested(warehouse: Warehouse) -> DataFrame | None:
-    try:
-        return warehouse.spark.read.schema("path string").parquet(f"{warehouse.root}/ingested")
-    except AnalysisException as error:
-        if not is_missing_path(error):
-            raise
-        return None
-
-
 def new_files(spark: SparkSession, lake: str, warehouse: Warehouse, dataset: Dataset) -> DataFrame:
     """Manifest of the dataset's raw files that the warehouse has not taken in yet."""
-    manifest = provenance(spark, lake, dataset.source, dataset.name)
-    done = _ingested(warehouse)
-    return manifest if done is None else manifest.join(done.distinct(), "path", "left_anti")
+    return landed(spark, lake, warehouse, dataset).files
 
 
-def ingest_files(spark: SparkSession, lake: str, warehouse: Warehouse, dataset: Dataset, manifest: DataFrame) -> IngestReport:
-    """Clean the given raw files together and upsert them. Safe to repeat.
+def ingest_files(spark: SparkSession, lake: str, warehouse: Warehouse, dataset: Dataset, manifest: DataFrame, marks: dict[str, float] | None = None) -> IngestReport:
+    """Clean the given raw files together and upsert them; their rows and their entries in the manifest are published in one step.
 
-    Rows of an incomplete fetch are loaded as well; only the high-water mark ignores them.
+    Safe to repeat. Rows of an incomplete fetch are loaded as well; only the high-water mark ignores them. `marks` are set in the same step.
     """
     manifest = write_scratch(manifest, "ingest")
     facts = manifest.agg(F.count("*").alias("files"), F.coalesce(F.min("complete"), F.lit(True)).alias("complete")).first()
     if not facts["files"]:
+        if marks:
+            warehouse.upsert_all(folder_marks(spark, dataset, marks))
         return IngestReport(dataset.table, 0, True)
-    rows = clean_files(spark, lake, dataset, manifest)
-    bad = bad_value_counts(rows, dataset.schema).first()
-    result = warehouse.upsert(dataset.table, rows.drop("fetch_date", "raw_file"), dataset.key, order=_ORDER, part_by=dataset.part_by)
-    manifest.select("path").write.mode("append").parquet(f"{warehouse.root}/ingested")
-    return IngestReport(dataset.table, facts["files"], facts["complete"], result,
-                        {c: bad[f"bad_{c}"] for c in dataset.schema if bad[f"bad_{c}"]})
+    rows, cleaned = clean_and_report(spark, lake, dataset, manifest)
+    load = Load(dataset.table, rows.drop("fetch_date", "raw_file"), dataset.key, order=_ORDER, part_by=dataset.part_by)
+    result = warehouse.upsert_all([load, registration(manifest), *folder_marks(spark, dataset, marks or {})])[0]
+    return IngestReport(dataset.table, facts["files"], facts["complete"], result, cleaned.bad_values)
 
 
 def ingest_incremental(spark: SparkSession, lake: str, warehouse: Warehouse, dataset: Dataset) -> IngestReport:
     """Take in whatever landed since last time; overlapping windows are harmless because of the upsert."""
-    return ingest_files(spark, lake, warehouse, dataset, new_files(spark, lake, warehouse, dataset))
-
+    found = landed(spark, lake, warehouse, dataset)
+    return ingest_files(spark, lake, warehouse, dataset, found.files, found.marks)

@@ -24,6 +24,8 @@ from strata.session import use_utc
 LINEAGE = {"_source_file": T.StringType(), "_fetched_at": T.TimestampType()}
 PART = "_part"
 
+#: Tables of the warehouse itself, such as the manifest of raw files it has taken in.
+OWN = "_lake."
 #: What an upsert did with a row; stored beside the rows it wrote, so that its report is counted from what is there.
 CHANGE = "_change"
 NEW, UPDATED, KEPT, STALE = "new", "updated", "kept", "stale"
@@ -42,6 +44,19 @@ class UpsertReport:
         return spark.createDataFrame([tuple(vars(self).values())], ", ".join(f"{c} bigint" for c in vars(self)))
 
 
+@dataclass(frozen=True)
+class Load:
+    """One table's part of an upsert."""
+
+    name: str
+    incoming: DataFrame
+    key: tuple[str, ...]
+    order: tuple = ("_row_pos",)
+    source_file: str | None = None
+    part_by: str | None = None
+    parts: int | None = None
+
+
 #: Rows a hashed part should hold; a table whose parts hold GROWTH times as many is split anew.
 ROWS_PER_PART = 2_000_000
 GROWTH = 4
@@ -119,7 +134,8 @@ class Warehouse:
         return found if found and found.folders else None
 
     def tables(self) -> list[str]:
-        return sorted(n for n, s in self.log.state().tables.items() if s.folders)
+        """Published tables; the warehouse's own bookkeeping is not among them."""
+        return sorted(n for n, s in self.log.state().tables.items() if s.folders and not n.startswith(OWN))
 
     def exists(self, name: str) -> bool:
         return self.state(name) is not None
@@ -132,6 +148,11 @@ class Warehouse:
         schema = T.StructType.fromJson(json.loads(state.columns))
         return self.spark.read.schema(schema).parquet(*[f"{self._home(state.name)}/{f}" for f in folders or state.folders])
 
+    def parts_of(self, name: str, folders: list[str]) -> DataFrame:
+        """The rows of some of a table's stored folders, which may be none."""
+        state = self.state(name)
+        return self._read(state, folders) if folders else self._read(state).limit(0)
+
     def table(self, name: str) -> DataFrame:
         state = self.state(name)
         if state is None:
@@ -175,7 +196,8 @@ class Warehouse:
             raise
         if self.catalog:
             for s in states:
-                self._register(s)
+                if not s.name.startswith(OWN):
+                    self._register(s)
         if now.number % self.log.every == 0:
             self.clean_up()
 
@@ -208,7 +230,7 @@ class Warehouse:
 
     def attach(self) -> list[str]:
         """Make every published table known to this session's catalog."""
-        states = [s for s in self.log.state().tables.values() if s.folders]
+        states = [s for s in self.log.state().tables.values() if s.folders and not s.name.startswith(OWN)]
         for s in states:
             self._register(s)
         return sorted(s.name for s in states)
@@ -224,7 +246,7 @@ class Warehouse:
             version = base.tables[name].version + 1 if name in base.tables else 1
             layout = (part_by or hash_layout(0, parts)) if key else ""
             fresh.append(self._published(df, name, version, self._write(df, name, version, key, layout), key, layout))
-        gone = [dropped(s) for s in base.tables.values() if drop_others and s.folders and s.name not in frames]
+        gone = [dropped(s) for s in base.tables.values() if drop_others and s.folders and s.name not in frames and not s.name.startswith(OWN)]
         if fresh or gone:
             self._commit(base, fresh + gone, alone=drop_others)
         return {s.name: s.n_rows for s in fresh}
@@ -237,19 +259,36 @@ class Warehouse:
 
     def upsert(self, name: str, incoming: DataFrame, key, order=("_row_pos",), source_file: str | None = None,
                part_by: str | None = None, parts: int | None = None) -> UpsertReport:
-        """Add rows without losing earlier ones: newest copy of a key wins, the rest of the table stays.
+        """Add rows without losing earlier ones: newest copy of a key wins, the rest of the table stays. See `upsert_all`."""
+        return self.upsert_all([Load(name, incoming, tuple([key] if isinstance(key, str) else key), tuple(order), source_file, part_by, parts)])[0]
+
+    def upsert_all(self, loads: list[Load]) -> list[UpsertReport]:
+        """Upsert several tables and publish them in one step: readers see all of the loads or none.
 
         `order` decides which copy of a key inside `incoming` is the last. Only the stored parts that incoming
         keys fall into are rewritten. Where both sides know `_fetched_at`, an older fetch never replaces a newer one.
         """
+        base, made, reports, batches = self.log.state(), [], [], []
+        for load in loads:
+            published, report, batch = self._merged(base, load)
+            made.append(published)
+            reports.append(report)
+            batches += [batch] if batch else []
+        self._commit(base, made)
+        for batch in batches:
+            self.log.files.remove(batch)
+        return reports
+
+    def _merged(self, base: LogState, load: Load) -> tuple[Published, UpsertReport, str | None]:
+        """The table's next version, written but not published, and the folder of the batch that went into it."""
+        name, incoming = load.name, load.incoming
         split_table(name)
-        key = check_key(key, incoming.columns)
-        base = self.log.state()
+        key = check_key(load.key, incoming.columns)
         last = base.tables.get(name)
         version = last.version + 1 if last else 1
         state = last if last and last.folders else None
-        if source_file is not None:
-            incoming = incoming.withColumn("_source_file", F.lit(source_file))
+        if load.source_file is not None:
+            incoming = incoming.withColumn("_source_file", F.lit(load.source_file))
         incoming = with_lineage(incoming, ["_source_file"])
         stored = [c for c in incoming.columns if c in LINEAGE or not (c.startswith("_") or c == "path")]
         current = None
@@ -262,15 +301,14 @@ class Warehouse:
             stored = full.columns
         has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
         counts = incoming.agg(F.count("*").alias("rows"), F.count_if(has_key).alias("keyed")).first()
-        deduped = last_per_key(incoming, key, list(order)).select(*stored)
-        layout = (state.layout if state else "") or part_by or hash_layout(counts["keyed"], parts)
+        deduped = last_per_key(incoming, key, list(load.order)).select(*stored)
+        layout = (state.layout if state else "") or load.part_by or hash_layout(counts["keyed"], load.parts)
         skipped = counts["rows"] - counts["keyed"]
         if state is not None and state.layout and outgrown(state.layout, state.n_rows + counts["keyed"]):
             layout = hash_layout(state.n_rows + counts["keyed"])  # every row is rewritten once, into more parts
         if state is None:
             made = self._published(deduped, name, version, self._write(deduped, name, version, key, layout), key, layout)
-            self._commit(base, [made])
-            return UpsertReport(made.n_rows, 0, skipped, counts["keyed"] - made.n_rows, made.n_rows)
+            return made, UpsertReport(made.n_rows, 0, skipped, counts["keyed"] - made.n_rows, made.n_rows), None
 
         # The batch is written once, by part: its folders tell which stored parts can hold its keys.
         batch_path = f"{self._home(name)}/batch-{uuid.uuid4().hex[:12]}"
@@ -288,9 +326,8 @@ class Warehouse:
         n = {r[CHANGE]: r["count"] for r in found}
         new, updated, stale = (n.get(c, 0) for c in (NEW, UPDATED, STALE))
         total = state.n_rows + new if state.layout else sum(n.values())
-        self._commit(base, [self._published(merged.select(*stored), name, version, kept + folders, key, layout, total)])
-        self.log.files.remove(batch_path)
-        return UpsertReport(new, updated, skipped, counts["keyed"] - new - updated - stale, total, stale)
+        made = self._published(merged.select(*stored), name, version, kept + folders, key, layout, total)
+        return made, UpsertReport(new, updated, skipped, counts["keyed"] - new - updated - stale, total, stale), batch_path
 
     # -- questions -----------------------------------------------------------------------------------------------
 

@@ -100,6 +100,11 @@ def _complete_flag() -> Column:
     )
 
 
+#: Columns of `provenance`.
+PROVENANCE = ("path string, source string, dataset string, fetch_date string, filename string, size_bytes bigint, has_sidecar boolean, fetched_at timestamp, "
+              "complete boolean, rows bigint, pages bigint, expected_rows bigint, start_date date, end_date date, stated_size bigint, stated_sha256 string")
+
+
 def provenance(spark: SparkSession, lake: str, source: str = "*", dataset: str = "*", date: str = "*") -> DataFrame:
     """Manifest: one row per raw file with what its sidecar says.
 
