@@ -1,15 +1,18 @@
 """Each stage of the pipeline against its operator done plainly, on one small table with clashing columns."""
 
+import collections
+import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from strata.llm import pii
+from strata.llm import copies, pii
 from strata.llm.queries import QUERIES, SQL
 from tests.llm.conftest import ODD
-from tests.llm.test_texts import plain_components, plain_fingerprint, plain_line_dedup, toxic_rows
+from tests.llm.test_texts import LOWER, plain_line_dedup, toxic_rows
 
 
 @pytest.fixture
@@ -51,19 +54,19 @@ def test_stages(spark, corpus):
     assert sorted((r["doc_id"], r["text"]) for r in at.collect()) == sorted(kept)
 
     at = run("near_dedup")
-    components = plain_components([i for i, _ in kept], [plain_fingerprint(t) for _, t in kept])
-    names = {i for (i, _), c in zip(kept, components) if i == c}
+    names = plain_near_dedup(kept)
     got = sorted((r["doc_id"], r["text"]) for r in at.collect())
-    assert sorted(i for i, _ in got) == sorted(names) and set(got) <= set(kept) and len(names) < len(kept)
+    assert sorted(i for i, _ in got) == names and set(got) <= set(kept) and len(names) < len(kept)
+    assert {t for i, t in got if i == 2007} == {t for i, t in kept if i == 2007} and len({t for i, t in kept if i == 2007}) == 2
     kept = got
 
     at = run("pii")
-    got = dict((r["doc_id"], r["text"]) for r in at.collect())
-    for i, t in kept:
-        assert not pii.base_spans(got[i]) and (got[i] == t) == (not pii.base_spans(t))
+    got = {(r["doc_id"], r["text"]) for r in at.collect()}
+    assert len(got) == len(kept) and all(not pii.base_spans(t) for _, t in got)
+    assert {x for x in kept if not pii.base_spans(x[1])} <= got and not {x for x in kept if pii.base_spans(x[1])} & got
 
     at = run("packing")
-    assert {r["doc_id"] for r in at.collect()} == names
+    assert {r["doc_id"] for r in at.collect()} == set(names)
 
 
 def test_pipeline_of_empty_tables(spark, tmp_path):
@@ -76,15 +79,29 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 def test_registration():
     names = __spark_entry__.queries()
     assert set(QUERIES) < set(names) and "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert set(SQL) == {"op1_secret_scan", "op2_line_dedup", "op7_exact_top_k"} <= set(__spark_entry__.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert set(SQL) == {"op1_secret_scan", "op2_line_dedup", "op7_exact_top_k", "op12_source_divergence", "op13_substring_dedup"} <= set(__spark_entry__.oracle_sql())
 
 
 def five_words(text):
-    w = text.split()
+    w = text.translate(LOWER).split()
     return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
 
 
+def plain_near_dedup(rows):
+    """Sorted ids of the texts that stay: one, of the smallest id, for each class of texts with 5-word similarity 0.8 or more."""
+    rows = sorted(set(rows))
+    sets = [five_words(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if root[a] != root[b] and 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return sorted(rows[r][0] for r in set(root))
+
+
 def test_near_copies_of_five_words(spark, docs):
     rng = random.Random(8)
     rows = []
@@ -96,15 +113,39 @@ def test_near_copies_of_five_words(spark, docs):
                 base[rng.randrange(len(base))] = f"n{rng.randrange(3000)}"
     passage = " ".join(f"p{i}" for i in range(200))
     rows += [(1000 + i, f"{passage} {' '.join(f'q{i}x{k}' for k in range(rng.choice([1, 60])))}") for i in range(120)]  # one large group, and strangers who share its passage
-    sets = [five_words(t) for _, t in rows]
-    root = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            shared = len(sets[a] & sets[b])
-            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared) and root[a] != root[b]:
-                old, new = max(root[a], root[b]), min(root[a], root[b])
-                root = [new if r == old else r for r in root]
-    want = sorted({rows[r][0] for r in root})
+    want = plain_near_dedup(rows)
     assert 60 < len(want) < len(rows) - 100
     got = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "")
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_strangers_with_a_common_stock_never_meet(spark, docs):
+    """A group in which every text has more than a ninth of its own: no pair of it is compared, but a close pair among them is found."""
+    stock = " ".join(f"s{i}" for i in range(300))
+    rows = [(i, stock + " " + " ".join(f"own{i}x{k}" for k in range(60))) for i in range(400)]
+    rows += [(900, rows[5][1] + " end")]
+    sets = copies.shingle_sets(docs(rows).select("doc_id", "text"))
+    early = copies.early_shingles(sets)
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    other = early.select("key", F.col("set_id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    met = early.join(other, "key").filter("set_id < id2").filter(most * 9 >= (F.col("n") + F.col("n2")) * 4).select("set_id", "id2").distinct()
+    assert met.count() == 1
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(400)]
+
+
+def test_near_copies_of_the_given_documents_are_found(spark):
+    """Every pair at 0.8 or more among all given texts, found through an index of all shingles, lies in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = sorted({r["text"] or "" for r in docs.collect()})
+    sets = [five_words(t) for t in texts]
+    index = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            index[x].append(i)
+    shared = collections.Counter(p for held in index.values() for p in itertools.combinations(held, 2))
+    near = [(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    kept = {r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert near and not [(a, b) for a, b in near if texts[a] in kept and texts[b] in kept]
+    linked = {i for p in near for i in p}
+    assert {t for i, t in enumerate(texts) if i not in linked and sets[i] not in [s for j, s in enumerate(sets) if j != i]} <= kept
