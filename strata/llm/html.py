@@ -6,7 +6,9 @@ neighbours among the blocks of one container, are joined by smoothness edges who
 the document tree. The maximum flow's source side is the content: the labelling of least total cost.
 
 The classifier is fitted on the blocks of at most `sample` pages, labelled by what pages say of themselves: blocks within article or
-main are content, blocks within menus, footers, asides, forms and containers with telling class names are not. It is fitted on
+main are content, blocks within menus, footers, asides, forms and containers with telling class names are not. A name says nothing of an article, a
+main element or a container of one, and nothing where it tells what is had or not had (has-sidebar, with-ads, no-menu); a
+reader's comment may be an article. Formulas, drawings and fallback texts are inline text like any other. The classifier is fitted on
 each block twice, with and without its container features, so that pages without such markup are still judged by their text.
 
 Defined cases: null or empty html has an empty text; markup that is cut off or badly nested is read as far as it goes; repeated
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,50 +51,89 @@ _CONTENT_NAMES = frozenset("article articlebody body content entry main maincont
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|iframe)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(select|button|svg|math|object|canvas|audio|video)\b(?:(?!<\2\b).)*?</\2\s*>"  # left open they hide nothing
+    r"|<(script|style|template|title|textarea|iframe)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(select|button)\b(?:(?!<\2\b).)*?</\2\s*>"  # left open they hide nothing
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
+_ABOUT_OTHERS = frozenset("has with without no hide show".split())
 
 ARTICLE, BAD_TAG, BAD_NAME, GOOD_NAME = 1, 2, 4, 8
 
 
+class Node:
+    """An open container: what it says of itself, whether an article lies in it, and in the end what holds for the blocks in it."""
+
+    __slots__ = ("tag", "parent", "depth", "own", "named", "holds", "marks")
+
+    def __init__(self, tag: str, parent: Node | None, own: int = 0, named: bool = False):
+        self.tag, self.parent, self.own, self.named, self.holds, self.marks = tag, parent, own, named, False, 0
+        self.depth = parent.depth + 1 if parent else 0
+
+    def settle(self) -> None:
+        """To be called once all of the page is read, for parents first."""
+        own = self.own & ~BAD_TAG if self.holds and self.tag == "form" else self.own
+        self.marks = (self.parent.marks if self.parent else 0) | own | (BAD_NAME if self.named and not self.holds else 0)
+
+
 @dataclass(frozen=True)
 class Block:
-    """A run of text between block boundaries; `path` numbers its containers from the root."""
+    """A run of text between block boundaries, in its innermost container."""
 
     text: str
-    tag: str
-    path: tuple[int, ...]
-    marks: int
+    node: Node
     linked: int
 
+    @property
+    def tag(self) -> str:
+        return self.node.tag
 
-def _marks(tag: str, attributes: str, outer: int) -> int:
-    marks = outer
-    if tag in ("article", "main"):
-        marks |= ARTICLE
-    elif tag in _BOILERPLATE_TAGS or (tag == "header" and not outer & ARTICLE):
-        marks |= BAD_TAG
+    @property
+    def marks(self) -> int:
+        return self.node.marks
+
+
+def _said(attributes: str | None) -> tuple[bool, bool, bool]:
+    """Whether names tell of boilerplate, of content, of a reader's comment."""
+    bad = good = comment = False
     if attributes and "=" in attributes:
         for m in _NAMED.finditer(attributes):
-            names = _PARTS.findall((m[1] or m[2] or m[3] or "").lower())
-            if not _BOILERPLATE_NAMES.isdisjoint(names):
-                if tag not in ("html", "body"):
-                    marks |= BAD_NAME
-            elif not _CONTENT_NAMES.isdisjoint(names):
-                marks |= GOOD_NAME
-    return marks
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = _PARTS.findall(name)
+                if not parts or not _ABOUT_OTHERS.isdisjoint(parts):
+                    continue
+                content = not _CONTENT_NAMES.isdisjoint(parts)
+                # the header of an article or entry is its own
+                bad |= any(p in _BOILERPLATE_NAMES and not (content and p == "header") for p in parts)
+                good |= content
+                comment |= parts[0] == "comment"
+    return bad, good and not bad, comment
+
+
+def _opened(tag: str, attributes: str | None, parent: Node, inside: bool) -> Node:
+    """`inside`: an article or main element is open already."""
+    bad, good, comment = _said(attributes)
+    own = GOOD_NAME if good else 0
+    if tag in ("article", "main"):
+        node = Node(tag, parent, own | ARTICLE, comment and tag == "article")
+        if not node.named:
+            node.holds, up = True, parent
+            while up and not up.holds:
+                up.holds, up = True, up.parent
+        return node
+    if tag in _BOILERPLATE_TAGS or (tag == "header" and not inside):
+        own |= BAD_TAG
+    return Node(tag, parent, own, bad and tag not in ("html", "body"))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in page order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number, marks
+    root = Node("", None)
+    stack, nodes, articles = [root], [root], 0
     pieces: list[str] = []
-    linked = in_link = count = 0
+    linked = in_link = 0
     at = 0
 
     def flush() -> None:
@@ -101,10 +142,17 @@ def blocks_of(page: str) -> list[Block]:
             raw = "".join(pieces)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                tag, _, marks = stack[-1] if stack else ("", 0, 0)
-                out.append(Block(text, tag, tuple([s[1] for s in stack]), marks, min(linked, len(text))))
+                out.append(Block(text, stack[-1], min(linked, len(text))))
         pieces, linked = [], 0
 
+    def close(at: int) -> None:
+        nonlocal articles
+        articles -= sum(bool(node.own & ARTICLE) for node in stack[at:])
+        for node in stack[at:]:
+            open_tags[node.tag] -= 1
+        del stack[at:]
+
+    open_tags: Counter[str] = Counter()
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at:m.start()]
@@ -126,24 +174,27 @@ def blocks_of(page: str) -> list[Block]:
         elif m[3]:
             flush()
             in_link = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_tags[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
         else:
             flush()
             in_link = 0
             if tag == "hr":
                 continue
-            if stack and (stack[-1][0] == "p" or stack[-1][0] in _HEADINGS and tag in _HEADINGS):
-                stack.pop()
-            while stack and stack[-1][0] in _CLOSES_ITSELF.get(tag, ()):
-                stack.pop()
-            count += 1
-            stack.append((tag, count, _marks(tag, m[5], stack[-1][2] if stack else 0)))
+            if stack[-1].tag == "p" or stack[-1].tag in _HEADINGS and tag in _HEADINGS:
+                close(len(stack) - 1)
+            while stack[-1].tag in _CLOSES_ITSELF.get(tag, ()):
+                close(len(stack) - 1)
+            node = _opened(tag, m[5], stack[-1], articles > 0)
+            articles += bool(node.own & ARTICLE)
+            open_tags[tag] += 1
+            stack.append(node)
+            nodes.append(node)
     if at < len(page):
         pieces.append(page[at:])
     flush()
+    for node in nodes:
+        node.settle()
     return out
 
 
@@ -257,21 +308,24 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
                 break
 
 
-def _steps(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    shared = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
+def _steps(a: Node, b: Node, most: int = 64) -> int:
+    """Steps between two containers in the document tree, `most` at most: an edge over so many has no capacity left."""
+    steps = 0
+    while a is not b and steps < most:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 def smoothness(blocks: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, float]]:
     """Edges between neighbours in page order, and between neighbours among the children of one container."""
-    edges = [(i, i + 1, smooth * 0.5 ** max(0, _steps(blocks[i].path, blocks[i + 1].path) - 2)) for i in range(len(blocks) - 1)]
-    last: dict[tuple[int, ...], int] = {}
+    edges = [(i, i + 1, smooth * 0.5 ** max(0, _steps(blocks[i].node, blocks[i + 1].node) - 2)) for i in range(len(blocks) - 1)]
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        parent = b.path[:-1]
+        parent = id(b.node.parent or b.node)
         before = last.get(parent)
         if before is not None and before != i - 1:
             edges.append((before, i, smooth))

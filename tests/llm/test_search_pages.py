@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -108,6 +109,42 @@ def test_extraction_learns_and_finds_articles(spark):
     assert html.main_text(soup, weights) == html.main_text(soup, html.FIXED_WEIGHTS) == want_soup
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<div class="with-sidebar"><article>', "</article></div>"), ('<article class="post has-comments">', "</article>"), ('<main class="no-ads">', "</main>"),
+    ('<div class="page-with-menu menu"><main>', "</main></div>"), ("<form action=x><article>", "</article></form>"), ('<div id="sidebar"><div><article>', "</article></div></div>")])
+def test_names_of_wrappers_hide_no_article(before, after):
+    title, body = "A title of some words", "A paragraph with words, enough of them to be read as text. And a second sentence, for good measure."
+    page = f'<body><nav><a href=x>Home</a></nav>{before}<div class="article-header"><h1>{title}</h1></div><p>{body}</p>{after}<footer>Imprint</footer></body>'
+    rows, _ = pages(40)
+    x = [(html.features(b), t) for _, _, h in rows for b in html.blocks_of(h) if (t := html.label(b)) is not None]
+    trained = html.fit_weights(np.array([f for f, _ in x]), np.array([t for _, t in x]))
+    for weights in (html.FIXED_WEIGHTS, trained):
+        assert html.main_text(page, weights) == f"{title}\n{body}"
+
+
+def test_comments_that_are_articles_go_and_formulas_stay():
+    body = "Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as is well known, in <object data=x>fallback words</object> and <noscript>plain</noscript> form."
+    comment = "<article class='comment-body'><p>First! What a nice text this is, thank you for it.</p></article>"
+    page = f"<main><article><p>{body}</p></article><section id='comments'><ol class='comment-list'><li class='comment'>{comment}</li></ol></section></main>"
+    assert html.main_text(page, html.FIXED_WEIGHTS) == "Energy is E=mc2 as is well known, in fallback words and plain form."
+
+
+def test_deep_nesting_takes_linear_time():
+    def seconds(n):
+        page = "<body><article>" + "<div>some words, here.\n" * n + "</div>" * n + "<p>end of the text.</p></article>"
+        began = time.process_time()
+        blocks = html.blocks_of(page)
+        edges = html.smoothness(blocks)
+        assert len(blocks) == n + 1 and len(edges) <= 2 * n + 2
+        return time.process_time() - began
+
+    seconds(1_000)
+    assert seconds(50_000) < 50 * max(seconds(5_000), 0.02)
+    assert html.main_text("<article>" + "<div>" * 50_000 + "text in the end, at last.", html.FIXED_WEIGHTS) == "text in the end, at last."
+    crossed = "<article>" + "<section><div></section>" * 20_000 + "<p>all the same, a text.</p>"
+    assert html.main_text(crossed, html.FIXED_WEIGHTS) == "all the same, a text."
+
+
 def test_extraction_of_odd_pages(spark):
     odd = [(1, "u", None), (2, None, ""), (3, "u", "<article><p>cut off te"), (None, "u", "<article>no id, but text</article>"), (3, "u", "<article><p>cut off te"),
            (4, "u", "<!-- <p>never closed"), (5, "u", "<article><p>a < b & c &amp; d</p></b></div></article>"), (6, "u", "<script>x</script>" * 3000), (7, "u", "<div " * 20_000),
