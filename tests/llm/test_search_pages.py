@@ -25,11 +25,12 @@ def plain_top_k(rows, every=5, k=3):
     fine = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows
             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in fine if i % every == 0}):
-        qv = min(v for i, v in fine if i == q)
+    for q, qv in fine:
+        if q % every:
+            continue
         scores = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in fine if i != q and len(v) == len(qv))
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
-    return out
+    return sorted(out)
 
 
 @pytest.mark.parametrize("blocks", [(7, 3), (1000, 1000)])
@@ -39,7 +40,23 @@ def test_top_k_equals_all_pairs(spark, monkeypatch, blocks):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=20).tolist()) for i in range(60)] + [(100 + i, [0.5] * 20) for i in range(30)] + [(200, [0.5] * 20)] * 2
     rows += [(300, None), (301, [None] + [1.0] * 19), (302, [float("nan")] * 20), (303, [float("inf")] * 20), (None, [1.0] * 20), (305, [1.0] * 4), (306, [2.0] * 4), (310, []), (311, [])]
-    assert run_top_k(spark, rows) == plain_top_k(rows)
+    rows += [(50, rng.normal(size=20).tolist()), (50, rng.normal(size=20).tolist())]  # three queries under one id
+    assert run_top_k(spark, rows) == plain_top_k(rows) and sum(r[0] == 50 for r in plain_top_k(rows)) == 9
+
+
+def test_top_k_with_huge_components(spark):
+    rng = np.random.default_rng(4)
+    plain = [(i, rng.normal(size=3).tolist()) for i in range(1, 12)]
+    huge = [(20, [1e307, 0.0, 0.0]), (21, [-1e307, 1.0, 0.0]), (22, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(plain + huge, "vec_id long, embedding array<double>")
+    vectors = topk.whole_vectors(df)
+    got = topk.top_k(vectors, vectors.filter("vec_id % 5 = 0"), 2).orderBy("query_id", "rank").collect()
+    whole = {i: [min(max(math.floor(256 * x) if abs(x) < 1e300 else int(math.copysign(topk._LARGEST, x)), -int(topk._LARGEST)), int(topk._LARGEST)) for x in v] for i, v in plain + huge}
+    want = []
+    for q in (5, 10, 20):
+        scores = sorted((-max(min(sum(a * b for a, b in zip(whole[q], v)), 2**63 - 1), -2**63), i) for i, v in whole.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:2], 1)]
+    assert [tuple(r) for r in got] == want
 
 
 def test_top_k_of_few_and_none(spark):
