@@ -12,6 +12,11 @@ from strata.session import write_scratch
 
 # Cells are a hair wider than needed, so rounding can never push a neighbour out of reach.
 _ROUNDING = 1 + 1e-9
+#: Beyond so many window widths neighbouring doubles are more than a window apart.
+FAR = 2.0 ** 54
+_CELL = ["cx", "cy", "far_x", "far_y"]
+#: Degrees beyond which a finite number is no position on the sky, also after millennia of motion.
+_NO_DEC, _NO_RA = 1e6, 1e9
 
 
 def finite(*columns: str) -> Column:
@@ -22,6 +27,11 @@ def finite(*columns: str) -> Column:
     return out
 
 
+def on_sky(ra: str, dec: str) -> Column:
+    """True for positions: plain numbers within what a sphere and the motion of its stars can give."""
+    return finite(ra, dec) & (F.abs(F.col(ra)) <= _NO_RA) & (F.abs(F.col(dec)) <= _NO_DEC)
+
+
 def _offsets(reach: int) -> Column:
     return F.sequence(F.lit(-reach), F.lit(reach))
 
@@ -32,36 +42,42 @@ def band_neighbours(df: DataFrame, id_column: str, x: str, y: str, wx: float, wy
     Cells are a third of a window wide, so all rows of a 3x3 block are neighbours of the rows in its centre cell.
     The block totals alone clear every row of a crowded block; only the few rows of sparse blocks are compared
     one by one, with the rows of the outer ring of cells. Pairs stay linear in the rows, however crowded a cell is.
-    A row whose x or y is null, NaN or infinite is near nothing, not even itself, and is left out.
+    A row whose x or y is null, NaN or infinite is near nothing, not even itself, and is left out. Where doubles lie farther apart
+    than a window is wide, only equal values are near, so such a value is a cell of its own that has no neighbouring cells.
     """
     require(wx > 0 and wy > 0, "windows must be positive")
     require(below >= 1, "below must be 1 or more")
     rows = df.select(
         F.col(id_column).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-    ).filter(finite("x") & finite("y")).withColumns({
-        "cx": F.floor(F.col("x") / (wx / 3 * _ROUNDING)), "cy": F.floor(F.col("y") / (wy / 3 * _ROUNDING))})
-    cells = rows.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    ).filter(finite("x") & finite("y"))
+    for axis, width in (("x", wx), ("y", wy)):
+        far = F.abs(F.col(axis)) >= FAR * width
+        rows = rows.withColumn(f"far_{axis}", F.when(far, F.col(axis)).otherwise(0.0)).withColumn(
+            f"c{axis}", F.floor(F.when(far, 0.0).otherwise(F.col(axis)) / (width / 3 * _ROUNDING)))
+    cells = rows.groupBy(*_CELL).agg(F.count("*").alias("n"))
     spread = _shifted(cells, 1).select(
-        (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "n",
+        (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "far_x", "far_y", "n",
         ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("own"))
-    blocks = spread.groupBy("cx", "cy").agg(F.sum("n").alias("block"), F.max("own").alias("filled"))
-    sparse = blocks.filter(F.col("filled") & (F.col("block") <= below)).select("cx", "cy", "block")
+    blocks = spread.groupBy(*_CELL).agg(F.sum("n").alias("block"), F.max("own").alias("filled"))
+    sparse = blocks.filter(F.col("filled") & (F.col("block") <= below)).select(*_CELL, "block")
     # Used twice below, so it is computed once.
-    probes = write_scratch(rows.join(sparse, ["cx", "cy"]), "band")
+    probes = write_scratch(rows.join(sparse, _CELL), "band")
     ring = _shifted(probes, 3).filter((F.abs("dx") > 1) | (F.abs("dy") > 1)).select(
         "id", F.col("x").alias("px"), F.col("y").alias("py"),
-        (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+        (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "far_x", "far_y")
     near = (F.abs(F.col("px") - F.col("x")) <= wx) & (F.abs(F.col("py") - F.col("y")) <= wy)
     # Counts per id leave the join, not pairs.
-    outer = ring.join(rows.select("cx", "cy", "x", "y"), ["cx", "cy"]).filter(near).groupBy("id").agg(F.count("*").alias("outer"))
+    outer = ring.join(rows.select(*_CELL, "x", "y"), _CELL).filter(near).groupBy("id").agg(F.count("*").alias("outer"))
     total = F.col("block") - 1 + F.coalesce("outer", F.lit(0))
     return probes.select("id", "block").join(outer, "id", "left").select(
         F.col("id").alias(id_column), total.alias("neighbours")).filter(F.col("neighbours") < below)
 
 
 def _shifted(df: DataFrame, reach: int) -> DataFrame:
-    """Every row once per cell offset (dx, dy) up to `reach`."""
-    return df.withColumn("dx", F.explode(_offsets(reach))).withColumn("dy", F.explode(_offsets(reach)))
+    """Every row once per cell offset (dx, dy) up to `reach`; far values stay where they are."""
+    for axis in "xy":
+        df = df.withColumn(f"d{axis}", F.explode(F.when(F.col(f"far_{axis}") == 0.0, _offsets(reach)).otherwise(F.array(F.lit(0)))))
+    return df
 
 
 def moved_to(ra, dec, pmra, pmdec, years: float) -> tuple[Column, Column]:
@@ -112,7 +128,7 @@ def _star_cells(stars: DataFrame, reach: float, epochs) -> DataFrame:
         stars = stars.withColumns({f"ra{i}": ra, f"dec{i}": dec})
     places = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"ra{i}").alias("ra"), F.col(f"dec{i}").alias("dec")) for i in range(len(epochs))])
     s = stars.drop("ra", "dec", "pmra", "pmdec").withColumn("place", F.explode(places))
-    s = s.filter(finite("place.ra", "place.dec"))  # a motion without bounds leaves no position
+    s = s.filter(on_sky("place.ra", "place.dec"))  # a motion without bounds leaves no position
     s = s.withColumn("zone", F.floor(F.col("place.dec") / (2 * reach)))
     n, _ = _ra_cells(F.col("zone"), reach)
     cell = F.pmod(F.floor(_turn(F.col("place.ra")) / 360.0 * n), n)
@@ -135,12 +151,13 @@ def sky_radius_join(points: DataFrame, stars: DataFrame, radius_arcsec: float, e
     """(pid, sid, sep): all pairs closer than the radius at any of the epochs; the smallest separation counts.
 
     `points` needs pid, ra, dec; `stars` needs sid, ra, dec, pmra, pmdec at the first epoch. Declination zones are
-    cut into right-ascension cells, so a pair is found by an equality join on its cell.
+    cut into right-ascension cells, so a pair is found by an equality join on its cell. Null, NaN, infinite and absurdly large
+    positions match nothing.
     """
     require(radius_arcsec > 0, "the radius must be positive")
     reach = radius_arcsec / 3600.0 * (1 + 1e-6)
-    searches = _search_cells(points.filter(finite("ra", "dec")).select(pid, F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")), reach)
-    placed = _star_cells(stars.filter(finite("ra", "dec")).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
+    searches = _search_cells(points.filter(on_sky("ra", "dec")).select(pid, F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")), reach)
+    placed = _star_cells(stars.filter(on_sky("ra", "dec")).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
     return _close_pairs(searches, placed, radius_arcsec, epochs).select(pid, sid, "sep")
 
 
@@ -150,13 +167,13 @@ def sky_nearest(points: DataFrame, stars: DataFrame, radius_arcsec: float, epoch
 
     Points at one position are searched once. They are written out first, so Spark knows their size and decides by it how
     to join. Stars with the same position and motion are counted once before the join, and pairs are reduced map-side,
-    so piles of copies stay cheap. Positions that are null, NaN or infinite match nothing.
+    so piles of copies stay cheap. Positions that are null, NaN, infinite or absurdly large match nothing.
     """
     require(radius_arcsec > 0, "the radius must be positive")
     reach = radius_arcsec / 3600.0 * (1 + 1e-6)
-    spots = write_scratch(points.filter(finite("ra", "dec")).select(F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")).distinct(), "spots")
+    spots = write_scratch(points.filter(on_sky("ra", "dec")).select(F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")).distinct(), "spots")
     searches = _search_cells(spots, reach)
-    placed = _star_cells(stars.filter(finite("ra", "dec")).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
+    placed = _star_cells(stars.filter(on_sky("ra", "dec")).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
     at = [f"{c}{i}" for i in range(len(epochs)) for c in ("ra", "dec")]
     stacks = placed.groupBy("zone", "cell", "k", *at).agg(F.min(sid).alias(sid), F.count("*").alias("_copies"))
     pairs = _close_pairs(searches, stacks, radius_arcsec, epochs)

@@ -101,6 +101,24 @@ def sky_radius_pairs(spark, sf):
     return pairs.select("pl_name", "source_id", F.round("sep", 5).alias("sep"))
 
 
+# Huge numbers on either side: no position, and a motion that leads nowhere.
+_FAR_SPOT = "CASE WHEN dec > 60 THEN CAST(1e300 AS DOUBLE) WHEN dec < -60 THEN CAST('NaN' AS DOUBLE) ELSE dec END"
+_FAR_STAR = "CASE WHEN source_id % 50 = 0 THEN CAST(1e300 AS DOUBLE) ELSE dec END"
+_FAR_MOTION = "CASE WHEN source_id % 51 = 0 THEN CAST(-1e300 AS DOUBLE) ELSE pmdec END"
+
+
+@query("sky_radius_pairs_odd_values", f"""
+    SELECT spot.pl_name, star.source_id, round(min({sep_sql()}), 5) AS sep
+    FROM (SELECT pl_name, ra, {_FAR_SPOT} AS dec FROM ({positions_sql()}) WHERE dec BETWEEN -60 AND 60) AS spot,
+         (SELECT source_id, ra, dec, pmra, {_FAR_MOTION} AS pmdec FROM ({stars_sql()}) WHERE source_id % 50 <> 0) AS star, (VALUES (2016.0), (2000.0)) AS epoch(year)
+    GROUP BY ALL HAVING min({sep_sql()}) <= 10""")
+def sky_radius_pairs_odd_values(spark, sf):
+    points = positions(spark, sf).withColumn("dec", F.expr(_FAR_SPOT))
+    sky = stars(spark, sf).withColumns({"dec": F.expr(_FAR_STAR), "pmdec": F.expr(_FAR_MOTION)})
+    pairs = sky_radius_join(points, sky, 10.0, pid="pl_name", sid="source_id")
+    return pairs.select("pl_name", "source_id", F.round("sep", 5).alias("sep"))
+
+
 @query("band_neighbours", """
     SELECT a.p_partkey, count(*) - 1 AS neighbours FROM part a JOIN part b
       ON abs(a.p_size - b.p_size) <= 1 AND abs(a.p_retailprice - b.p_retailprice) <= 0.5 GROUP BY 1 HAVING count(*) - 1 < 5""")
@@ -109,14 +127,15 @@ def neighbours_in_bands(spark, sf):
 
 
 _ODD_SIZE = """CASE p_partkey % 40 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE)
-    WHEN 3 THEN NULL ELSE CAST(p_size AS DOUBLE) END"""
+    WHEN 3 THEN NULL WHEN 4 THEN CAST(1e300 AS DOUBLE) WHEN 5 THEN CAST(-1.7e308 AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END"""
+_ODD_PRICE = "CASE p_partkey % 41 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST(-1e300 AS DOUBLE) WHEN 2 THEN CAST(1e15 AS DOUBLE) ELSE p_retailprice END"
 
 
 @query("band_neighbours_odd_values", f"""
-    WITH p AS (SELECT p_partkey, {_ODD_SIZE} AS x, CASE p_partkey % 41 WHEN 0 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice END AS y FROM part)
+    WITH p AS (SELECT p_partkey, {_ODD_SIZE} AS x, {_ODD_PRICE} AS y FROM part)
     SELECT a.p_partkey, count(*) - 1 AS neighbours FROM p AS a JOIN p AS b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 0.5 GROUP BY 1 HAVING count(*) - 1 < 5""")
 def neighbours_in_bands_with_odd_values(spark, sf):
-    parts = t(spark, sf, "part").selectExpr("p_partkey", f"{_ODD_SIZE} AS x", "CASE p_partkey % 41 WHEN 0 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice END AS y")
+    parts = t(spark, sf, "part").selectExpr("p_partkey", f"{_ODD_SIZE} AS x", f"{_ODD_PRICE} AS y")
     return band_neighbours(parts, "p_partkey", "x", "y", 1.0, 0.5, 5)
 
 
