@@ -206,13 +206,14 @@ class GapModel:
     candidates: DataFrame  # rows without a known planet, best score first
 
 
-def planet_gaps(stars: DataFrame, planets: DataFrame, positions: DataFrame | None = None, top: int | None = None) -> GapModel:
-    """Rank stars without a known planet by how much they look like the hosts."""
+def planet_gaps(stars: DataFrame, planets: DataFrame, positions: DataFrame | None = None, top: int | None = None,
+                features=FEATURES, fold: Column | None = None) -> GapModel:
+    """Rank stars without a known planet by how much they look like the hosts, by some or all of the features."""
     require(top is None or top >= 1, "top must be 1 or more")
     spark = stars.sparkSession
     hosts = match_hosts(planets, stars, positions).select("source_id")
     table = write_scratch(label_members(gap_features(stars), "source_id", hosts), "features")
-    scored, full = oof_scores(table, FEATURES, "label")
+    scored, full = oof_scores(table, list(features), "label", fold=fold)
     scored = write_scratch(scored, "scores")
     m = ranking_metrics(scored, "score", "label")
     total = stars.count()
@@ -221,4 +222,4 @@ def planet_gaps(stars: DataFrame, planets: DataFrame, positions: DataFrame | Non
         F.lit(FOLDS).alias("folds"), "auc", "avg_precision", "base_rate")
     shown = scored.filter("label = 0").select(
         "source_id", "pc", "g_mag", F.col("colour").alias("bp_rp"), "abs_g", (F.col("has_rv") == 1).alias("has_rv"), "score", "companion_au")
-    return GapModel(metrics, weights(full, FEATURES, spark), rank_candidates(shown, "score", "source_id", top))
+    return GapModel(metrics, weights(full, list(features), spark), rank_candidates(shown, "score", "source_id", top))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from strata.functions.scalars import AU_PER_PARSEC, KM_S_PER_ARCSEC_YR_PC, MYR_PER_PC_PER_KM_S
 from strata.plans import astro, model
@@ -230,6 +230,39 @@ def fold_gradients(spark, sf):
     return union(*out)
 
 
+# The same recursion over stars, with brightness as the only feature; model 5 is trained on all of them.
+_ONE_FEATURE = _MATCHES.replace("WITH", "WITH RECURSIVE", 1) + f""",
+    d AS (SELECT source_id, CAST(source_id IN (SELECT source_id FROM m) AS INTEGER) AS y, phot_g_mean_mag AS x, source_id % 5 AS fold
+          FROM ({stars_sql()}) WHERE phot_g_mean_mag IS NOT NULL AND parallax > 0),
+    s AS (SELECT k, avg(x) AS mu, stddev_pop(x) AS sd FROM d, range(6) AS r(k) WHERE fold <> k GROUP BY k),
+    seen AS (SELECT k, y, (x - mu) / sd AS z FROM d JOIN s ON fold <> k),
+    fit(i, k, a, b) AS (
+      SELECT 0, k, 0::DOUBLE, 0::DOUBLE FROM s
+      UNION ALL
+      SELECT i + 1, k, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+      FROM (SELECT i, k, a, b, sum(y - p) AS ga, sum((y - p) * z) - b AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * z) AS hab, sum(p * (1 - p) * z * z) + 1 AS hbb
+            FROM (SELECT i, k, a, b, y, z, 1 / (1 + exp(-(a + b * z))) AS p FROM fit JOIN seen USING (k) WHERE i < 30) GROUP BY i, k, a, b))"""
+
+
+def _one_feature_model(spark, sf):
+    return model.planet_gaps(stars(spark, sf), planets(spark, sf), positions(spark, sf), 100, ["g_mag"], F.col("source_id") % 5)
+
+
+@query("gap_candidates_one_feature", _ONE_FEATURE + """
+    SELECT source_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, source_id) AS place
+    FROM (SELECT source_id, 1 / (1 + exp(-(a + b * (x - mu) / sd))) AS score FROM d JOIN s ON s.k = fold JOIN fit ON fit.k = fold WHERE i = 30 AND y = 0)
+    ORDER BY place LIMIT 100""")
+def gap_candidates_one_feature(spark, sf):
+    """The hundred best candidates and their places."""
+    place = F.row_number().over(Window.orderBy(F.col("score").desc(), "source_id")).cast("bigint")  # over a hundred rows
+    return _one_feature_model(spark, sf).candidates.select("source_id", F.round("score", 6).alias("score"), place.alias("place"))
+
+
+@query("gap_weights_one_feature", _ONE_FEATURE + " SELECT 'g_mag' AS feature, round(b, 6) AS weight FROM fit WHERE i = 30 AND k = 5")
+def gap_weights_one_feature(spark, sf):
+    return _one_feature_model(spark, sf).weights.select("feature", F.round("weight", 6).alias("weight"))
+
+
 @query("gap_model_counts", _MATCHES + f""", judged AS (
       SELECT s.source_id, s.source_id IN (SELECT source_id FROM m) AS host FROM ({stars_sql()}) AS s WHERE phot_g_mean_mag IS NOT NULL AND parallax > 0)
     SELECT count(*) AS n_stars, count(*) FILTER (WHERE host) AS n_hosts, (SELECT count(*) FROM ({stars_sql()})) - count(*) AS skipped, 5 AS folds,

@@ -158,3 +158,25 @@ def test_weights_equal_a_direct_minimiser(spark):
     w = np.array([fit.intercept, *fit.weight])
     gradient = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - [0.0, *fit.weight]
     assert np.abs(gradient).max() < 1e-6
+
+
+def test_fits_equal_mllib(spark):
+    """The fold models and the full one against MLlib's logistic regression on the same standardised training sets."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 3)) * [1.0, 20.0, 0.1] + [0.0, 300.0, -2.0]
+    y = (rng.random(600) < 1 / (1 + np.exp(-(x[:, 0] * 1.5 - (x[:, 1] - 300) / 30 - 0.5)))).astype(int)
+    df = spark.createDataFrame([(i, int(t), i % 5, *map(float, v)) for i, (t, v) in enumerate(zip(y, x))], "source_id long, label int, fold int, a double, b double, c double").cache()
+    names = ["a", "b", "c"]
+    fits, full = model.fold_fits(df, names, "label")
+    for m, fit in enumerate([*fits, full]):
+        rows = df.filter(F.col("fold") != m)
+        moments = rows.agg(*[f(n) for n in names for f in (F.avg, F.stddev_pop)]).first()
+        assert np.allclose(fit.mean, moments[0::2], rtol=1e-9) and np.allclose(fit.scale, moments[1::2], rtol=1e-9)
+        z = rows.select("label", *[((F.col(n) - F.lit(mu)) / F.lit(sd)).alias(n) for n, mu, sd in zip(names, moments[0::2], moments[1::2])])
+        learner = LogisticRegression(labelCol="label", regParam=1.0 / rows.count(), elasticNetParam=0.0, standardization=False, tol=1e-14, maxIter=500)
+        learned = learner.fit(VectorAssembler(inputCols=names, outputCol="features").transform(z))
+        assert np.allclose(fit.weight, learned.coefficients.toArray(), rtol=0, atol=1e-6) and abs(fit.intercept - learned.intercept) < 1e-6
