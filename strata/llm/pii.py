@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,8 +51,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 # Generators of candidates, and words that speak for or against them.
 _NUMBERS = re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9])++")
 _AT, _DOT = (r"\x20?[\[({<]?\x20?(?:%s|%s)\x20?[\])}>]?\x20?" % (w, w.upper()) for w in ("at", "dot"))
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,64}}(?:{_DOT}[A-Za-z0-9-]{{1,64}}){{0,4}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])")
-_AROUND_AT = re.compile(r"[A-Za-z0-9.-]{1,255}")
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*{_DOT}[A-Za-z]{{2,}}+(?![A-Za-z0-9])")
+_AROUND_AT = re.compile(r"[A-Za-z0-9.-]++")
+_GROUP = re.compile(r"[0-9]+")
+#: Digits of the longest number that any kind may have.
+MOST_DIGITS = 19
 _CUES = (
     ("mail", "contact", "write"), ("phone", "tel", "call", "mobile", "fax", "whatsapp"), ("card", "visa", "credit", "iban", "account", "payment"),
     ("ip", "host", "server", "address", "login"), ("version", "license", "licence", "token", "key", "secret", "hash", "id", "no", "isbn", "order", "invoice"))
@@ -95,6 +99,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def number_windows(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of every stretch of neighbouring digit groups with at most MOST_DIGITS digits.
+
+    A group begins at most that many windows, as each further group adds a digit; so numbers joined by single separators are all found.
+    """
+    for m in _NUMBERS.finditer(text):
+        groups = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())]
+        for i, (start, _) in enumerate(groups):
+            n = 0
+            begin = start - (start > 0 and text[start - 1] in "+(")
+            for s, e in groups[i:i + MOST_DIGITS]:
+                n += e - s
+                if n > MOST_DIGITS:
+                    break
+                yield begin, e, n
+
+
+class Taken:
+    """Spans of one text by kind, none of a kind overlapping another of it; asking and adding take logarithmic time."""
+
+    def __init__(self, spans: list[tuple[str, int, int]] = ()):
+        self.spans: dict[str, list[tuple[int, int]]] = {}
+        for kind, start, end in spans:
+            self.add(kind, start, end)
+
+    def add(self, kind: str, start: int, end: int) -> None:
+        insort(self.spans.setdefault(kind, []), (start, end))
+
+    def meets(self, kind: str, start: int, end: int) -> bool:
+        held = self.spans.get(kind, ())
+        i = bisect_left(held, (end,))  # the last one that starts before `end` ends last
+        return i > 0 and held[i - 1][1] > start
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidate spans of high recall, each under every kind it may be."""
     found: set[tuple[str, int, int]] = set()
@@ -112,17 +150,13 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", free)
     if "dot" in text or "DOT" in text:
         found.update(("email", m.start(), m.end()) for m in _SPELLED.finditer(text))
-    for m in _NUMBERS.finditer(text):
-        n = sum("0" <= c <= "9" for c in m.group()) if m.end() - m.start() <= 64 else 0
-        if not n:
-            continue
-        if m.group().count(".") >= 3 and n <= 12:
-            found.add(("ip", m.start(), m.end()))
+    for start, end, n in number_windows(text):
+        if n <= 12 and text.count(".", start, end) >= 3:
+            found.add(("ip", start, end))
         if 7 <= n <= 15:
-            found.add(("phone", m.start(), m.end()))
-        if 12 <= n <= 19:
-            bare = m.start() + (m.group()[0] in "+(")
-            found.add(("card", bare, m.end()))
+            found.add(("phone", start, end))
+        if 12 <= n <= MOST_DIGITS:
+            found.add(("card", start + (text[start] in "+("), end))
     return sorted(found, key=lambda c: (c[1], BASE_KINDS.index(c[0]), c[2]))
 
 
@@ -284,16 +318,17 @@ def labelled(text: str, rng: random.Random) -> Iterator[tuple[float, list[float]
     """(label, features) of candidates outside the base spans of their kind whose label is known."""
     new, true, touched = planted(text, rng)
     for source, spans in ((text, None), (new, touched)):
-        base = base_spans(source)
+        base = Taken(base_spans(source))
+        places = Taken([("", *s) for s in spans or ()])
         for c in candidates(source):
             kind, start, end = c
-            if any(k == kind and s < end and start < e for k, s, e in base):
+            if base.meets(kind, start, end):
                 continue
-            if spans is not None and any(s < end and start < e for s, e in spans):
+            if spans is not None and places.meets("", start, end):
                 yield float(c in true), features(source, *c)
             elif spans is None:
                 x = features(source, *c)
-                inside = any(s < end and start < e for _, s, e in base)
+                inside = any(base.meets(k, start, end) for k in BASE_KINDS)
                 wrong = kind == "card" and not luhn(_digits(source[start:end]))
                 joined = kind != "email" and (source[start - 1:start].isalnum() or source[end:end + 1].isalnum())
                 if inside or wrong or joined or kind != "email" and x[-1]:
@@ -334,13 +369,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -
 
 def find_pii(texts_: list[str], model: PiiModel) -> list[list[tuple[str, int, int]]]:
     """All spans of each text: base spans, and accepted candidates that overlap none of their kind; by start, then kind."""
-    found, rows, owners = [], [], []
+    found, taken, rows, owners = [], [], [], []
     for i, text in enumerate(texts_):
         base = base_spans(text)
         found.append(base)
+        taken.append(Taken(base))
         if model.thresholds:
             for c in candidates(text):
-                if c[0] in model.thresholds and not any(k == c[0] and s < c[2] and c[1] < e for k, s, e in base):
+                if c[0] in model.thresholds and not taken[i].meets(*c):
                     rows.append(features(text, *c))
                     owners.append((i, c))
     if rows:
@@ -348,8 +384,9 @@ def find_pii(texts_: list[str], model: PiiModel) -> list[list[tuple[str, int, in
         for k in np.argsort(-scores, kind="stable").tolist():
             i, (kind, start, end) = owners[k]
             like = f"{kind}_like"
-            if scores[k] >= model.thresholds[kind] and not any(o in (kind, like) and s < end and start < e for o, s, e in found[i]):
+            if scores[k] >= model.thresholds[kind] and not taken[i].meets(like, start, end):
                 found[i].append((like, start, end))
+                taken[i].add(like, start, end)
     order = {k: r for r, k in enumerate((*BASE_KINDS, *(f"{k}_like" for k in BASE_KINDS)))}
     return [sorted(spans, key=lambda s: (s[1], order[s[0]], s[2])) for spans in found]
 

@@ -34,7 +34,8 @@ PATTERNS = (
     ("hex", r"[0-9a-f]{16,}", ()),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("-----BEGIN ",)),
     ("code_host", r"gh[opsu]_[A-Za-z0-9]{36,}", ("gho_", "ghp_", "ghs_", "ghu_")),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", ("eyJ",)),
+    # only where a run begins, so that each run is read a bounded number of times
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++", ("eyJ",)),
 )
 RULES = tuple((kind, re.compile(pattern), needs) for kind, pattern, needs in PATTERNS)
 RULE_VERSION = sha256(repr((PATTERNS, ASSIGN_LEAST)))[:16]
@@ -90,9 +91,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 p(rank, kind, pattern) AS (VALUES
   (0, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
   (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'private_key', '-----BEGIN [A-Z ]*PRIVATE KEY-----'),
-  (4, 'code_host', 'gh[opsu]_[A-Za-z0-9]{36,}'), (5, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+')),
+  (4, 'code_host', 'gh[opsu]_[A-Za-z0-9]{36,}'), (5, 'jwt', '\x{10FFFD}{3}[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+')),
+-- an eyJ that begins a run is marked by three characters of its own
+marked AS (SELECT doc_id, text, regexp_replace(text, '(^|[^A-Za-z0-9_-])eyJ', '\1' || repeat(chr(1114109), 3), 'g') AS begun FROM d),
+searched AS (SELECT doc_id, rank, kind, pattern, CASE kind WHEN 'jwt' THEN begun ELSE text END AS text FROM marked, p),
 pieces AS (
-  SELECT doc_id, rank, kind, regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS gaps FROM d, p),
+  SELECT doc_id, rank, kind, regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS gaps FROM searched),
 each AS (SELECT doc_id, rank, kind, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap FROM pieces),
 placed AS (
   SELECT doc_id, rank, kind, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i) - length(hit) AS s FROM each),

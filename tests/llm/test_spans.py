@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -130,3 +131,46 @@ def test_forms_outside_the_base_rules_are_found(spark, docs):
     assert sum(len(f) == 1 and f[0][2] - f[0][1] == len(p) for f, p in zip(found, planted)) >= 4
     others = [f"order {digits(9)}" for _ in range(50)] + [f"version {rng.randrange(9)}.{digits(3)}.{digits(4)}" for _ in range(50)] + [f"token = \"{digits(9)}ab{digits(9)}\"" for _ in range(50)]
     assert sum(map(bool, pii.find_pii([f"{prose()} {o} {prose()}" for o in others], model))) <= 7
+
+
+def seconds(fn, *args):
+    began = time.process_time()
+    fn(*args)
+    return time.process_time() - began
+
+
+def test_long_runs_are_searched_in_linear_time():
+    for long in ("eyJ" * 350_000, "eyJabcdefgh." * 90_000, "password" * 130_000, "gho_" * 250_000):
+        assert seconds(secrets.find_secrets, long) < 1.5
+    token = "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    assert secrets.find_secrets(f"a {token} b") == [("jwt", 2, 2 + len(token))] and secrets.find_secrets(f"xeyJ{token[3:]}") == []
+    model = pii.PiiModel(pii.Trees(start=1.0), {k: 0.5 for k in pii.BASE_KINDS})
+    numbers = "+1 407 555 7710 555-7711 4111.1111.1111 10.0.0.1 " * 600
+    small, large = (min(seconds(pii.find_pii, [numbers * k], model) for _ in range(2)) for k in (1, 6))
+    assert large < 14 * small
+    for long in ("1 " * 15_000, "1" * 300_000, "a at b dot " * 20_000, "at" * 100_000, "@a." * 60_000):
+        assert seconds(pii.candidates, long) < 6
+
+
+def test_joined_numbers_and_long_addresses_are_candidates():
+    text = "555 123 4567 555 123 4568 555 123 4569 555 123 4570 555 123 4571 555 123 4572"
+    found = pii.candidates(text)
+    assert {("phone", 13 * i, 13 * i + 12) for i in range(6)} <= set(found)
+    assert len(found) <= 3 * pii.MOST_DIGITS * len(text.split())
+    local, domain = "n" * 200, " dot ".join(["part"] * 9 + ["x" * 30])
+    assert ("email", 4, 4 + len(f"{local} at {domain}")) in pii.candidates(f"say {local} at {domain}.")
+    assert ("email", 0, 602) in pii.candidates("a@" + "b" * 600)
+
+
+def test_taken_spans_meet_like_a_plain_search():
+    rng = random.Random(6)
+    for _ in range(300):
+        spans, taken = [], pii.Taken()
+        for _ in range(12):
+            s = rng.randrange(40)
+            e = s + rng.randrange(1, 8)
+            hit = any(a < e and s < b for a, b in spans)
+            assert taken.meets("k", s, e) == hit and not taken.meets("other", s, e)
+            if not hit:
+                spans.append((s, e))
+                taken.add("k", s, e)
