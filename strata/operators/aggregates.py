@@ -13,6 +13,9 @@ from strata.session import write_scratch
 # Quantile sketches answer within 1/ACCURACY of the true rank; the bracket leaves room on both sides.
 ACCURACY = 100_000
 SLACK = 4.0 / ACCURACY
+#: Rows that the bracket of a group's middle should hold at most, and steps of the sketch that narrows it.
+FEW_ROWS = 1_000_000
+GRID = 1_000
 
 
 def count_rows(df: DataFrame, by=()) -> DataFrame:
@@ -38,8 +41,8 @@ def group_stats(df: DataFrame, by, measures: dict[str, tuple[str, str]]) -> Data
 def median_of(df: DataFrame, column: str, by=(), approx: bool = False, name: str = "median") -> DataFrame:
     """(group..., n, median): the interpolated median, NULL values ignored.
 
-    Exact by default: a quantile sketch brackets the middle of every group, then only the few rows inside the
-    bracket are counted per distinct value. Spark's own `median` keeps every distinct value of a group in one
+    Exact by default: a quantile sketch brackets the middle of every group, brackets of large groups are narrowed, then only the
+    few rows inside the bracket are counted per distinct value. Spark's own `median` keeps every distinct value of a group in one
     buffer, which a large group cannot afford.
     """
     by = [by] if isinstance(by, str) else list(by)
@@ -51,7 +54,7 @@ def median_of(df: DataFrame, column: str, by=(), approx: bool = False, name: str
         *by, "_n", F.col("_edges")[0].alias("_lo"), F.col("_edges")[1].alias("_hi"))
     if by:
         # Written out, so the join knows the real size: few groups are broadcast, many are not.
-        brackets = write_scratch(brackets, "median")
+        brackets = _narrowed_groups(value, write_scratch(brackets, "median"), by)
         renamed = brackets.withColumnsRenamed({g: f"_g_{g}" for g in by})
         same = reduce(lambda a, b: a & b, [value[g].eqNullSafe(renamed[f"_g_{g}"]) for g in by])
         marked = value.join(renamed, same)
@@ -70,7 +73,33 @@ def median_of(df: DataFrame, column: str, by=(), approx: bool = False, name: str
 
     out = values.withColumn("_upto", upto).groupBy(*by).agg(
         F.coalesce(F.max("_n"), F.lit(0)).alias("n"), at(low).alias("_a"), at(high).alias("_b"))
-    return out.select(*by, "n", (F.col("_a") + (F.col("_b") - F.col("_a")) * 0.5).alias(name))
+    middle = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * 0.5)
+    return out.select(*by, "n", middle.alias(name))
+
+
+def _narrowed_groups(value: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Brackets that hold few rows: those of large groups shrink together, by a sketch of each bracket in every round.
+
+    A round reads the rows of large groups only, and counts and sketches leave its tasks. It stops for a bracket that holds at most
+    FEW_ROWS rows, a single value, or too few values to shrink further; what is left is counted per distinct value.
+    """
+    n, lo, hi = F.col("_n"), F.col("_lo"), F.col("_hi")
+    brackets = brackets.withColumn("_open", (n * (2 * SLACK) > FEW_ROWS) & (lo < hi))
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    while brackets.filter("_open").limit(1).count():
+        wide = brackets.filter("_open").withColumnsRenamed({g: f"_g_{g}" for g in by})
+        same = reduce(lambda a, b: a & b, [value[g].eqNullSafe(wide[f"_g_{g}"]) for g in by])
+        within = F.col("_x") >= lo
+        facts = value.join(wide, same).filter(F.col("_x") <= hi).groupBy(*by, "_n", "_lo", "_hi").agg(
+            F.count_if(~within).alias("_below"), F.count_if(within).alias("_inside"), F.percentile_approx(F.when(within, F.col("_x")), grid, ACCURACY).alias("_grid"))
+        share = lambda rank: (rank - F.col("_below")) / F.col("_inside") * GRID
+        first = F.greatest(F.floor(share(F.floor((n - 1) / 2))) - 1, F.lit(0)).cast("int")
+        last = F.least(F.ceil(share(F.floor(n / 2))) + 1, F.lit(GRID)).cast("int")
+        closer = facts.select(*by, "_n", lo.alias("_before"), hi.alias("_after"), F.col("_grid")[first].alias("_lo"), F.col("_grid")[last].alias("_hi"), "_inside")
+        moved = (lo > F.col("_before")) | (hi < F.col("_after"))
+        done = closer.select(*by, "_n", "_lo", "_hi", ((F.col("_inside") > FEW_ROWS) & (lo < hi) & moved).alias("_open"))
+        brackets = write_scratch(brackets.filter("NOT _open").unionByName(done), "median")
+    return brackets.drop("_open")
 
 
 def _narrowed(value: DataFrame, n: int, lo: float, hi: float, most: int = 1_000_000) -> tuple[float, float]:

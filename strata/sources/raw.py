@@ -64,9 +64,9 @@ def raw_files(spark: SparkSession, lake: str, source: str = "*", dataset: str =
 
 def sidecars(spark: SparkSession, lake: str, source: str = "*", dataset: str = "*", date: str = "*") -> DataFrame:
     """One row per sidecar: the data file it belongs to and its fields as a VARIANT (NULL if damaged)."""
-    glob = raw_glob(lake, source, dataset, date, "*" + SIDECAR_SUFFIX)
+    days = raw_glob(lake, source, dataset, date, "").rstrip("/")  # a day without sidecars is no error
     try:
-        text = spark.read.text(glob, wholetext=True).select(scanned_path().alias("_at"), "value")
+        text = spark.read.text(days, wholetext=True, pathGlobFilter="*" + SIDECAR_SUFFIX).select(scanned_path().alias("_at"), "value")
     except AnalysisException as error:
         if not is_missing_path(error):
             raise

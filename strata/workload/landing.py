@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.functions.parsing import TYPES, blank_to_null, parse
 from strata.functions.scalars import content_hash, parse_window_name
-from strata.operators.cleaning import bad_value_counts, band_select, clean, clean_json, clean_report, read_clean, write_clean
+from strata.operators.cleaning import (
+    bad_value_counts, band_select, clean, clean_json, clean_report, read_clean, write_clean, write_clean_reported,
+)
 from strata.plans.registry import DATASETS, registry_frame
 from strata.plans.warehouse import query as read_only
 from strata.session import scratch_dir
 from strata.sources.csv import scan_csv, validate_payloads
-from strata.sources.files import RAW_LAYOUT
+from strata.sources.files import RAW_LAYOUT, with_path_parts
 from strata.sources.json import scan_json
 from strata.sources.parquet import parquet_glob, scan_clean
 from strata.sources.raw import fetch_completeness, page_audit, provenance, raw_files, register_raw, verify_raw
@@ -205,6 +207,22 @@ def clean_bad_value_counts(spark, sf):
     return bad_value_counts(clean_customers(spark, sf), CUSTOMER_SCHEMA)
 
 
+@query("clean_write_report", """
+    SELECT 'whole' AS run, count(*) AS rows_in, count(*) AS rows_out, count(*) FILTER (WHERE c_custkey % 10 IN (3, 5)) AS bad_c_acctbal,
+           count(*) FILTER (WHERE c_custkey % 7 = 0) AS bad_c_nationkey, true AS whole FROM customer
+    UNION ALL SELECT 'lossy', count(*), count(*) FILTER (WHERE c_custkey % 97 <> 0), count(*) FILTER (WHERE c_custkey % 97 <> 0 AND c_custkey % 10 IN (3, 5)),
+           count(*) FILTER (WHERE c_custkey % 97 <> 0 AND c_custkey % 7 = 0), count(*) FILTER (WHERE c_custkey % 97 = 0) = 0 FROM customer""")
+def clean_write_report(spark, sf):
+    """Counted while the rows are written, at the scan and at the writer; the second run loses rows on the way, which must show."""
+    def run(name, project):
+        records = scan_csv(spark, f"{customer_lake(spark, sf)}/raw/shop/customers/*/*.csv", list(CUSTOMER_SCHEMA))
+        r = write_clean_reported(records, project, CUSTOMER_SCHEMA, scratch_dir(spark, "clean"), "shop", "customers")
+        return name, r.rows_in, r.rows_out, r.bad_values.get("c_acctbal", 0), r.bad_values.get("c_nationkey", 0), r.whole
+
+    runs = [run("whole", lambda df: clean(df, CUSTOMER_SCHEMA)), run("lossy", lambda df: clean(df, CUSTOMER_SCHEMA).filter("c_custkey % 97 <> 0"))]
+    return spark.createDataFrame(runs, "run string, rows_in bigint, rows_out bigint, bad_c_acctbal bigint, bad_c_nationkey bigint, whole boolean")
+
+
 @query("clean_layer_report", """
     SELECT * FROM (
       SELECT '2024-03-01' AS fetch_date, 'c_acctbal' AS "column", count(*) FILTER (WHERE c_custkey % 10 IN (3, 5)) AS bad FROM customer
@@ -288,6 +306,27 @@ def dataset_registry(spark, sf):
         F.count("*").alias("n"), F.lit(known.count()).alias("datasets"), F.count("format").alias("known"))
 
 
+def _mixed_lake(spark: SparkSession, sf: str) -> str:
+    """Folders of three sources; the registry knows two of them."""
+    def build(root: str) -> None:
+        for table, folder in (("customer", "gaia/nearby-stars"), ("supplier", "exoplanets/planets"), ("nation", "shop/nations")):
+            t(spark, sf, table).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{root}/raw/{folder}/2024-05-01")
+
+    return lake_of(spark, sf, "mixed-lake", build)
+
+
+@query("registry_of_folders", """
+    SELECT 'gaia' AS source, 'nearby-stars' AS dataset, 'csv' AS format, 'astro.nearby_stars' AS "table", 1 AS key_columns, count(*) AS n FROM customer
+    UNION ALL SELECT 'exoplanets', 'planets', 'csv', 'astro.exoplanets', 1, count(*) FROM supplier
+    UNION ALL SELECT 'shop', 'nations', NULL, NULL, NULL, count(*) FROM nation""")
+def registry_of_folders(spark, sf):
+    """What the registry says of every folder that is there, known or not, and how many records lie in it."""
+    lines = spark.read.text(f"{_mixed_lake(spark, sf)}/raw/*/*/*/*").select(F.col("_metadata.file_path").alias("path"))
+    there = with_path_parts(lines).groupBy("source", "dataset").agg(F.count("*").alias("n"))
+    known = registry_frame(spark).withColumn("key_columns", F.size("key"))
+    return there.join(known, ["source", "dataset"], "left").select("source", "dataset", "format", "table", "key_columns", "n")
+
+
 # -- registration and completeness --------------------------------------------------------------------------------
 
 @query("register_manifest", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from strata.operators.joins import pending
 from strata.plans.incremental import (
     assign_slices, covered_through, finished_slices, ledger_status, next_slices, overall, plan_windows, refresh, slice_plan, slice_status, update_ledger,
 )
-from strata.plans.ingest import ingest_incremental
+from strata.plans.commits import Files
+from strata.plans.ingest import ingest_incremental, new_files
+from strata.plans.manifest import known_files
 from strata.plans.registry import HOST_POSITIONS, PLANETS
 from strata.session import scratch_dir
 from strata.streaming.ingest import ingest_stream
@@ -68,6 +71,18 @@ def next_windows_first_run(spark, sf):
     return plan.select("region", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"), "catching_up")
 
 
+@query("next_windows_refused", f"SELECT count(*) AS regions, count(*) FILTER (WHERE covered IS NULL) AS blank, count(*) FILTER (WHERE covered IS NULL) > 0 AS refused FROM ({_MARKS})")
+def next_windows_refused(spark, sf):
+    """A region without any complete fetch has nothing to continue from: without a first date the plan is refused."""
+    known = covered_through(_window_manifest(spark, sf))
+    try:
+        plan_windows(known, date(2001, 9, 15))
+        refused = False
+    except ValueError:
+        refused = True
+    return known.agg(F.count("*").alias("regions"), F.count_if(F.col("covered").isNull()).alias("blank"), F.lit(refused).alias("refused"))
+
+
 # -- loads --------------------------------------------------------------------------------------------------------
 
 @query("ingest_incremental", FETCHES_SQL)
@@ -79,6 +94,37 @@ def incremental(spark, sf):
     return shown(wh.table("shop.orders"))
 
 
+def _landing_lake(spark, sf, root, days) -> None:
+    """Orders of a year land on a day each; what landed on the last day is known to be incomplete."""
+    o = t(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    files = Files(spark)
+    for year in days:
+        folder = f"{root}/raw/shop/orders/{year}-12-31"
+        write_csv(o.filter(F.col("year") == year).select(
+            "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate")), folder)
+        for name, _ in files.names(folder):
+            if name.endswith(".csv") and year == 1997:
+                files.create(f"{folder}/{name}.meta.json", json.dumps({"complete": False, "fetched_at_utc": f"{year}-12-31T10:00:00Z"}))
+
+
+@query("stored_manifest", """
+    SELECT concat(year(o_orderdate), '-12-31') AS fetch_date, true AS files, year(o_orderdate) <> 1997 AS complete, count(*) AS rows_in_table, false AS new_at_the_end
+    FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997 GROUP BY year(o_orderdate)""")
+def stored_manifest(spark, sf):
+    """Two ingests with a landing between them: the manifest holds every file once, and the rows of incomplete fetches are loaded as well."""
+    wh, lake = warehouse(spark), scratch_dir(spark, "landing")
+    _landing_lake(spark, sf, lake, (1995, 1996))
+    first = ingest_incremental(spark, lake, wh, ORDERS)
+    _landing_lake(spark, sf, lake, (1997,))
+    second = ingest_incremental(spark, lake, wh, ORDERS)
+    assert first.complete and not second.complete
+    held = known_files(wh, ORDERS).groupBy("fetch_date").agg((F.count("*") > 0).alias("files"), F.min("complete").alias("complete"))
+    rows = wh.table("shop.orders").groupBy(F.concat(F.year("o_orderdate"), F.lit("-12-31")).alias("fetch_date")).agg(F.count("*").alias("rows_in_table"))
+    left = new_files(spark, lake, wh, ORDERS).select("fetch_date").distinct().withColumn("new_at_the_end", F.lit(True))
+    return (held.join(rows, "fetch_date", "full_outer").join(left, "fetch_date", "full_outer")
+            .select("fetch_date", "files", "complete", "rows_in_table", F.coalesce("new_at_the_end", F.lit(False)).alias("new_at_the_end")))
+
+
 @query("ingest_stream", FETCHES_SQL)
 def stream(spark, sf):
     """The same files found by a stream, a few per batch, in whatever order the folders are listed."""

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strata.operators.aggregates import average_precision, group_stats, median_of, ranking_metrics, roc_auc, worst_severity
 from strata.operators.topk import top_k
@@ -27,6 +28,29 @@ def test_exact_median_per_group_with_a_hot_group_and_a_null_group(spark):
     assert approx.count() == 4
 
 
+@pytest.mark.parametrize("few", [3, 200])
+def test_brackets_of_large_groups_narrow_to_the_exact_median(spark, monkeypatch, few):
+    """Ties, infinities, NaN and -0.0 in groups of which one holds nine tenths of all rows, against Spark's own median."""
+    from strata.operators import aggregates
+
+    monkeypatch.setattr(aggregates, "FEW_ROWS", few)
+    monkeypatch.setattr(aggregates, "SLACK", 0.05)
+    r = random.Random(few)
+    odd = [float("nan"), float("inf"), float("-inf"), -0.0, 0.0]
+    rows = [("hot", r.gauss(0, 3)) for _ in range(9000)] + [("ties", r.choice([1.0, 2.0, 2.0, 2.0, 3.0])) for _ in range(500)]
+    rows += [("one", 7.5)] * 400 + [("odd", r.choice([*odd, r.random()])) for _ in range(300)] + [(None, float(i)) for i in range(201)] + [("none", None)] * 5
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    want = {q["g"]: (q["n"], q["m"]) for q in df.groupBy("g").agg(F.count("x").alias("n"), F.median("x").alias("m")).collect() if q["n"]}
+    rounds = []
+    real = aggregates.write_scratch
+    monkeypatch.setattr(aggregates, "write_scratch", lambda d, label: rounds.append(label) or real(d, label))
+    got = {q["g"]: (q["n"], q["median"]) for q in median_of(df, "x", "g").collect()}
+    assert set(got) == set(want)
+    for g, (n, m) in want.items():
+        assert got[g][0] == n and (got[g][1] == m or math.isnan(got[g][1]) and math.isnan(m))
+    assert len(rounds) >= 2  # the first sketch alone was not enough
+
+
 def test_ranking_metrics_against_the_definition(spark):
     r = random.Random(1)
     rows = [(round(r.random(), 2), int(r.random() < 0.3)) for _ in range(700)]
