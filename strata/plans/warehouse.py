@@ -156,7 +156,7 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         state = self.state(name)
         if state is None:
-            raise LookupError(f"table not found: {name} (not loaded yet?)")
+            raise LookupError(f"nothing is published as {name} in {self.root}")
         return self._read(state)
 
     # -- publishing ----------------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ CHOICE = (
     "ask_parquet_glob", "clean_typed_csv", "clean_typed_json", "clean_layer_report", "cross_match", "density_misfits", "exact_median_by_group",
     "flybys", "latest_fetch_wins", "nearest_companion", "page_audit", "quality_report", "ranking_metrics", "rebuild_equivalence", "slice_ledger_status",
     "table_diff", "upsert_latest_wins", "band_neighbours_odd_values", "oof_scores_one_feature", "fold_gradients", "gap_model_counts", "upsert_report", "next_windows",
+    "clean_write_report", "stored_manifest", "registry_of_folders", "sky_radius_pairs_odd_values", "gap_candidates_one_feature",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")

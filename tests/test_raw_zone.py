@@ -14,9 +14,9 @@ def _by_name(df, *columns):
 def test_listing_skips_sidecars_and_helper_files(spark, lake):
     lake.land("gfw", "gap-events", "a.json", gaps(("A", "2022-01-01", 1)))
     lake.land("gaia", "nearby-stars", "b.csv", "x\n", sidecar=False)
-    (lake.root / "raw" / "gfw" / "gap-events" / "2026-09-30" / ".gitkeep").write_text("")
+    (lake.root / "raw" / "gfw" / "gap-events" / "2031-03-14" / ".gitkeep").write_text("")
     got = {tuple(r[c] for c in ("source", "dataset", "fetch_date", "filename")) for r in raw_files(spark, str(lake)).collect()}
-    assert got == {("gfw", "gap-events", "2026-09-30", "a.json"), ("gaia", "nearby-stars", "2026-09-30", "b.csv")}
+    assert got == {("gfw", "gap-events", "2031-03-14", "a.json"), ("gaia", "nearby-stars", "2031-03-14", "b.csv")}
     assert raw_files(spark, f"{lake}/nowhere").count() == 0
 
 
@@ -25,11 +25,11 @@ def test_fetch_time_falls_back_to_the_date_folder_then_to_the_start(spark, lake)
     lake.land("s", "d", "b.csv", "x\n", sidecar=False)
     lake.land("s", "d", "c.csv", "x\n", sidecar=False, day="someday")
     lake.land("s", "d", "e.csv", "x\n")
-    (lake.root / "raw/s/d/2026-09-30/e.csv.meta.json").write_text("{broken")
+    (lake.root / "raw/s/d/2031-03-14/e.csv.meta.json").write_text("{broken")
     rows = provenance(spark, str(lake)).selectExpr("filename", "date_format(fetched_at, 'yyyy-MM-dd HH:mm') AS at", "has_sidecar")
     assert _by_name(rows, "at", "has_sidecar") == {
-        "a.csv": ("2026-09-30 12:05", True), "b.csv": ("2026-09-30 00:00", False),
-        "c.csv": ("0001-01-01 00:00", False), "e.csv": ("2026-09-30 00:00", True)}
+        "a.csv": ("2031-03-14 08:35", True), "b.csv": ("2031-03-14 00:00", False),
+        "c.csv": ("0001-01-01 00:00", False), "e.csv": ("2031-03-14 00:00", True)}
 
 
 @pytest.mark.parametrize("text,complete", [
@@ -46,7 +46,7 @@ def test_integrity_audit(spark, lake):
     for name in ("same.csv", "edited.csv", "swapped.csv"):
         lake.land("s", "d", name, "hello\n")
     lake.land("s", "d", "bare.csv", "hello\n", sidecar=False)
-    folder = lake.root / "raw/s/d/2026-09-30"
+    folder = lake.root / "raw/s/d/2031-03-14"
     (folder / "edited.csv").write_text("hello there\n")
     (folder / "swapped.csv").write_text("HELLO\n")
     assert _by_name(verify_raw(spark, str(lake)), "status") == {
