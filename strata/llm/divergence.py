@@ -32,7 +32,7 @@ TOP = 10
 SCALE = 1_000_000_000
 #: Text held while copies are folded, entries held while words are added up, counts in a cell, sources in a block.
 FOLD_BYTES = 32 << 20
-HELD_WORDS = 300_000
+HELD_WORDS = 800_000
 CELL_ROWS = 200_000
 SOURCES_PER_BLOCK = 512
 
