@@ -149,3 +149,40 @@ def test_near_copies_of_the_given_documents_are_found(spark):
     assert near and not [(a, b) for a, b in near if texts[a] in kept and texts[b] in kept]
     linked = {i for p in near for i in p}
     assert {t for i, t in enumerate(texts) if i not in linked and sets[i] not in [s for j, s in enumerate(sets) if j != i]} <= kept
+
+
+def test_near_copies_come_from_multi_index_hashing(spark, docs, monkeypatch):
+    """The fingerprints alone find pairs within SEGMENTS - 1 bits always and nine in ten near copies; a bucket gives two pairs a set at most."""
+    rng = random.Random(3)
+    pairs = []
+    for g in range(300):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([40, 150, 600]))]
+        other = base + ["new"] if g % 5 == 0 else list(base)
+        for _ in range((1 + len(base) // 80) * (g % 5 > 0)):
+            other[rng.randrange(len(base))] = "new"
+        a, b = five_words(" ".join(base)), five_words(" ".join(other))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            pairs.append((" ".join(base), " ".join(other)))
+    texts = [t for p in pairs for t in p]
+    bits = copies.segment_bits(10_000)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, f"stranger {i} " + " ".join(f"s{i}x{k}" for k in range(40))) for i in range(500)]
+    each = copies.signatures(docs(rows).select("doc_id", "text"), bits).localCheckpoint()
+    copy_of = {r["doc_id"]: r["copy"] for r in each.collect()}
+    prints = {r["doc_id"]: int.from_bytes(r["print"][:-8], "big") for r in each.collect()}
+    got = {frozenset(r) for r in copies.candidates(each, bits).collect()}
+    met = [frozenset((copy_of[2 * i], copy_of[2 * i + 1])) in got for i in range(len(pairs))]
+    assert len(pairs) > 100 and sum(met) >= 0.9 * len(pairs)
+    near = [i for i in range(len(pairs)) if (prints[2 * i] ^ prints[2 * i + 1]).bit_count() < copies.SEGMENTS]
+    assert near and all(met[i] for i in near)
+    # what the stage links first comes from there: without any shared MinHash key, found pairs still link
+    monkeypatch.setattr(copies, "sharing", lambda each: each.select("copy").limit(0))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(rows), "").collect()}
+    assert not [i for i in range(len(pairs)) if met[i] and {2 * i, 2 * i + 1} <= kept]
+
+
+def test_a_crowded_segment_gives_two_pairs_a_set(spark, docs):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base + [f"end{i}"])) for i in range(300)]
+    each = copies.signatures(docs(rows).select("doc_id", "text"), 16)
+    found = copies.candidates(each, 16).collect()
+    assert 299 <= len(found) <= 299 * 2 and not [r for r in found if r["a"] == r["b"]]
