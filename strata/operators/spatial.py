@@ -14,6 +14,8 @@ from strata.session import write_scratch
 _ROUNDING = 1 + 1e-9
 #: Beyond so many window widths neighbouring doubles are more than a window apart.
 FAR = 2.0 ** 54
+#: Candidate pairs that one task of a sky search compares.
+PAIRS_PER_TASK = 1_000_000
 _CELL = ["cx", "cy", "far_x", "far_y"]
 #: Degrees beyond which a finite number is no position on the sky, also after millennia of motion.
 _NO_DEC, _NO_RA = 1e6, 1e9
@@ -135,30 +137,46 @@ def _star_cells(stars: DataFrame, reach: float, epochs) -> DataFrame:
     return s.withColumns({"cell": cell, "k": F.col("place.k")}).drop("place")
 
 
-def _close_pairs(searches: DataFrame, stars: DataFrame, radius_arcsec: float, epochs) -> DataFrame:
+def spread(searches: DataFrame, stars: DataFrame, sid: str, per_task: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with a `share` of their cell, dealt over as many tasks as their pairs need, and the number of tasks.
+
+    Pairs can grow with the square of the rows, so their number, counted per cell beforehand, sets the number of tasks. The stars of a cell
+    with more pairs than a task should hold are dealt over several shares, each of which all searches of that cell meet.
+    """
+    per_task = per_task or PAIRS_PER_TASK
+    at = ["zone", "cell"]
+    met = searches.groupBy(*at).agg(F.count("*").alias("_a")).join(stars.groupBy(*at).agg(F.count("*").alias("_b")), at)
+    cells = write_scratch(met.select(*at, (F.col("_a") * F.col("_b")).alias("pairs")), "cells").withColumn("shares", F.ceil(F.col("pairs") / per_task))
+    tasks = max(1, -(-(cells.agg(F.sum("pairs")).first()[0] or 0) // per_task))
+    cells = cells.select(*at, "shares")
+    left = searches.join(cells, at).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+    right = stars.join(cells, at).withColumn("share", F.pmod(F.xxhash64(sid), F.col("shares"))).drop("shares")
+    return left.repartition(tasks, *at, "share"), right.repartition(tasks, *at, "share"), tasks
+
+
+def _close_pairs(searches: DataFrame, stars: DataFrame, radius_arcsec: float, epochs, sid: str) -> DataFrame:
     """Pairs within the radius with `sep`. A pair is taken at the first epoch that is close enough, so none repeats."""
+    left, right, _ = spread(searches, stars, sid)
     seps = [small_angle_sep(F.col("p_ra"), F.col("p_dec"), F.col(f"ra{i}"), F.col(f"dec{i}")) for i in range(len(epochs))]
-    joined = searches.join(stars, ["zone", "cell"]).withColumns({f"_sep{i}": sep for i, sep in enumerate(seps)})
+    joined = left.join(right, ["zone", "cell", "share"]).withColumns({f"_sep{i}": sep for i, sep in enumerate(seps)})
     first_close = F.coalesce(*[F.when(F.col(f"_sep{i}") <= radius_arcsec, F.lit(i)) for i in range(len(epochs))])
     least = F.least(*[F.col(f"_sep{i}") for i in range(len(epochs))]) if len(epochs) > 1 else F.col("_sep0")
     return joined.filter(first_close == F.col("k")).withColumn("sep", least)
 
 
-
-
 def sky_radius_join(points: DataFrame, stars: DataFrame, radius_arcsec: float, epochs=(2016.0, 2000.0),
                     pid: str = "pid", sid: str = "sid") -> DataFrame:
     """(pid, sid, sep): all pairs closer than the radius at any of the epochs; the smallest separation counts.
 
     `points` needs pid, ra, dec; `stars` needs sid, ra, dec, pmra, pmdec at the first epoch. Declination zones are
-    cut into right-ascension cells, so a pair is found by an equality join on its cell. Null, NaN, infinite and absurdly large
+    cut into right-ascension cells, so a pair is found by an equality join on its cell; the number of tasks follows the number of pairs. Null, NaN, infinite and absurdly large
     positions match nothing.
     """
     require(radius_arcsec > 0, "the radius must be positive")
     reach = radius_arcsec / 3600.0 * (1 + 1e-6)
     searches = _search_cells(points.filter(on_sky("ra", "dec")).select(pid, F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")), reach)
     placed = _star_cells(stars.filter(on_sky("ra", "dec")).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
-    return _close_pairs(searches, placed, radius_arcsec, epochs).select(pid, sid, "sep")
+    return _close_pairs(searches, placed, radius_arcsec, epochs, sid).select(pid, sid, "sep")
 
 
 def sky_nearest(points: DataFrame, stars: DataFrame, radius_arcsec: float, epochs=(2016.0, 2000.0),
@@ -176,7 +194,7 @@ def sky_nearest(points: DataFrame, stars: DataFrame, radius_arcsec: float, epoch
     placed = _star_cells(stars.filter(on_sky("ra", "dec")).select(sid, "ra", "dec", "pmra", "pmdec"), reach, epochs)
     at = [f"{c}{i}" for i in range(len(epochs)) for c in ("ra", "dec")]
     stacks = placed.groupBy("zone", "cell", "k", *at).agg(F.min(sid).alias(sid), F.count("*").alias("_copies"))
-    pairs = _close_pairs(searches, stacks, radius_arcsec, epochs)
+    pairs = _close_pairs(searches, stacks, radius_arcsec, epochs, sid)
     best = pairs.groupBy("p_ra", "p_dec").agg(F.min(F.struct("sep", F.col(sid))).alias("_best"), F.sum("_copies").alias("candidates"))
     found = best.select(F.col("p_ra").alias("ra"), F.col("p_dec").alias("dec"), f"_best.{sid}", "_best.sep", "candidates")
     return points.select(pid, "ra", "dec").join(found, ["ra", "dec"]).select(pid, sid, "sep", "candidates")

@@ -128,3 +128,23 @@ def test_arguments(spark):
         spatial.sky_radius_join(df, df, 0)
     with pytest.raises(ValueError):
         spatial.nearest_same_distance(df, 0)
+
+
+def test_tasks_of_a_sky_search_follow_its_pairs(spark):
+    """All rows in one cell: four times the pairs get four times the tasks, no share holds much more than a task's pairs, none is lost."""
+    from strata.operators import spatial
+
+    reach = 10.0 / 3600 * (1 + 1e-6)
+    found = []
+    for n in (200, 400):
+        points = spark.range(n).selectExpr("id AS pid", "10.0D AS p_ra", "20.0D + id * 1e-7 AS p_dec")
+        sky = spark.range(n).selectExpr("id AS sid", "10.0D AS ra", "20.0D + id * 1e-7 AS dec", "0.0D AS pmra", "0.0D AS pmdec")
+        left, right, tasks = spatial.spread(spatial._search_cells(points, reach), spatial._star_cells(sky, reach, (2016.0,)), "sid", per_task=4000)
+        assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() == tasks
+        met = left.join(right, ["zone", "cell", "share"])
+        assert met.count() == n * n and met.select("pid", "sid").distinct().count() == n * n
+        assert met.groupBy("zone", "cell", "share").count().agg({"count": "max"}).first()[0] <= 3 * 4000
+        found.append(tasks)
+    assert found == [10, 40]
+    pairs = spatial.sky_radius_join(points.selectExpr("pid", "p_ra AS ra", "p_dec AS dec"), sky, 10.0, epochs=(2016.0,))
+    assert pairs.count() == 400 * 400
