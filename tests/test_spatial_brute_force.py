@@ -148,3 +148,17 @@ def test_tasks_of_a_sky_search_follow_its_pairs(spark):
     assert found == [10, 40]
     pairs = spatial.sky_radius_join(points.selectExpr("pid", "p_ra AS ra", "p_dec AS dec"), sky, 10.0, epochs=(2016.0,))
     assert pairs.count() == 400 * 400
+
+
+def test_odd_values_take_no_task_of_a_sky_search(spark):
+    """Positions that are none make neither pairs nor tasks, also where all the rest meets in one cell; no position at all is one empty task."""
+    from strata.operators import spatial
+
+    reach = 10.0 / 3600 * (1 + 1e-6)
+    points = spark.range(300).selectExpr("id AS pid", "10.0D AS ra", "CASE id % 3 WHEN 0 THEN 20.0D WHEN 1 THEN 1e300D ELSE double('NaN') END AS dec")
+    sky = spark.range(300).selectExpr("id AS sid", "10.0D AS ra", "20.0D AS dec", "0.0D AS pmra", "CASE WHEN id % 2 = 0 THEN -1e300D ELSE 0.0D END AS pmdec")
+    usable = points.filter(spatial.on_sky("ra", "dec")).selectExpr("pid", "ra AS p_ra", "dec AS p_dec")
+    for epochs, tasks in (((2016.0,), 30), ((2016.0, 2000.0), 45)):
+        assert spatial.spread(spatial._search_cells(usable, reach), spatial._star_cells(sky, reach, epochs), "sid", per_task=1000)[2] == tasks
+        assert spatial.sky_radius_join(points, sky, 10.0, epochs=epochs).count() == 100 * 300
+    assert spatial.sky_radius_join(points.filter("pid % 3 > 0"), sky, 10.0).count() == 0
