@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.functions.names import require
-from strata.operators.cleaning import CleanReport, clean, clean_json, read_clean, write_clean_reported
+from strata.operators.cleaning import CleanReport, clean, clean_json, lineage_name, read_clean, write_clean_reported
 from strata.operators.sets import compare_tables, union_by_name
 from strata.operators.windows import latest_wins
 from strata.plans.manifest import FILES, KEY, day_part, folder_marks, landed, registration, stored
@@ -55,8 +55,10 @@ def clean_and_report(spark: SparkSession, lake: str, dataset: Dataset, manifest:
     rows = read_clean(spark, lake, dataset.source, dataset.name, dataset.spark_types())
     # Literal dates prune the clean layer to the batch's days; the join picks its files among these.
     rows = rows.filter(F.col("fetch_date").isin(sorted({r["fetch_date"] for r in listed})))
-    chosen = files.select("fetch_date", "raw_file", "_fetched_at")
-    return rows.join(chosen, ["fetch_date", "raw_file"]).withColumn("_path", F.concat_ws("/", "fetch_date", "raw_file")), report
+    # Names are derived once per file, not once per row.
+    chosen = files.select("fetch_date", "raw_file", lineage_name(F.col("raw_file")).alias("_source_file"), "_fetched_at",
+                          F.concat_ws("/", "fetch_date", "raw_file").alias("_path"))
+    return rows.drop("_source_file").join(chosen, ["fetch_date", "raw_file"]), report
 
 
 def _stored(dataset: Dataset, rows: DataFrame) -> DataFrame:

@@ -17,16 +17,15 @@ def csv_layouts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     A record can only span lines if some line holds an odd number of quotes; files without such a line can be
     read in parallel splits, the others must be read by one task each.
     """
-    lines = spark.read.text(paths).select(
-        normal_path(scanned_path()).alias("path"), row_position().alias("pos"), F.col("value"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("at"), row_position().alias("pos"), F.col("value"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     # A header sits in the first split of a file, so lines of other splits carry no text into the aggregation.
     candidate = (F.col("pos.block") == 0) & (F.trim(F.replace("value", F.lit("\ufeff"), F.lit(""))) != "")
     first = F.min(F.when(candidate, F.struct("pos", "value")))
-    return lines.groupBy("path").agg(
-        F.regexp_replace(first["value"], "^\ufeff", "").alias("header"),
-        F.coalesce(F.max(quotes % 2 == 1), F.lit(False)).alias("multiline"),
-    )
+    odd = F.when(F.col("value").contains('"') & (quotes % 2 == 1), True)
+    # A set of one value at most: with it Spark aggregates by hash, where a minimum of texts alone would sort all lines.
+    files = lines.groupBy("at").agg(first.alias("first"), (F.size(F.collect_set(odd)) > 0).alias("multiline"))
+    return files.select(normal_path(scanned_path("at")).alias("path"), F.regexp_replace("first.value", "^\ufeff", "").alias("header"), "multiline")
 
 
 def header_columns(header: str) -> list[str]:

@@ -9,7 +9,7 @@ from strata.operators.cleaning import bad_value_counts, band_select, clean, clea
 from strata.sources.csv import scan_csv, validate_payloads
 from strata.sources.json import scan_json
 from strata.sources.parquet import parquet_glob, scan_clean
-from tests.conftest import STAR_HEADER, stars_csv
+from tests.conftest import STAR_HEADER, gaps, stars_csv
 
 TRAMS = {"open": "bool", "line": "int", "stop": "string", "since": "timestamp", "km": "float"}
 TRAMS_CSV = ("since,stop,colour,line,km,open\n"
@@ -184,3 +184,44 @@ def test_band_selection_is_half_open_and_checks_its_arguments(spark):
     for bad in ({"lo": 5, "hi": 5}, {"lo": 5, "limit": 0}):
         with pytest.raises(ValueError):
             band_select(df, "p", **bad)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_are_spelled_without_a_pattern_match(spark):
+    """One, two and three slashes become three; what is no local path stays. It runs for every row of a file."""
+    from strata.sources.files import normal_path
+
+    said = {"file:/a/b": "file:///a/b", "file://a/b": "file:///a/b", "file:///a/b": "file:///a/b", "file:////a": "file:////a", "file:/": "file:///",
+            "file://": "file:///", "hdfs://n/a": "hdfs://n/a", "file:a": "file:a", None: None}
+    rows = spark.createDataFrame([(p,) for p in said], "path string").select("path", normal_path(F.col("path")).alias("normal"))
+    assert {r["path"]: r["normal"] for r in rows.collect()} == said
+    assert "regexp" not in plan_of(rows)
+
+
+def test_lines_are_not_sorted_to_find_headers(spark, tmp_path):
+    """Headers and split quotes come from a hash aggregation; a byte-order mark, blank lines first and names with odd letters make no difference."""
+    from strata.sources.csv import csv_layouts
+
+    for name, text in {"plain.csv": "a,b\n1,2\n", "marked.csv": "\ufeff\n \na,c\n1,2\n", "split lines+%.csv": 'a,b\n1,"x\ny"\n', "quoted.csv": 'a,b\n1,"x"\n',
+                       "blank.csv": "\n\n"}.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    layouts = csv_layouts(spark, str(tmp_path))
+    found = {r["path"].rpartition("/")[2]: (r["header"], r["multiline"]) for r in layouts.collect()}
+    assert found == {"plain.csv": ("a,b", False), "marked.csv": ("a,c", False), "split lines+%.csv": ("a,b", True), "quoted.csv": ("a,b", False),
+                     "blank.csv": (None, False)}
+    assert "Sort" not in plan_of(layouts)
+
+
+def test_lineage_is_named_per_file(spark, lake, warehouse):
+    """The pattern match for a row's source file works on the list of files, below the join, not on every row."""
+    from strata.plans.ingest import clean_files, new_files
+    from strata.plans.registry import GAP_EVENTS
+
+    lake.land("gfw", "gap-events", "a.b.json", gaps(("K", "2023-01-02", 3)), day="2023-01-02")
+    rows = clean_files(spark, str(lake), GAP_EVENTS, new_files(spark, str(lake), warehouse, GAP_EVENTS))
+    assert {(r["_source_file"], r["_path"]) for r in rows.collect()} == {("a.b.parquet", "2023-01-02/a.b.json")}
+    plan = plan_of(rows)
+    assert plan.index("regexp_replace") > plan.index("Join")
