@@ -115,6 +115,34 @@ _PARSERS = {
 }
 
 
+def _usual_int(text: Column) -> Column:
+    value = text.try_cast("bigint")
+    return F.when(value.cast("string") == text, value)
+
+
+def _usual_float(text: Column) -> Column:
+    # Casting text that is no number costs much, so what does not begin like one is left out.
+    value = text.try_cast("double")
+    return F.when((text >= "+") & (text < ":") & (value.cast("string") == text), value)
+
+
+def _usual_date(text: Column) -> Column:
+    seconds = F.unix_date(text.try_cast("date")).cast("bigint") * 86400
+    return F.when((F.octet_length(text) == 10) & text.rlike(_PLAIN_DATE) & ~text.startswith("0000"), F.timestamp_seconds(seconds))
+
+
+_USUAL = {"int": _usual_int, "float": _usual_float, "timestamp": _usual_date}
+
+
+def usual(text: Column, type_name: str) -> Column | None:
+    """The value of text in its most common spelling, as `parse` has it after stripping, else NULL; None for a type without such a spelling.
+
+    A number that reads back exactly as it was written, or a plain date, needs neither stripping nor further checks.
+    """
+    check_types([type_name])
+    return _USUAL[type_name](text) if type_name in _USUAL else None
+
+
 def parse(text: Column, type_name: str) -> Column:
     """Parse stripped, non-blank text as one of the five clean types; NULL if it does not fit."""
     check_types([type_name])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strata.functions.names import require
 from strata.operators.cleaning import CleanReport, clean, clean_json, lineage_name, read_clean, write_clean_reported
@@ -18,7 +18,7 @@ from strata.sources.csv import scan_csv
 from strata.sources.json import scan_json
 from strata.sources.raw import provenance
 
-_ORDER = ("_fetched_at", "_path", "_row_pos")
+_ORDER = ("_fetched_at", "_file", "_row_pos")
 
 
 def scan_records(spark: SparkSession, dataset: Dataset, paths: list[str]) -> DataFrame:
@@ -55,9 +55,9 @@ def clean_and_report(spark: SparkSession, lake: str, dataset: Dataset, manifest:
     rows = read_clean(spark, lake, dataset.source, dataset.name, dataset.spark_types())
     # Literal dates prune the clean layer to the batch's days; the join picks its files among these.
     rows = rows.filter(F.col("fetch_date").isin(sorted({r["fetch_date"] for r in listed})))
-    # Names are derived once per file, not once per row.
+    # Names are derived once per file, not once per row; a file's place among the sorted paths stands for its path where rows are sorted.
     chosen = files.select("fetch_date", "raw_file", lineage_name(F.col("raw_file")).alias("_source_file"), "_fetched_at",
-                          F.concat_ws("/", "fetch_date", "raw_file").alias("_path"))
+                          F.concat_ws("/", "fetch_date", "raw_file").alias("_path")).withColumn("_file", F.row_number().over(Window.orderBy("_path")))
     return rows.drop("_source_file").join(chosen, ["fetch_date", "raw_file"]), report
 
 

@@ -23,6 +23,7 @@ from strata.session import use_utc
 
 LINEAGE = {"_source_file": T.StringType(), "_fetched_at": T.TimestampType()}
 PART = "_part"
+_EMPTY_NAME = "__HIVE_DEFAULT_PARTITION__"  # how Spark names the folder of an empty value
 
 #: Tables of the warehouse itself, such as the manifest of raw files it has taken in.
 OWN = "_lake."
@@ -268,19 +269,13 @@ class Warehouse:
         `order` decides which copy of a key inside `incoming` is the last. Only the stored parts that incoming
         keys fall into are rewritten. Where both sides know `_fetched_at`, an older fetch never replaces a newer one.
         """
-        base, made, reports, batches = self.log.state(), [], [], []
-        for load in loads:
-            published, report, batch = self._merged(base, load)
-            made.append(published)
-            reports.append(report)
-            batches += [batch] if batch else []
-        self._commit(base, made)
-        for batch in batches:
-            self.log.files.remove(batch)
-        return reports
-
-    def _merged(self, base: LogState, load: Load) -> tuple[Published, UpsertReport, str | None]:
-        """The table's next version, written but not published, and the folder of the batch that went into it."""
+        base = self.log.state()
+        merged = [self._merged(base, load) for load in loads]
+        self._commit(base, [published for published, _ in merged])
+        return [report for _, report in merged]
+
+    def _merged(self, base: LogState, load: Load) -> tuple[Published, UpsertReport]:
+        """The table's next version, written but not published."""
         name, incoming = load.name, load.incoming
         split_table(name)
         key = check_key(load.key, incoming.columns)
@@ -300,7 +295,9 @@ class Warehouse:
             incoming = incoming.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in full.schema})
             stored = full.columns
         has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-        counts = incoming.agg(F.count("*").alias("rows"), F.count_if(has_key).alias("keyed")).first()
+        # The parts that the keys fall into are found while rows are counted: no other stored part can hold one of them.
+        part = part_of(state.layout, key, incoming.schema) if state and state.layout else F.lit(None).cast("string")
+        counts = incoming.agg(F.count("*").alias("rows"), F.count_if(has_key).alias("keyed"), F.collect_set(F.when(has_key, part)).alias("parts")).first()
         deduped = last_per_key(incoming, key, list(load.order)).select(*stored)
         layout = (state.layout if state else "") or load.part_by or hash_layout(counts["keyed"], load.parts)
         skipped = counts["rows"] - counts["keyed"]
@@ -308,18 +305,15 @@ class Warehouse:
             layout = hash_layout(state.n_rows + counts["keyed"])  # every row is rewritten once, into more parts
         if state is None:
             made = self._published(deduped, name, version, self._write(deduped, name, version, key, layout), key, layout)
-            return made, UpsertReport(made.n_rows, 0, skipped, counts["keyed"] - made.n_rows, made.n_rows), None
+            return made, UpsertReport(made.n_rows, 0, skipped, counts["keyed"] - made.n_rows, made.n_rows)
 
-        # The batch is written once, by part: its folders tell which stored parts can hold its keys.
-        batch_path = f"{self._home(name)}/batch-{uuid.uuid4().hex[:12]}"
-        deduped.withColumn(PART, part_of(layout, tuple(key), deduped.schema)).write.partitionBy(PART).parquet(batch_path)
-        touched = set(self._parts(batch_path))
+        touched = {f"{PART}={p or _EMPTY_NAME}" for p in counts["parts"]}
         as_stored = state.layout == layout and set(current.columns) == set(stored)
         live = [f for f in state.folders if not as_stored or f.split("/")[1] in touched]
         kept = [f for f in state.folders if f not in live]
         old = with_lineage(self._read(state, live) if live else current.limit(0), [c for c in stored if c in LINEAGE]).select(*stored)
-        batch = self.spark.read.schema(deduped.schema).parquet(batch_path).select(*stored)
-        merged = merge(old, batch, key, unique=bool(state.layout))
+        # The batch comes out of its choice of rows dealt and sorted by key, so the join sends only the stored rows.
+        merged = merge(old, deduped, key, unique=bool(state.layout))
         folders = self._write(merged, name, version, key, layout)
         # One column of the new files says what became of each row.
         found = self.spark.read.schema(f"{CHANGE} string").parquet(*[f"{self._home(name)}/{f}" for f in folders]).groupBy(CHANGE).count().collect()
@@ -327,7 +321,7 @@ class Warehouse:
         new, updated, stale = (n.get(c, 0) for c in (NEW, UPDATED, STALE))
         total = state.n_rows + new if state.layout else sum(n.values())
         made = self._published(merged.select(*stored), name, version, kept + folders, key, layout, total)
-        return made, UpsertReport(new, updated, skipped, counts["keyed"] - new - updated - stale, total, stale), batch_path
+        return made, UpsertReport(new, updated, skipped, counts["keyed"] - new - updated - stale, total, stale)
 
     # -- questions -----------------------------------------------------------------------------------------------
 

@@ -6,6 +6,7 @@ import pytest
 from strata.operators.sets import compare_tables
 from strata.plans.ingest import clean_files, compare_warehouses, ingest_files, ingest_incremental, new_files, rebuild
 from strata.plans.incremental import overall, refresh
+from strata.plans.manifest import known_files
 from strata.plans.registry import DATASETS, GAP_EVENTS, NEARBY_STARS, Dataset, registry_frame
 from strata.plans.warehouse import Warehouse
 from strata.streaming.ingest import ingest_stream
@@ -141,3 +142,13 @@ def test_registry(spark):
         Dataset("s", "d", "csv", {"a": "int"}, ("b",), "x.y")
     with pytest.raises(ValueError, match="unknown column types"):
         Dataset("s", "d", "csv", {"a": "decimal"}, ("a",), "x.y")
+
+
+def test_of_files_fetched_together_the_last_path_wins_by_its_place(spark, lake, warehouse):
+    """Rows are sorted by their file's place among the paths, not by the path; names sort as text."""
+    for name, hours in (("9.json", 9), ("10.json", 10), ("a.json", 3), ("Z.json", 4)):
+        lake.land("gfw", "gap-events", name, gaps(("K", "2023-01-02", hours), (name, "2023-01-02", hours)), 5)
+    ingest_incremental(spark, str(lake), warehouse, GAP_EVENTS)
+    assert gap_hours(warehouse) == {"K": 3.0, "9.json": 9.0, "10.json": 10.0, "a.json": 3.0, "Z.json": 4.0}
+    rows = clean_files(spark, str(lake), GAP_EVENTS, known_files(warehouse, GAP_EVENTS))
+    assert dict(rows.select("raw_file", "_file").distinct().collect()) == {"10.json": 1, "9.json": 2, "Z.json": 3, "a.json": 4}

@@ -225,3 +225,38 @@ def test_lineage_is_named_per_file(spark, lake, warehouse):
     assert {(r["_source_file"], r["_path"]) for r in rows.collect()} == {("a.b.parquet", "2023-01-02/a.b.json")}
     plan = plan_of(rows)
     assert plan.index("regexp_replace") > plan.index("Join")
+
+
+ODD = ["", " ", " 5", "5 ", "\x005", "5\x00", "\x00", "-0", "+0", "007", "9223372036854775807", "9223372036854775808", "5L", "1.0", "-0.0", "1.50", "12345678.5", "1.0E7", "1.0E10",
+       "NaN", "Infinity", "-Infinity", "1.0d", "1.0f", "0x1.0p3", "٣", "+", "-", ".", "0000-01-01", "0001-01-01", "9999-12-31", "10000-01-01", "-001-01-01", "2022-1-005",
+       "2022-01-5T", "2022-01-5\x00", "2022-01-05\n", "2023-02-29", "1582-10-10", "1500-02-28", "٢٠٢٢-01-05"]
+
+
+@pytest.mark.parametrize("type_name", sorted(set(TYPES) - {"string", "bool"}))
+def test_usual_spellings_have_the_value_that_parse_gives(spark, type_name):
+    """What is read at once is read as after stripping and taking apart, in any time zone; odd spellings are left to that."""
+    from strata.functions.parsing import usual
+
+    texts = ODD + [c for cases in CASES.values() for c in cases]
+    rows = spark.createDataFrame([(s,) for s in texts], "s string")
+    quick, full = usual(F.col("s"), type_name), parse(blank_to_null(F.col("s")), type_name)
+    shown = [F.unix_micros(c) if type_name == "timestamp" else c.cast("string") for c in (quick, full)]
+    spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+    try:
+        got = rows.select("s", shown[0].alias("quick"), shown[1].alias("full")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    read = [r for r in got if r["quick"] is not None]
+    assert len(read) >= 5 and all(r["quick"] == r["full"] for r in read)
+
+
+def test_long_rows_are_written_by_code_that_is_compiled(spark, lake, monkeypatch):
+    """While clean rows are written, Spark's limit on a generated method is the JVM's; afterwards it is what it was."""
+    from pyspark.sql import DataFrameWriter
+
+    seen, name, write = [], "spark.sql.codegen.hugeMethodLimit", DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(int(spark.conf.get(name))), write(self, path))[1])
+    path = lake.land("city", "trams", "a.csv", TRAMS_CSV)
+    before = spark.conf.get(name)
+    write_clean(clean(scan_csv(spark, str(path), list(TRAMS)), TRAMS), str(lake), "city", "trams")
+    assert seen == [8000] and spark.conf.get(name) == before
